@@ -68,13 +68,18 @@ def is_noise(skip_tags: Iterable[str] = SKIP_TAGS, keywords: Iterable[str] = ALL
 
 
 def narrow(dom: DataFrame, noise: Column | None = None) -> DataFrame:
-    """The columns the heuristic reads, computed before the exchange on page_id."""
-    return dom.select(
-        "page_id", "pre", "end", "parent", "tag", "own", "own_len", "up",
+    """The columns the heuristic reads, exchanged on page_id and sorted once.
+
+    Everything costly to carry is reduced before the exchange.
+    """
+    reduced = dom.select(
+        "page_id", "pre", "end", "parent", "tag", "own_len", "up",
+        text.normalise(F.col("own")).alias("own"),
         signature().alias("sig"),
         field_key().alias("key"),
         (is_noise() if noise is None else noise).alias("noise"),
     )
+    return reduced.repartition("page_id").sortWithinPartitions("page_id", "pre")
 
 
 def in_scope(nodes: DataFrame) -> DataFrame:
@@ -115,6 +120,4 @@ def with_leaf(nodes: DataFrame) -> DataFrame:
 def leaf_text(dom: DataFrame, noise: Column | None = None) -> DataFrame:
     """``page_id, pre, tag, key, text`` of every leaf outside the noise."""
     live = with_leaf(alive(in_scope(narrow(dom, noise))))
-    return live.where("leaf").select(
-        "page_id", "pre", "tag", "key", text.normalise(F.col("own")).alias("text")
-    )
+    return live.where("leaf").select("page_id", "pre", "tag", "key", F.col("own").alias("text"))

@@ -7,16 +7,21 @@ Every page becomes a set of numbered rows. ``pre`` is the document order,
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import spread
 
+# Workers get this module with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements without content, and the groups used below.
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
 HEAD_ONLY = set("base link meta script style title".split())
