@@ -56,7 +56,10 @@ def follow(
         raise ValueError(f"on_miss must be skip or fail, got {on_miss!r}")
     linked = with_targets(rows, field, base, prefix)
     found = details(pages, linked, selectors, row_selector)
-    joined = linked.join(found, "target", "left")
+    # Rows without a link would all meet in one task under a NULL key; spread them.
+    nowhere = F.concat(F.lit(" "), F.xxhash64(*rows.columns).cast("string"))
+    linked = linked.withColumn("_key", F.coalesce("target", nowhere))
+    joined = linked.join(found.withColumnRenamed("target", "_key"), "_key", "left")
     hit = F.col("f").isNotNull()
     if on_miss == "fail":
         lost = F.col("target").isNotNull() & ~hit

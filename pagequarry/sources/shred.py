@@ -70,6 +70,7 @@ SCHEMA = T.StructType(
         T.StructField("nth_of_type", T.IntegerType()),
         T.StructField("n_siblings", T.IntegerType()),
         T.StructField("n_same_type", T.IntegerType()),
+        T.StructField("n_children", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("classes", T.ArrayType(T.StringType())),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
@@ -80,7 +81,7 @@ SCHEMA = T.StructType(
     ]
 )
 _ARROW_TYPES = [
-    pa.int64(), *[pa.int32()] * 8, pa.string(), pa.list_(pa.string()),
+    pa.int64(), *[pa.int32()] * 9, pa.string(), pa.list_(pa.string()),
     pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()),
 ]
 _ROWS_PER_BATCH = 20_000
@@ -250,13 +251,13 @@ def _page_rows(tree: _Tree, page_id, html, text_for, ancestors) -> Iterable[tupl
                 p = p.parent
             p = n.parent
         yield (page_id, n.pre, n.end, p.pre if p else None, n.depth, n.idx, n.nth,
-               p.kids if p else 0, p.kinds[n.tag] if p else 0, n.tag, classes,
+               p.kids if p else 0, p.kinds[n.tag] if p else 0, n.kids, n.tag, classes,
                list(n.attrs.items()), "".join(n.own) or None, n.own_len, text, up)
 
 
 def _piece_rows(tree: _Tree, page_id) -> Iterable[tuple]:
     for pre, parent, core, cells in tree.pieces:
-        yield (page_id, pre, pre, parent.pre, parent.depth + 1, 0, 0, 0, 0, None, None,
+        yield (page_id, pre, pre, parent.pre, parent.depth + 1, 0, 0, 0, 0, 0, None, None,
                None, core, len(core), None, cells)
 
 
