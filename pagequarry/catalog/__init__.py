@@ -1,0 +1,6 @@
+"""Every query of the survey with its SQL twin."""
+
+from . import extract, frontier  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

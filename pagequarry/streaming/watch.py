@@ -41,24 +41,19 @@ def watch(
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        pages, seen = batch, Observation()
-        pages = pages.observe(
-            seen, F.count(F.lit(1)).alias("pages"), F.count(F.when(F.length("html") == 0, 1)).alias("blank")
-        )
         rows, error = None, None
         try:
             written = Observation()
-            result = extract(pages).observe(written, F.count(F.lit(1)).alias("rows"))
+            result = extract(batch).observe(written, F.count(F.lit(1)).alias("rows"))
             result.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
             rows = written.get["rows"]
         except Exception as exc:  # noqa: BLE001 - recorded, and the next batch runs
             if fail_fast:
                 raise
             error = "".join(traceback.format_exception_only(exc)).strip()[:2000]
-        counted = seen.get if error is None else {}
-        record = [(number, counted.get("pages"), counted.get("blank"), rows, error)]
+        record = [(number, batch.count(), rows, error)]
         spark.createDataFrame(
-            record, "batch_id bigint, pages bigint, blank bigint, rows bigint, error string"
+            record, "batch_id bigint, pages bigint, rows bigint, error string"
         ).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
