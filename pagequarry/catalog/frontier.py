@@ -180,7 +180,7 @@ def a8(spark, sf):
            WHEN p LIKE '/en/1%' THEN true
            WHEN p LIKE '/en/%' OR p LIKE '/de/9%' THEN false
            ELSE true END AS allowed,
-         CASE WHEN o LIKE '%//m.%' OR o LIKE '%//blog.%' THEN 0.0 ELSE 2.5 END AS crawl_delay FROM u""",
+         (CASE WHEN o LIKE '%//m.%' OR o LIKE '%//blog.%' THEN 0.0 ELSE 2.5 END)::DOUBLE AS crawl_delay FROM u""",
 )
 def a9(spark, sf):
     pages = table(spark, sf, "pages")
