@@ -43,11 +43,11 @@ def d1_positional(spark, sf):
     "d2_cells_records",
     f"""WITH {_LINKS}, {LEAVES}, b AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS r,
               stripped FROM leaves WHERE key = 'b'),
-          both AS (SELECT coalesce(l.page_id, b.page_id) AS page_id, coalesce(l.row_idx, b.r) AS row_idx,
+          filled AS (SELECT coalesce(l.page_id, b.page_id) AS page_id, coalesce(l.row_idx, b.r) AS row_idx,
                      coalesce(l.value, '') AS link, coalesce(b.stripped, '') AS bold
                    FROM links l FULL OUTER JOIN b ON l.page_id = b.page_id AND l.row_idx = b.r)
-        SELECT page_id, row_idx, 'link' AS col, link AS value FROM both
-        UNION ALL SELECT page_id, row_idx, 'bold', bold FROM both""",
+        SELECT page_id, row_idx, 'link' AS col, link AS value FROM filled
+        UNION ALL SELECT page_id, row_idx, 'bold', bold FROM filled""",
 )
 def d2(spark, sf):
     flat = selectors.extract_flat(table(spark, sf, "pages"), {"link": "nav a@href", "bold": "article b"})
@@ -138,9 +138,7 @@ _DETAIL_FIELDS = {"title": "h1.title", "first": "div.body > p", "tag": "li.tag",
 
 
 def _order_rows(spark, sf):
-    pages = order_lists(spark, sf)
-    rows = selectors.extract_rows(pages, "article.post", _LIST_FIELDS)
-    return rows.join(pages.select("page_id", "url"), "page_id")
+    return selectors.extract_rows(order_lists(spark, sf), "article.post", _LIST_FIELDS, with_url=True)
 
 
 _HIT = "o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'"

@@ -59,6 +59,16 @@ def site_name(url: Column) -> Column:
     return F.when(valid & (~((n == 1) & (chunks[0] == ""))), name).otherwise(F.lit("site"))
 
 
+def _parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment as an array, in one match."""
+    return F.split(F.regexp_replace(url, URL_PATTERN, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _fold_dots(segments: Column) -> Column:
     """Resolve ``.`` and ``..`` in a list of path segments."""
     folded = F.aggregate(
@@ -70,63 +80,64 @@ def _fold_dots(segments: Column) -> Column:
         .when(seg == ".", acc)
         .otherwise(F.concat(acc, F.array(seg))),
     )
-    trailing = F.element_at(segments, -1).isin(".", "..")
-    folded = F.when(trailing, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    trailing = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    joined = F.array_join(F.concat(folded, trailing), "/")
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("/"))
+
+
+def _resolved_path(base: Column, ref: Column) -> Column:
+    """The path of ``ref`` seen from the folder of the path ``base``."""
+    segments = F.split(F.concat(F.regexp_replace(base, "[^/]*$", ""), ref), "/")
+    # Doubled slashes inside a relative result collapse; ends stay as they are.
+    inner = F.filter(segments, lambda s, i: (i == 0) | (s != "") | (i == F.size(segments) - 1))
+    return F.when(ref.startswith("/"), _let(F.split(ref, "/"), _fold_dots)).otherwise(_let(inner, _fold_dots))
 
 
 def join(base: Column, ref: Column) -> Column:
     """Resolve ``ref`` against ``base`` by the RFC 3986 rules."""
-    r_scheme, r_auth, r_path = scheme(ref), authority(ref), path(ref)
-    r_query, r_frag = _part(ref, 4), _part(ref, 5)
-    b_path = path(base)
 
-    base_dirs = F.split(b_path, "/")
-    base_dirs = F.when(F.element_at(base_dirs, -1) == "", base_dirs).otherwise(
-        F.slice(base_dirs, F.lit(1), F.size(base_dirs) - 1)
-    )
-    relative = F.concat(base_dirs, F.split(r_path, "/"))
-    n = F.size(relative)
-    relative = F.filter(relative, lambda s, i: (i == 0) | (i == n - 1) | (s != ""))
-    segments = F.when(r_path.startswith("/"), F.split(r_path, "/")).otherwise(relative)
-
-    no_path = r_path == ""
-    out_path = F.when(no_path, b_path).otherwise(_fold_dots(segments))
-    out_query = F.when(no_path & (r_query == ""), _part(base, 4)).otherwise(r_query)
-
-    def assemble(sch, auth, pth, qry):
-        slash = F.when((auth != "") & (pth != "") & ~pth.startswith("/"), F.lit("/"))
-        return F.concat(
-            F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
+    def resolve(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        no_path, authority_given = r[2] == "", r[1] != ""
+        path_ = F.when(authority_given, r[2]).when(no_path, b[2]).otherwise(_resolved_path(b[2], r[2]))
+        query = F.when(~authority_given & no_path & (r[3] == ""), b[3]).otherwise(r[3])
+        auth = F.when(authority_given, r[1]).otherwise(b[1])
+        scheme_ = F.lower(b[0])
+        built = F.concat(
+            F.when(scheme_ != "", F.concat(scheme_, F.lit(":"))).otherwise(F.lit("")),
             F.when(auth != "", F.concat(F.lit("//"), auth)).otherwise(F.lit("")),
-            F.coalesce(slash, F.lit("")),
-            pth,
-            F.when(qry != "", F.concat(F.lit("?"), qry)).otherwise(F.lit("")),
-            F.when(r_frag != "", F.concat(F.lit("#"), r_frag)).otherwise(F.lit("")),
+            F.when((auth != "") & path_.rlike("^[^/]"), F.lit("/")).otherwise(F.lit("")),
+            path_,
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+            F.when(r[4] != "", F.concat(F.lit("#"), r[4])).otherwise(F.lit("")),
+        )
+        other_scheme = (r[0] != "") & (F.lower(r[0]) != scheme_)
+        relative = scheme_.isin("http", "https", "ftp", "file", "")
+        return (
+            F.when(x["ref"] == "", x["base"])
+            .when((x["base"] == "") | other_scheme | ~relative, x["ref"])
+            .otherwise(built)
         )
 
-    other_scheme = (r_scheme != "") & (r_scheme != scheme(base))
-    return (
-        F.when(ref == "", base)
-        .when((base == "") | other_scheme | ~scheme(base).isin("http", "https", "ftp", "file", ""), ref)
-        .when(r_auth != "", assemble(scheme(base), r_auth, r_path, r_query))
-        .otherwise(assemble(scheme(base), authority(base), out_path, out_query))
+    return _let(
+        F.struct(base.alias("base"), ref.alias("ref"), _parts(base).alias("b"), _parts(ref).alias("r")), resolve
     )
 
 
 def resolve_follow(value: Column, base: Column, prefix: str | None = None) -> Column:
     """Where a link cell points, or NULL when it points nowhere usable."""
-    cand = text.strip(F.coalesce(value, F.lit("")))
+    absolute = "^https?://"
+    given = F.nullif(text.strip(value), F.lit(""))
+    target = given
+    if prefix:
+        glued = F.concat(F.lit(prefix.rstrip("/") + "/"), F.ltrim(given, F.lit("/")))
+        target = F.when(given.rlike(absolute), given).otherwise(glued)
 
-    def absolute(c: Column) -> Column:
-        return c.startswith("http://") | c.startswith("https://")
+    def against_base(x: Column) -> Column:
+        fixed = x["t"].rlike(absolute) | (F.coalesce(x["b"], F.lit("")) == "")
+        return F.when(fixed, x["t"]).when(x["t"].isNotNull(), join(x["b"], x["t"]))
 
-    target = cand
-    if prefix:
-        glued = F.concat(F.lit(prefix.rstrip("/") + "/"), F.ltrim(cand, F.lit("/")))
-        target = F.when(absolute(cand), cand).otherwise(glued)
-    joined = F.when(absolute(target) | base.isNull() | (base == ""), target).otherwise(
-        join(base, target)
-    )
-    return F.when((cand != "") & is_valid(joined), joined)
+    found = _let(F.struct(target.alias("t"), base.alias("b")), against_base)
+    return _let(found, lambda u: F.when(u.rlike("^(?i:https?)://[^/?#]"), u))

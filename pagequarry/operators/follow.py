@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import stage
 from . import selectors as css
 
 
@@ -24,16 +25,9 @@ def details(
     """
     wanted = targets.where("target is not null").select(F.col("target").alias("url")).distinct()
     found = pages.join(wanted, "url", "left_semi")
-    one = css.extract_one(found, selectors, row_selector=row_selector)
-    names = [f"f{i}" for i in range(len(selectors))]
-    fields = F.struct(*[F.col(c).alias(n) for c, n in zip(selectors, names)])
-    picked = (
-        one.select("page_id", fields.alias("f"))
-        .join(found.select("page_id", "url"), "page_id")
-        .groupBy("url")
-        .agg(F.min_by("f", "page_id").alias("f"))
-    )
-    return picked.select(F.col("url").alias("target"), "f")
+    one = css.extract_one(found, selectors, row_selector=row_selector, with_url=True)
+    fields = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(selectors)])
+    return one.groupBy(F.col("url").alias("target")).agg(F.min_by(fields, "page_id").alias("f"))
 
 
 def follow(
@@ -54,7 +48,8 @@ def follow(
     """
     if on_miss not in ("skip", "fail"):
         raise ValueError(f"on_miss must be skip or fail, got {on_miss!r}")
-    linked = with_targets(rows, field, base, prefix)
+    # Written out once: the links choose the pages to parse and are joined with them.
+    linked = stage(with_targets(rows, field, base, prefix), "linked")
     found = details(pages, linked, selectors, row_selector)
     # Rows without a link would all meet in one task under a NULL key; spread them.
     nowhere = F.concat(F.lit(" "), F.xxhash64(*rows.columns).cast("string"))

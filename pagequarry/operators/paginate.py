@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import urls
 from ..session import stage
 from ..sources.shred import shred
 from . import selectors as css
@@ -22,7 +22,7 @@ def next_links(pages: DataFrame) -> DataFrame:
     The first link with rel next counts if it has a target, then the first such
     anchor, then the first anchor whose text, label or class says next.
     """
-    dom = shred(pages, text_for=({"a"}, ())).where(F.col("tag").isin("a", "link"))
+    dom = shred(pages, text_for=({"a"}, ())).where(F.col("tag").isin("a", "link", "#document"))
     href = F.try_element_at("attrs", F.lit("href"))
     rel_next = F.array_contains(
         F.split(F.coalesce(F.try_element_at("attrs", F.lit("rel")), F.lit("")), r"\s+"), "next"
@@ -33,10 +33,11 @@ def next_links(pages: DataFrame) -> DataFrame:
         | label.isin(NEXT_LABELS)
         | F.array_join("classes", " ").rlike(NEXT_CLASS)
     )
-    anchor = F.col("tag") == "a"
+    anchor, link = F.col("tag") == "a", F.col("tag") == "link"
     target = F.struct("pre", F.coalesce(href, F.lit("")).alias("href"))
     found = dom.groupBy("page_id").agg(
-        F.min(F.when(~anchor & rel_next, target))["href"].alias("link"),
+        F.max(F.when(F.col("pre") == 0, F.try_element_at("attrs", F.lit("url")))).alias("url"),
+        F.min(F.when(link & rel_next, target))["href"].alias("link"),
         F.min(F.when(anchor & rel_next, target))["href"].alias("a"),
         F.min(F.when(anchor & href.isNotNull() & says_next, target))["href"].alias("hint"),
     )
@@ -44,21 +45,17 @@ def next_links(pages: DataFrame) -> DataFrame:
         F.nullif("link", F.lit("")), F.nullif("a", F.lit("")), F.col("hint")
     )
     return (
-        found.select("page_id", picked.alias("href"))
+        found.select("page_id", "url", picked.alias("href"))
         .where("href is not null")
-        .join(pages.select("page_id", "url"), "page_id")
         .select("page_id", "url", urls.join(F.col("url"), F.col("href")).alias("next_url"))
     )
 
 
 def selected_links(pages: DataFrame, next_selector: str) -> DataFrame:
     """``next_links`` by a CSS selector instead."""
-    found = css.extract_one(pages, {"href": next_selector}, attribute="href")
-    return (
-        found.where("href <> ''")
-        .join(pages.select("page_id", "url"), "page_id")
-        .select("page_id", "url", urls.join(F.col("url"), F.col("href")).alias("next_url"))
-    )
+    found = css.extract_one(pages, {"href": next_selector}, attribute="href", with_url=True)
+    joined = urls.join(F.col("url"), F.col("href"))
+    return found.where("href <> ''").select("page_id", "url", joined.alias("next_url"))
 
 
 def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin: bool = True) -> DataFrame:

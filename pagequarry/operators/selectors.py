@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shred import shred
-from .dom import IN_ORDER, PAGE, SO_FAR
+from .dom import IN_ORDER, SO_FAR
 
 _IDENT = r"-?(?:[A-Za-z_\u0080-\uffff]|\\[0-9a-fA-F]{1,6}\s?|\\[^\n])(?:[\w\u0080-\uffff-]|\\[0-9a-fA-F]{1,6}\s?|\\[^\n])*"
 _TOKEN = re.compile(
@@ -301,7 +301,9 @@ def select(pages: DataFrame, selector: str) -> DataFrame:
 
 def _fields_on(dom: DataFrame, fields: list[Field], extra: dict[str, str] | None = None) -> DataFrame:
     selectors = {f"_m{i}": f.selector for i, f in enumerate(fields)} | (extra or {})
-    return match(dom, selectors, {f"_v{i}": _value(f) for i, f in enumerate(fields)})
+    values = {f"_v{i}": _value(f) for i, f in enumerate(fields)}
+    values["_url"] = F.when(F.col("pre") == 0, _attr("url"))
+    return match(dom, selectors, values)
 
 
 def extract_flat(pages: DataFrame, selectors: dict[str, str], attribute: str | None = None) -> DataFrame:
@@ -325,43 +327,58 @@ def extract_flat(pages: DataFrame, selectors: dict[str, str], attribute: str | N
 
 
 def extract_rows(
-    pages: DataFrame, row_selector: str, selectors: dict[str, str], attribute: str | None = None
+    pages: DataFrame,
+    row_selector: str,
+    selectors: dict[str, str],
+    attribute: str | None = None,
+    with_url: bool = False,
 ) -> DataFrame:
-    """One row per ``row_selector`` match: ``page_id, row_idx`` and the fields.
+    """One row per ``row_selector`` match: ``page_id, row_idx``, the fields, its ``url``.
 
     The first match of a field inside a row is the next match after the row's start
     in document order, provided it lies before the row's end.
     """
     fields = fields_of(selectors, attribute)
     hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields, {"_row": row_selector})
-    for i in range(len(fields)):
-        following = F.expr(
+    following = {
+        f"_n{i}": F.expr(
             f"lead(if(_m{i}, struct(pre, _v{i} as value), null)) ignore nulls "
             "over (partition by page_id order by pre)"
         )
-        hits = hits.withColumn(f"_n{i}", following)
+        for i in range(len(fields))
+    }
+    url = [F.max("_url").over(SO_FAR).alias("url")] if with_url else []
+    hits = hits.select("page_id", "pre", "end", "_row", *[c.alias(n) for n, c in following.items()], *url)
     inside = [
         F.coalesce(F.when(F.col(f"_n{i}.pre") <= F.col("end"), F.col(f"_n{i}.value")), F.lit("")).alias(f.name)
         for i, f in enumerate(fields)
     ]
     return hits.where("_row").select(
-        "page_id", (F.row_number().over(IN_ORDER) - 1).alias("row_idx"), *inside
+        "page_id", (F.row_number().over(IN_ORDER) - 1).alias("row_idx"), *inside, *(["url"] if with_url else [])
     )
 
 
 def extract_one(
-    pages: DataFrame, selectors: dict[str, str], attribute: str | None = None, row_selector: str | None = None
+    pages: DataFrame,
+    selectors: dict[str, str],
+    attribute: str | None = None,
+    row_selector: str | None = None,
+    with_url: bool = False,
 ) -> DataFrame:
     """One row per page with the first match of every field, ``''`` for none.
 
     With ``row_selector`` the fields of the first matching row are taken.
     """
-    if row_selector:
-        first = extract_rows(pages, row_selector, selectors, attribute).where("row_idx = 0")
-        filled = [F.coalesce(c, F.lit("")).alias(c) for c in selectors]
-        return pages.select("page_id").join(first, "page_id", "left").select("page_id", *filled)
     fields = fields_of(selectors, attribute)
-    hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields)
+    extra = {"_row": row_selector} if row_selector else None
+    hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields, extra)
+    if row_selector:
+        # Only what lies below the first row counts; it is known once it has begun.
+        row = F.min(F.when(F.col("_row"), F.struct("pre", "end"))).over(SO_FAR)
+        hits = hits.withColumn("_open", row)
+        below = (F.col("pre") > F.col("_open.pre")) & (F.col("pre") <= F.col("_open.end"))
+        inside = {f"_m{i}": F.col(f"_m{i}") & F.coalesce(below, F.lit(False)) for i in range(len(fields))}
+        hits = hits.withColumns(inside)
     firsts = [
         F.coalesce(
             F.min(F.when(F.col(f"_m{i}"), F.struct("pre", F.col(f"_v{i}").alias("value"))))["value"],
@@ -369,4 +386,6 @@ def extract_one(
         ).alias(f.name)
         for i, f in enumerate(fields)
     ]
+    if with_url:
+        firsts.append(F.max("_url").alias("url"))
     return hits.groupBy("page_id").agg(*firsts)

@@ -15,6 +15,8 @@ def builder(master: str | None = None, shuffle_partitions: int | None = None):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites per column cost a round trip each; plans here hold thousands.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)

@@ -130,7 +130,7 @@ def robots_gate(
             "allowed",
             F.when(F.col("lost"), F.lit(allow_on_error)).otherwise(F.coalesce(verdict, F.lit(True))),
         )
-        .withColumn("crawl_delay", F.coalesce(delay["crawl_delay"], F.lit(0.0)))
+        .withColumn("crawl_delay", F.coalesce(F.when(~F.coalesce("lost", F.lit(False)), delay["crawl_delay"]), F.lit(0.0)))
         .drop("origin", "ours", "lost")
     )
 

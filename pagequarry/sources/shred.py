@@ -231,8 +231,10 @@ class _Tree(HTMLParser):
                 self.pieces.append((self.count, top, core, list(self.open_cells)))
 
 
-def _page_rows(tree: _Tree, page_id, html, text_for, ancestors) -> Iterable[tuple]:
+def _page_rows(tree: _Tree, page_id, html, url, text_for, ancestors) -> Iterable[tuple]:
     nodes = tree.build(html or "")
+    if url is not None:
+        nodes[0].attrs["url"] = url
     full = "".join(tree.texts) if text_for else ""
     tags, classes_wanted = text_for if text_for and text_for != "all" else ((), ())
     for n in nodes:
@@ -271,7 +273,8 @@ def shred(
 ) -> DataFrame:
     """Element rows of every page in ``pages(page_id, html)``.
 
-    A ``#document`` row with ``pre = 0`` stands for the page itself. ``own`` is the
+    A ``#document`` row with ``pre = 0`` stands for the page itself and carries its
+    ``url``, where ``pages`` has one, among its attributes. ``own`` is the
     text directly inside an element, ``own_len`` its length with each piece stripped.
     The options say what else the caller will read, so that nothing more crosses
     into Spark:
@@ -299,9 +302,10 @@ def shred(
 
         for incoming in batches:
             ids, htmls = incoming.column(0), incoming.column(1)
+            urls = incoming.column(2) if incoming.num_columns > 2 else None
             for i in range(incoming.num_rows):
-                page_id = ids[i].as_py()
-                rows.extend(_page_rows(tree, page_id, htmls[i].as_py(), text_for, ancestors))
+                page_id, url = ids[i].as_py(), urls[i].as_py() if urls else None
+                rows.extend(_page_rows(tree, page_id, htmls[i].as_py(), url, text_for, ancestors))
                 if cell_pieces:
                     rows.extend(_piece_rows(tree, page_id))
                 if len(rows) >= _ROWS_PER_BATCH:
@@ -310,4 +314,5 @@ def shred(
         if rows:
             yield batch()
 
-    return spread(pages.select("page_id", "html")).mapInArrow(to_rows, SCHEMA)
+    columns = ["page_id", "html", *(["url"] if "url" in pages.columns else [])]
+    return spread(pages.select(*columns)).mapInArrow(to_rows, SCHEMA)
