@@ -69,7 +69,7 @@ def b4(spark, sf):
 )
 def b5(spark, sf):
     leaves = dom.leaf_text(shred(table(spark, sf, "pages")))
-    nth = F.row_number().over(dom.IN_ORDER)
+    nth = F.row_number().over(dom.in_order())
     return leaves.select("page_id", nth.cast("bigint").alias("nth"), "key", "text")
 
 

@@ -25,9 +25,17 @@ FLOW_KEYWORDS = ["nav", "menu", "footer", "header", "sidebar", "breadcrumb", "co
                  "banner", "subscribe", "newsletter", "social"]
 ALL_KEYWORDS = FLOW_KEYWORDS + ["popup", "modal", "overlay", "advert", "promo", "skip-link"]
 
-PAGE = Window.partitionBy("page_id")
-IN_ORDER = PAGE.orderBy("pre")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def page():
+    return Window.partitionBy("page_id")
+
+
+def in_order():
+    return page().orderBy("pre")
+
+
+def so_far():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def joined_classes() -> Column:
@@ -84,7 +92,7 @@ def narrow(dom: DataFrame, noise: Column | None = None) -> DataFrame:
 
 def in_scope(nodes: DataFrame) -> DataFrame:
     """Rows below the first body element, or below the document when it has none."""
-    body = F.min(F.when(F.col("tag") == "body", F.struct("pre", "end"))).over(PAGE)
+    body = F.min(F.when(F.col("tag") == "body", F.struct("pre", "end"))).over(page())
     return (
         nodes.withColumn("_body", body)
         .where(
@@ -97,7 +105,7 @@ def in_scope(nodes: DataFrame) -> DataFrame:
 
 def alive(nodes: DataFrame) -> DataFrame:
     """Drop noisy subtrees: the largest ``end`` of a noise row so far covers ``pre``."""
-    reach = F.max(F.when(F.col("noise"), F.col("end"))).over(SO_FAR)
+    reach = F.max(F.when(F.col("noise"), F.col("end"))).over(so_far())
     return (
         nodes.withColumn("_reach", reach)
         .where(F.coalesce(F.col("_reach") < F.col("pre"), F.lit(True)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shred import shred
-from .dom import IN_ORDER, SO_FAR
+from .dom import in_order, so_far
 
 _IDENT = r"-?(?:[A-Za-z_\u0080-\uffff]|\\[0-9a-fA-F]{1,6}\s?|\\[^\n])(?:[\w\u0080-\uffff-]|\\[0-9a-fA-F]{1,6}\s?|\\[^\n])*"
 _TOKEN = re.compile(
@@ -268,7 +268,7 @@ def _combine(rows: DataFrame, combinator: str, left: str, right: str, out: str)
     """Add ``out``: ``right`` holds here and ``left`` on the related element."""
     if combinator == " ":
         reach = F.max(F.when(F.col(left), F.col("end"))).over(
-            IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+            in_order().rowsBetween(Window.unboundedPreceding, -1)
         )
         return rows.withColumn(out, F.col(right) & F.coalesce(reach >= F.col("pre"), F.lit(False)))
     if combinator == ">":
@@ -347,14 +347,14 @@ def extract_rows(
         )
         for i in range(len(fields))
     }
-    url = [F.max("_url").over(SO_FAR).alias("url")] if with_url else []
+    url = [F.max("_url").over(so_far()).alias("url")] if with_url else []
     hits = hits.select("page_id", "pre", "end", "_row", *[c.alias(n) for n, c in following.items()], *url)
     inside = [
         F.coalesce(F.when(F.col(f"_n{i}.pre") <= F.col("end"), F.col(f"_n{i}.value")), F.lit("")).alias(f.name)
         for i, f in enumerate(fields)
     ]
     return hits.where("_row").select(
-        "page_id", (F.row_number().over(IN_ORDER) - 1).alias("row_idx"), *inside, *(["url"] if with_url else [])
+        "page_id", (F.row_number().over(in_order()) - 1).alias("row_idx"), *inside, *(["url"] if with_url else [])
     )
 
 
@@ -374,7 +374,7 @@ def extract_one(
     hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields, extra)
     if row_selector:
         # Only what lies below the first row counts; it is known once it has begun.
-        row = F.min(F.when(F.col("_row"), F.struct("pre", "end"))).over(SO_FAR)
+        row = F.min(F.when(F.col("_row"), F.struct("pre", "end"))).over(so_far())
         hits = hits.withColumn("_open", row)
         below = (F.col("pre") > F.col("_open.pre")) & (F.col("pre") <= F.col("_open.end"))
         inside = {f"_m{i}": F.col(f"_m{i}") & F.coalesce(below, F.lit(False)) for i in range(len(fields))}
