@@ -18,6 +18,11 @@ RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL"] + [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
 

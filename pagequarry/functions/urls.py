@@ -64,11 +64,6 @@ def _parts(url: Column) -> Column:
     return F.split(F.regexp_replace(url, URL_PATTERN, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _fold_dots(segments: Column) -> Column:
     """Resolve ``.`` and ``..`` in a list of path segments."""
     folded = F.aggregate(
@@ -92,7 +87,7 @@ def _resolved_path(base: Column, ref: Column) -> Column:
     segments = F.split(F.concat(F.regexp_replace(base, "[^/]*$", ""), ref), "/")
     # Doubled slashes inside a relative result collapse; ends stay as they are.
     inner = F.filter(segments, lambda s, i: (i == 0) | (s != "") | (i == F.size(segments) - 1))
-    return F.when(ref.startswith("/"), _let(F.split(ref, "/"), _fold_dots)).otherwise(_let(inner, _fold_dots))
+    return F.when(ref.startswith("/"), text.let(F.split(ref, "/"), _fold_dots)).otherwise(text.let(inner, _fold_dots))
 
 
 def join(base: Column, ref: Column) -> Column:
@@ -121,7 +116,7 @@ def join(base: Column, ref: Column) -> Column:
             .otherwise(built)
         )
 
-    return _let(
+    return text.let(
         F.struct(base.alias("base"), ref.alias("ref"), _parts(base).alias("b"), _parts(ref).alias("r")), resolve
     )
 
@@ -139,5 +134,5 @@ def resolve_follow(value: Column, base: Column, prefix: str | None = None) -> Co
         fixed = x["t"].rlike(absolute) | (F.coalesce(x["b"], F.lit("")) == "")
         return F.when(fixed, x["t"]).when(x["t"].isNotNull(), join(x["b"], x["t"]))
 
-    found = _let(F.struct(target.alias("t"), base.alias("b")), against_base)
-    return _let(found, lambda u: F.when(u.rlike("^(?i:https?)://[^/?#]"), u))
+    found = text.let(F.struct(target.alias("t"), base.alias("b")), against_base)
+    return text.let(found, lambda u: F.when(u.rlike("^(?i:https?)://[^/?#]"), u))

@@ -20,51 +20,65 @@ MONTHS = [
 ]
 
 _D, _Y = r"(\d{1,2})", r"(\d{4})"
-# The accepted date layouts in order of preference, as
-# (name, pattern, group numbers of year, month, day, month words or None).
+_MDY, _DMY = rf"^([A-Za-z]+)\s+{_D},\s+{_Y}$", rf"^{_D}\s+([A-Za-z]+)\s+{_Y}$"
+# The accepted date layouts in order of preference, as (name, pattern,
+# year-month-day in terms of its groups, month words or None).
 DATE_LAYOUTS = [
-    ("yyyy-M-d", rf"^{_Y}-{_D}-{_D}$", (1, 2, 3), None),
-    ("d/M/yyyy", rf"^{_D}/{_D}/{_Y}$", (3, 2, 1), None),
-    ("M/d/yyyy", rf"^{_D}/{_D}/{_Y}$", (3, 1, 2), None),
-    ("yyyy/M/d", rf"^{_Y}/{_D}/{_D}$", (1, 2, 3), None),
-    ("d-M-yyyy", rf"^{_D}-{_D}-{_Y}$", (3, 2, 1), None),
-    ("d MMMM yyyy", rf"^{_D}\s+([A-Za-z]+)\s+{_Y}$", (3, 2, 1), MONTHS),
-    ("MMMM d, yyyy", rf"^([A-Za-z]+)\s+{_D},\s+{_Y}$", (3, 1, 2), MONTHS),
-    ("d MMM yyyy", rf"^{_D}\s+([A-Za-z]+)\s+{_Y}$", (3, 2, 1), [m[:3] for m in MONTHS]),
+    ("yyyy-M-d", rf"^{_Y}-{_D}-{_D}$", "$1-$2-$3", None),
+    ("d/M/yyyy", rf"^{_D}/{_D}/{_Y}$", "$3-$2-$1", None),
+    ("M/d/yyyy", rf"^{_D}/{_D}/{_Y}$", "$3-$1-$2", None),
+    ("yyyy/M/d", rf"^{_Y}/{_D}/{_D}$", "$1-$2-$3", None),
+    ("d-M-yyyy", rf"^{_D}-{_D}-{_Y}$", "$3-$2-$1", None),
+    ("d MMMM yyyy", _DMY, "$3-#-$1", MONTHS),
+    ("MMMM d, yyyy", _MDY, "$3-#-$2", MONTHS),
+    ("d MMM yyyy", _DMY, "$3-#-$1", [m[:3] for m in MONTHS]),
 ]
 DATE_NAMES = [layout[0] for layout in DATE_LAYOUTS]
 
 
+def _date_as(s: Column, name: str) -> Column:
+    """``parse_date_as`` on a stripped value."""
+    _, pattern, order, words = DATE_LAYOUTS[DATE_NAMES.index(name)]
+    iso = F.regexp_replace(s, pattern, order)
+    if words is not None:
+        word = F.lower(F.regexp_extract(s, "[A-Za-z]+", 0))
+        pos = F.array_position(F.array(*[F.lit(w) for w in words]), word)
+        iso = F.when(pos > 0, F.replace(iso, F.lit("#"), pos.cast("string")))
+    # There is no year zero.
+    return F.when(s.rlike(pattern) & ~iso.startswith("0000"), iso.try_cast("date"))
+
+
+def _date(s: Column) -> Column:
+    return F.coalesce(*[_date_as(s, name) for name in DATE_NAMES])
+
+
 def parse_date_as(c: Column, name: str) -> Column:
     """The DATE written in ``c`` in one layout, else NULL."""
-    _, pattern, (y, m, d), words = DATE_LAYOUTS[DATE_NAMES.index(name)]
-    s = text.strip(c)
-    year, month, day = (F.regexp_extract(s, pattern, g) for g in (y, m, d))
-    if words is not None:
-        pos = F.array_position(F.array(*[F.lit(w) for w in words]), F.lower(month))
-        month = F.when(pos > 0, pos.cast("string"))
-    iso = F.concat_ws("-", year, month, day)
-    usable = s.rlike(pattern) & (year != "0000") & month.isNotNull()
-    return F.when(usable, iso.try_cast("date"))
+    return text.let(text.strip(c), lambda s: _date_as(s, name))
 
 
 def parse_date(c: Column) -> Column:
     """The DATE written in ``c`` in the first layout that fits, else NULL."""
-    return F.coalesce(*[parse_date_as(c, name) for name in DATE_NAMES])
+    return text.let(text.strip(c), _date)
 
 
 def kind(c: Column) -> Column:
     """``empty`` or one of ``KINDS``; the first that fits."""
-    s = text.strip(c)
-    return (
-        F.when(s.isNull() | (s == ""), "empty")
-        .when(s.rlike(INTEGER), "integer")
-        .when(s.rlike(NUMBER), "number")
-        .when(s.rlike(CURRENCY), "currency")
-        .when(parse_date(s).isNotNull(), "date")
-        .when(F.lower(s).isin(TRUE_WORDS + FALSE_WORDS), "boolean")
-        .otherwise("string")
-    )
+
+    def of(s: Column) -> Column:
+        # Only text with a digit at either end can be a date in any layout.
+        dated = s.rlike(r"^\d|\d$") & _date(s).isNotNull()
+        return (
+            F.when(s.isNull() | (s == ""), "empty")
+            .when(s.rlike(INTEGER), "integer")
+            .when(s.rlike(NUMBER), "number")
+            .when(s.rlike(CURRENCY), "currency")
+            .when(dated, "date")
+            .when(F.lower(s).isin(TRUE_WORDS + FALSE_WORDS), "boolean")
+            .otherwise("string")
+        )
+
+    return text.let(text.strip(c), of)
 
 
 def strip_currency(c: Column, decimal_comma: bool = False) -> Column:
