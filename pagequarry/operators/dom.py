@@ -87,7 +87,11 @@ def narrow(dom: DataFrame, noise: Column | None = None) -> DataFrame:
         field_key().alias("key"),
         (is_noise() if noise is None else noise).alias("noise"),
     )
-    return reduced.repartition("page_id").sortWithinPartitions("page_id", "pre")
+    # A fixed number of partitions: the windows to come cost far more per byte than the
+    # merging of small shuffle partitions assumes.
+    spark = dom.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return reduced.repartition(parts, "page_id").sortWithinPartitions("page_id", "pre")
 
 
 def in_scope(nodes: DataFrame) -> DataFrame:

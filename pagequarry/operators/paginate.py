@@ -62,10 +62,9 @@ def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin:
     """``start, depth, url`` of the pages reached from ``starts(url)``, each once.
 
     A walk ends at a page without a link, another origin, a page that was not
-    captured, a repeat, or after ``max_pages``. The path doubles each round: after
-    ``k`` rounds every walk is known to depth ``2^k`` and every link spans ``2^k``
-    steps, so a hundred pages take seven rounds. Rounds are staged to cut lineage,
-    and stop when no walk grew.
+    captured, a repeat, or after ``max_pages``. The known path doubles each round:
+    ``steps`` spans 1, 2, 4, ... links, so a hundred pages take seven rounds, fewer
+    when no chain is that long. Only ``steps`` is staged between the rounds.
     """
     steps = links.select(F.col("url").alias("src"), F.col("next_url").alias("dst"))
     if same_origin:
@@ -73,23 +72,19 @@ def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin:
     seen = starts.select(F.col("url").alias("start"), F.lit(0).alias("depth"), "url").distinct()
     span = 1
     steps = stage(steps.distinct(), "steps")
-    while span < max_pages:
-        further = seen.join(steps, seen["url"] == steps["src"]).select(
-            "start", (F.col("depth") + span).alias("depth"), F.col("dst").alias("url")
-        )
+    while span < max_pages and not steps.isEmpty():
+        here = F.struct("depth", "url")
+        there = F.struct((F.col("depth") + span).alias("depth"), F.col("dst").alias("url"))
+        both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, there))
+        ahead = seen.join(steps, seen["url"] == steps["src"], "left").select("start", F.inline(both))
         # A walk that entered a loop meets its pages again, only deeper.
-        grown = seen.union(further).groupBy("start", "url").agg(F.min("depth").alias("depth"))
-        grown = stage(grown.where(F.col("depth") < max_pages), "walk")
-        more = grown.count() > seen.count()
-        seen = grown.select("start", "depth", "url")
+        seen = ahead.groupBy("start", "url").agg(F.min("depth").alias("depth"))
         span *= 2
-        if not more:
-            break
         if span < max_pages:
             a, b = steps.alias("a"), steps.alias("b")
             longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
             steps = stage(longer, "steps")
-    return seen
+    return stage(seen.where(F.col("depth") < max_pages).select("start", "depth", "url"), "walk")
 
 
 def walk_pages(
