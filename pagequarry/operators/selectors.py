@@ -77,7 +77,7 @@ def parse(selector: str) -> list[list[Step]]:
 
 def _split_commas(selector: str) -> list[str]:
     parts = re.findall(r"""(?:\\.|"[^"]*"|'[^']*'|\[[^\]]*\]|\([^)]*\)|[^,])+""", selector)
-    if not parts or any(not p.strip() for p in parts) or selector.strip()[-1:] == ",":
+    if any(not p.strip() for p in parts) or not parts or ",".join(parts) != selector:
         raise SelectorError(f"bad selector {selector!r}")
     return parts
 
@@ -234,13 +234,16 @@ def match(dom: DataFrame, selectors: dict[str, str], values: dict[str, Column] |
     for alternatives in chains.values():
         for step in (s for chain in alternatives for s in chain):
             sources.setdefault(step.source, f"_t{len(sources)}")
+    # The tests met go into one array per row: a filter over many named booleans makes
+    # the optimizer derive constraints for every combination of them.
     rows = dom.select(
         "page_id", "pre", "end", "parent", "child_idx",
-        *[predicate(src).alias(flag) for src, flag in sources.items()],
+        _numbers_of([predicate(src) for src in sources]).alias("_met"),
         *[v.alias(k) for k, v in (values or {}).items()],
     )
-    any_flag = reduce(lambda a, b: a | b, [F.col(f) for f in sources.values()])
-    rows = rows.where(any_flag | (F.col("pre") == 0))
+    rows = rows.where((F.size("_met") > 0) | (F.col("pre") == 0))
+    flags = [F.array_contains("_met", i).alias(flag) for i, flag in enumerate(sources.values())]
+    rows = rows.select("page_id", "pre", "end", "parent", "child_idx", *flags, *(values or {}))
 
     reached: dict[tuple[Step, ...], str] = {}
     for alternatives in chains.values():
@@ -259,9 +262,15 @@ def match(dom: DataFrame, selectors: dict[str, str], values: dict[str, Column] |
         name: reduce(lambda a, b: a | b, [F.col(reached[tuple(c)]) for c in alternatives])
         for name, alternatives in chains.items()
     }
-    rows = rows.withColumns(hits)
-    keep = reduce(lambda a, b: a | b, [F.col(n) for n in hits]) | (F.col("pre") == 0)
-    return rows.where(keep).select("page_id", "pre", "end", *hits, *(values or {}))
+    rows = rows.select("page_id", "pre", "end", _numbers_of(list(hits.values())).alias("_hit"), *(values or {}))
+    rows = rows.where((F.size("_hit") > 0) | (F.col("pre") == 0))
+    named = [F.array_contains("_hit", i).alias(name) for i, name in enumerate(hits)]
+    return rows.select("page_id", "pre", "end", *named, *(values or {}))
+
+
+def _numbers_of(tests: list[Column]) -> Column:
+    """The positions of the tests that hold."""
+    return F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
 
 
 def _combine(rows: DataFrame, combinator: str, left: str, right: str, out: str) -> DataFrame:
