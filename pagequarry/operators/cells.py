@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import scan
 
 # A table wider than this is almost surely a spec error; widening fails loudly.
@@ -59,8 +60,10 @@ def positional_concat(cells: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Append the columns of all pages end to end, each column on its own.
 
     Adds ``pos``, the cell's place in its column over all pages in ``page_id`` order.
-    Pages with different columns shift against each other; ``align`` does not.
+    Pages with different columns shift against each other; ``align`` does not. The
+    cells are written out once, since they are counted before they are placed.
     """
+    cells = stage(cells.select("page_id", "row_idx", "col", "value"), "cells")
     counts = cells.groupBy("page_id", "col").agg(F.count("*").alias("_n"))
     offsets = scan.running_sum(
         counts, ["col"], ["page_id"], F.floor(F.col("page_id") / chunk), F.col("_n"), "_upto"

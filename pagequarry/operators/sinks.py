@@ -156,10 +156,13 @@ def provenance(
         pairs = [F.lit(x) for kv in (d or {}).items() for x in map(str, kv)]
         return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
-    total = visited.agg(F.count_distinct("url").alias("n_pages"))
     first = visited.select("url").distinct().orderBy("url").limit(sample)
-    urls = first.agg(F.array_sort(F.collect_list("url")).alias("source_urls"))
-    return total.join(urls).select(
+    counted = visited.agg(F.count_distinct("url").alias("n_pages")).withColumn(
+        "source_urls", F.lit(None).cast("array<string>")
+    )
+    listed = first.agg(F.array_sort(F.collect_list("url")).alias("source_urls"))
+    both = counted.unionByName(listed, allowMissingColumns=True)
+    return both.agg(F.max("n_pages").alias("n_pages"), F.max("source_urls").alias("source_urls")).select(
         "n_pages",
         "source_urls",
         F.lit(started).alias("started_at"),

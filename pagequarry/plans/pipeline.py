@@ -12,6 +12,7 @@ from ..operators import follow as details
 from ..operators import profile, selectors, shape
 from ..operators.heuristic import heuristic_cells
 from ..operators.paginate import walk_pages
+from ..session import stage
 from ..sources.pages import pages_for, resolve_urls
 from . import registry
 from .spec import ExtractSpec
@@ -55,7 +56,11 @@ class ExtractResult:
 
 
 def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
-    """``page_id, row_idx`` and one string column per field."""
+    """``page_id, row_idx`` and one string column per field.
+
+    Cells with columns yet to be discovered are written out first, so that pages are
+    parsed once and not once for the names and once for the rows.
+    """
     if spec.extractor == "selector":
         if spec.row_selector:
             return selectors.extract_rows(pages, spec.row_selector, spec.selectors, spec.attribute)
@@ -65,7 +70,8 @@ def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
         found = heuristic_cells(pages, spec.heuristic())
     else:
         found = registry.extractor(spec.extractor)(pages, spec)
-    return long.to_wide(found, spec.keep_columns or long.discover_columns(found))
+    found = stage(found, "cells")
+    return long.to_wide(found, long.discover_columns(found))
 
 
 def _chosen_pages(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
@@ -79,12 +85,13 @@ def _chosen_pages(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
         route = walk_pages(pages, wanted, spec.max_auto_pages)
         order = route.groupBy("url").agg(F.min("depth").cast("bigint").alias("page_ord"))
     else:
-        order = wanted.groupBy("url").agg(F.lit(0).cast("bigint").alias("page_ord"))
+        order = wanted.groupBy("url").agg(F.min("ord").alias("page_ord"))
     return pages_for(pages, order).join(order, "url")
 
 
 def run(pages: DataFrame, spec: ExtractSpec) -> ExtractResult:
-    """Extract, follow, shape. Only the pages the job names are parsed."""
+    """Extract, follow, shape. Only the pages the job names are parsed, and once: the
+    table is written out before shaping, profiling and export go over it."""
     chosen = _chosen_pages(pages, spec)
     table = extract_wide(chosen, spec).join(chosen.select("page_id", "page_ord", "url"), "page_id")
     if spec.follow_field and spec.follow_selectors:
@@ -97,7 +104,7 @@ def run(pages: DataFrame, spec: ExtractSpec) -> ExtractResult:
             row_selector=spec.follow_row_selector,
             on_miss="skip" if spec.follow_skip_on_error else "fail",
         )
-    return ExtractResult(finish(table, spec), chosen.select("url"), spec)
+    return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec)
 
 
 def finish(table: DataFrame, spec: ExtractSpec, deduplicate: bool | None = None) -> DataFrame:

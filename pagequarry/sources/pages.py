@@ -33,14 +33,17 @@ def resolve_urls(
     page_range: str | None = None,
     max_pages: int = 10_000,
 ) -> DataFrame:
-    """The URL set of a job: a list, else a template with a range, else one URL."""
+    """The URLs of a job with their order, ``url, ord``: a list, else a template with a
+    range, else one URL."""
     from .frontier import expand_template
 
     if url_list:
-        return spark.createDataFrame([(u,) for u in url_list], "url string")
+        return spark.createDataFrame([(u, i) for i, u in enumerate(url_list)], "url string, ord bigint")
     if page_template and page_range:
         spec = spark.createDataFrame([(page_template, page_range)], "template string, pages string")
-        return expand_template(spec, "template", "pages", max_pages).select("url")
+        return expand_template(spec, "template", "pages", max_pages).select(
+            "url", F.col("pos").cast("bigint").alias("ord")
+        )
     if url:
-        return spark.createDataFrame([(url,)], "url string")
+        return spark.createDataFrame([(url, 0)], "url string, ord bigint")
     raise ValueError("give url, url_list, or page_template with page_range")

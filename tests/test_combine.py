@@ -121,6 +121,11 @@ def test_pipeline_writes(pages, tmp_path):
     assert out.columns == ["name"] and out.rows().count() == 12
     out.write("csv", str(tmp_path / "o"))
     assert [r.name for r in out.preview(2).collect()] == ["p1-0", "p1-1"]
+    spec = ExtractSpec(
+        page_template=f"{SITE}/l/{{page}}", pages="2,1", extractor="selector", row_selector="li.row", selectors={"b": "b"}
+    )
+    swapped = pipeline.run(df, spec).preview(13).collect()
+    assert [r.b for r in swapped][:2] == ["p2-0", "p2-1"] and swapped[12].b == "p1-0"
     with pytest.raises(KeyError, match="available: csv"):
         registry.sink("xml")
 
