@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, mixing, simhash
+from pagequarry.llm import bpe, chat, linedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,37 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual rank file, and the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+LINE_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+everything AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM docs),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM everything),
+lines AS (
+  SELECT *, row_number() OVER w AS idx, sum(words) OVER w AS upto
+  FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+enough AS (
+  SELECT s.doc_id, s.idx AS i, e.idx AS j FROM lines s JOIN lines e
+  ON s.doc_id = e.doc_id AND e.idx >= s.idx AND e.idx < s.idx + 50 AND e.upto - s.upto + s.words >= 50),
+blocks AS (
+  SELECT doc_id, i, min(j) AS j FROM enough GROUP BY doc_id, i
+  UNION SELECT doc_id, max(i) AS i, j FROM enough GROUP BY doc_id, j),
+content AS (
+  SELECT b.doc_id, i, min(line_no) AS lo, max(line_no) AS hi, string_agg(line, chr(10) ORDER BY idx) AS run
+  FROM blocks b JOIN lines l ON l.doc_id = b.doc_id AND l.idx BETWEEN i AND j GROUP BY b.doc_id, i, j),
+copies AS (SELECT * FROM content QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (
+  SELECT DISTINCT e.doc_id, e.line_no FROM everything e JOIN copies c
+  ON e.doc_id = c.doc_id AND e.line_no BETWEEN c.lo AND c.hi)
+SELECT e.doc_id, count(*)::BIGINT AS n_lines, count(g.doc_id)::BIGINT AS n_deleted,
+       coalesce(string_agg(e.line, chr(10) ORDER BY e.line_no) FILTER (g.doc_id IS NULL), '') AS text
+FROM everything e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.line_no = g.line_no GROUP BY e.doc_id
+"""
+
+
+@_query(LINE_SQL)
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the line runs of 50 words or more that occur earlier in the corpus."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = linedup.drop_repeats(docs)
+    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
