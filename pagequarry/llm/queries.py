@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, linedup, mixing, pii, simhash
+from pagequarry.llm import bpe, chat, linedup, mixing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,20 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the terms that disclose it."""
     return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@_query()
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows of two folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learns = toxicity.learn_fold()
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), learns)
+    scored = docs.select("doc_id", toxicity.tagger(model)(F.col("text")).alias("tagged"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(~learns, F.lit(False)).alias("held_out"),
+        F.col("tagged.score").alias("score"),
+        (F.col("tagged.score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        "tagged.starts",
+        "tagged.ends",
+    )
