@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, linedup, mixing, pii, simhash, toxicity
+from pagequarry.llm import bpe, chat, langid, linedup, mixing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,12 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tagged.starts",
         "tagged.ends",
     )
+
+
+@_query()
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three of four folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learns = langid.learn_fold()
+    found = langid.identify(docs, langid.learn(docs, learns))
+    return found.select("doc_id", F.coalesce(~learns, F.lit(False)).alias("held_out"), "lang_pred", "score")
