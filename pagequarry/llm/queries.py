@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, langid, linedup, mixing, pii, simhash, toxicity
+from pagequarry.llm import bpe, chat, hnsw, langid, linedup, mixing, pii, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,29 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     learns = langid.learn_fold()
     found = langid.identify(docs, langid.learn(docs, learns))
     return found.select("doc_id", F.coalesce(~learns, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+@_query(TOPK_SQL)
+def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best integer inner products of every twentieth vector, exactly."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query()
+def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return hnsw.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
