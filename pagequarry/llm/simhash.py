@@ -39,23 +39,37 @@ BATCH = 32768
 COUNTED = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of UTF-8 text: bit b is set if over half the shingle hashes have it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every shingle of UTF-8 text, A-Z in lower case; of the whole words if they are fewer."""
     found = text.lower().split()
-    if not found:
-        return 0
     if len(found) < words:
-        shingles = iter([b" ".join(found)])
-        n = 1
+        shingles = iter([b" ".join(found)] if found else [])
     else:
-        n = len(found) - words + 1
         shingles = map(b" ".join, zip(*(found[k:] for k in range(words))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+    n = max(len(found) - words + 1, bool(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if over half the hashes have it."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, COUNTED):
+    for at in range(0, len(hashes), COUNTED):
         octets = hashes[at : at + COUNTED].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of UTF-8 text."""
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -77,18 +91,20 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 def trie_pairs(fps: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of fingerprints in budget of each other, within each group.
 
-    ``fps`` is sorted within the groups that begin at ``starts`` (the last entry is the
-    end). A trie node is a range of places; all live node pairs go down a bit at a time.
+    ``fps`` has a row per fingerprint and a column per 64 bits, sorted within the groups
+    that begin at ``starts`` (the last entry is the end). A trie node is a range of
+    places; all live node pairs go down a bit at a time.
     """
     lo, hi = starts[:-1], starts[1:]
     many = hi - lo > 1
     a0, a1 = lo[many], hi[many]
-    b0, b1, spent = a0, a1, np.zeros(len(a0), np.int8)
+    b0, b1, spent = a0, a1, np.zeros(len(a0), np.int16)
     left, right = [], []
-    for bit in range(63, -1, -1):
+    for bit in range(64 * fps.shape[1]):
         if not len(a0):
             break
-        ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+        digit = (fps[:, bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1)
+        ones = np.concatenate([[0], np.cumsum(digit, dtype=np.int64)])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         apart = (spent < budget).nonzero()[0]
         cross = apart[a0[apart] != b0[apart]]
@@ -103,7 +119,7 @@ def trie_pairs(fps: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.nda
         live = (size_a > 0) & (size_b > 0) & ~((a0 == b0) & (size_a == 1))
         leaf = live & (size_a == 1) & (size_b == 1)
         i, j = a0[leaf], b0[leaf]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int16) <= budget
         left.append(i[near])
         right.append(j[near])
         live &= ~leaf
@@ -128,32 +144,35 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _walk(batches: Iterator[pa.RecordBatch], budget: int, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Links within the groups of a sorted stream of (mask, part, fp)."""
+def _walk(batches: Iterator[pa.RecordBatch], budget: int, spanning: bool, batch_rows: int) -> Iterator[pa.RecordBatch]:
+    """Links within the groups of a sorted stream of (mask, part, node, fingerprint words)."""
 
-    def solve(mask, part, fp):
-        order = np.lexsort((fp.view(np.uint64), part, mask))
-        mask, part, fp = mask[order], part[order], fp[order]
+    def solve(mask, part, node, *words):
+        words = [w.view(np.uint64) for w in words]
+        order = np.lexsort((*reversed(words), part, mask))
+        mask, part, node = mask[order], part[order], node[order]
         new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
-        starts = np.concatenate([np.flatnonzero(new), [len(fp)]])
-        i, j = trie_pairs(fp.view(np.uint64), starts, budget)
+        starts = np.concatenate([np.flatnonzero(new), [len(node)]])
+        i, j = trie_pairs(np.column_stack(words)[order], starts, budget)
         if spanning:
-            root = _roots(len(fp), i, j)
-            i = np.flatnonzero(root != np.arange(len(fp)))
+            root = _roots(len(node), i, j)
+            i = np.flatnonzero(root != np.arange(len(node)))
             j = root[i]
-        return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-    held = [np.zeros(0, np.int64)] * 3
+    held: list[np.ndarray] = []
     for batch in batches:
-        held = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns)]
-        if len(held[2]) >= BATCH:
-            # the last group may go on in the next batch
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            if not last.all():
-                cut = int(np.flatnonzero(~last)[-1]) + 1
-                yield solve(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-    if len(held[2]):
+        for at in range(0, batch.num_rows, batch_rows):
+            part = [np.asarray(c) for c in batch.slice(at, batch_rows).columns]
+            held = [np.concatenate([h, c]) for h, c in zip(held, part)] if held else part
+            if len(held[2]) >= batch_rows:
+                # the last group may go on in what comes next
+                last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+                if not last.all():
+                    cut = int(np.flatnonzero(~last)[-1]) + 1
+                    yield solve(*(h[:cut] for h in held))
+                    held = [h[cut:] for h in held]
+    if held and len(held[2]):
         yield solve(*held)
 
 
@@ -186,11 +205,11 @@ def links(fps: DataFrame, budget: int = 2, spanning: bool = True) -> DataFrame:
         keyed = rows.select("fp", F.explode(cut).alias("mask")).withColumn("part", F.expr("fp & mask"))
         sizes = stage(keyed.groupBy("mask", "part").count().filter("count > 1"), "blocks")
         joined = keyed.join(sizes, ["mask", "part"])
-        small = joined.filter(F.col("count") <= GROUP).select("mask", "part", "fp")
+        small = joined.filter(F.col("count") <= GROUP).select("mask", "part", "fp", F.col("fp").alias("word"))
         walked = (
             small.repartition("mask", "part")
             .sortWithinPartitions("mask", "part")
-            .mapInArrow(lambda it: _walk(it, budget, spanning), "a long, b long")
+            .mapInArrow(lambda it: _walk(it, budget, spanning, BATCH), "a long, b long")
         )
         found = walked if found is None else found.union(walked)
         if sizes.filter(F.col("count") > GROUP).isEmpty():
@@ -205,7 +224,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     """
     marked = stage(fingerprints(docs, words), "fingerprints")
     fps = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    reached = components(links(fps, budget), "a", "b")
+    return _classes(marked, fps, components(links(fps, budget), "a", "b"))
+
+
+def _classes(marked: DataFrame, fps: DataFrame, reached: DataFrame) -> DataFrame:
+    """``marked`` with each row's component, from the nodes' roots and the smallest id of each ``fp``."""
     linked = fps.join(reached.withColumnRenamed("node", "fp"), "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = linked.join(smallest, "root").select("fp", "component_id")
@@ -213,12 +236,102 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     return marked.join(stage(classes.union(alone), "classes"), "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest ``doc_id``.
+#: For similarity on shingle sets: fingerprint words, least hashes, and documents of a group at most.
+WORDS, LEAST, CLOSE = 4, 6, 1024
+
+
+def bits_apart(similarity: float, slack: float = 1.5) -> int:
+    """How many of a long fingerprint's bits may differ at this Jaccard similarity, ``slack`` deviations allowed.
+
+    Sets of equal size and Jaccard similarity s have cosine 2s / (1 + s); a bit differs
+    with the angle's share of a half turn.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WORDS
+    return int(n * share + slack * np.sqrt(n * share * (1 - share)))
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, text_hash, w0.., least)``: a long fingerprint, and the least hashes of the shingle set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            long = np.zeros((WORDS, batch.num_rows), np.uint64)
+            least = np.zeros((batch.num_rows, LEAST), np.uint64)
+            for k, x in enumerate(batch.column(2)):
+                hashes = np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words))
+                if len(hashes):
+                    long[:, k] = [majority(mixed(hashes, w)) for w in range(WORDS)]
+                    least[k] = [mixed(hashes, WORDS + m).min() for m in range(LEAST)]
+            columns = [*batch.columns[:2], *[pa.array(w.view(np.int64)) for w in long]]
+            columns.append(pa.array(list(least.view(np.int64)), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[f"w{w}" for w in range(WORDS)], "least"])
+
+    text = text_of()
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("octets"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = ", ".join(f"w{w} long" for w in range(WORDS))
+    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, {out}, least array<long>")
+
+
+def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes ``(node, w0.., least)`` whose long fingerprints are in budget.
+
+    A budget this wide leaves no block in which two fingerprints must agree, so the tries
+    are dealt by least hashes instead: two sets share each with their Jaccard similarity,
+    and all of them are missed by one pair in 15,000 at 0.8. A least hash that too many
+    share is taken together with a second one, then a third; documents that share all
+    are dealt by stretches of their fingerprints.
+    """
+    words = [f"w{w}" for w in range(WORDS)]
+    places = F.sequence(F.lit(0), F.lit(LEAST - 1))
+    rows = nodes.select("node", *words, "least", F.lit(0).cast("long").alias("part"), F.array().cast("array<int>").alias("used"))
+    found, depth = None, 0
+    while True:
+        depth += 1
+        free = F.filter(places, lambda m: ~F.array_contains("used", m))
+        if depth <= LEAST:
+            keyed = rows.withColumn("m", F.explode(free))
+            keyed = keyed.withColumn("used", F.array_sort(F.array_append("used", F.col("m")))).drop("m")
+            if depth > 1:
+                keyed = keyed.dropDuplicates(["node", "used"])
+            keyed = keyed.withColumn("part", F.xxhash64("used", F.transform("used", lambda m: F.get("least", m))))
+        else:
+            keyed = rows.withColumn("part", F.xxhash64("part", F.shiftright("w0", 64 - 8 * (depth - LEAST))))
+        keyed = keyed.withColumn("mask", F.lit(depth).cast("long"))
+        sizes = stage(keyed.groupBy("mask", "part").count().filter("count > 1"), "blocks")
+        joined = keyed.join(sizes, ["mask", "part"])
+        small = joined.filter(F.col("count") <= CLOSE).select("mask", "part", "node", *words)
+        walked = (
+            small.repartition("mask", "part")
+            .sortWithinPartitions("mask", "part")
+            .mapInArrow(lambda it: _walk(it, budget, True, CLOSE), "a long, b long")
+        )
+        found = walked if found is None else found.union(walked)
+        if depth == LEAST + 8 or sizes.filter(F.col("count") > CLOSE).isEmpty():
+            return found.distinct()
+        large = joined.filter(F.col("count") > CLOSE)
+        rows = stage(large.select("node", *words, "least", "part", "used"), "crowded")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, text_hash, fp, component_id)`` with links at this similarity of the shingle sets.
+
+    The similarity is the fingerprints' estimate, 256 bits wide; ``fp`` is a hash of them.
+    """
+    long = [f"w{w}" for w in range(WORDS)]
+    marked = stage(sketches(docs, words).withColumn("fp", F.xxhash64(*long)), "sketches")
+    nodes = marked.groupBy("fp").agg(*[F.first(w).alias(w) for w in long], F.first("least").alias("least"), F.min("doc_id").alias("first"))
+    nodes = stage(nodes, "distinct")
+    reached = components(similar_links(nodes.withColumnRenamed("fp", "node"), bits_apart(similarity)), "a", "b")
+    return _classes(marked.drop(*long, "least"), nodes.select("fp", "first"), reached)
+
+
+def keep_one(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of ``near``: the one of the smallest ``doc_id``.
 
     Among rows of the same id the smallest text hash decides; of rows alike in both, one stays.
     """
-    near = near_duplicates(docs, words, budget)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "fp")
     roots = near.withColumn("_none", F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = roots.groupBy("component_id", "_none").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
