@@ -13,9 +13,9 @@ Tokens without a feature all have the same potentials, so a stretch of them is a
 of one matrix: the recursion steps from featured token to featured token and is still
 that of the whole text.
 
-The field is fitted on at most ``per_class`` labelled documents a class, of at most
-``longest`` code points each (so the driver holds a fixed amount); scoring covers every
-whole text. Defined results: a null or empty text, or one without a letter, gets the
+The field is fitted on ``per_class`` labelled documents a class at most, of at most
+``longest`` code points each (so the driver holds a fixed amount; of rows that share an
+id no more than twice as many); scoring covers every whole text. Defined results: a null or empty text, or one without a letter, gets the
 score of no evidence; labels that are null, or of no document, are ignored, and of
 several labels of a document the largest holds; without toxic labels every score is 0;
 repeated rows each give a row; an empty table gives none; extra columns are ignored, or
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of
+from pagequarry.session import stage
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -234,13 +235,16 @@ def learn(docs: DataFrame, labels: DataFrame, learns: Column, per_class: int = P
     """Fits on the labelled rows for which ``learns`` (on doc_id) holds."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", text_of().alias("text")).filter(learns & (F.char_length("text") <= longest))
-    rows = rows.join(marked, "doc_id")
+    sized = docs.select("doc_id", F.char_length(text_of()).alias("chars")).filter(learns & (F.col("chars") <= longest))
+    drawn = stage(sized.select("doc_id").distinct().join(marked, "doc_id"), "labelled")
     draw = F.xxhash64("doc_id")
 
     def some(label: int) -> list[str]:
-        picked = rows.filter((F.col("toxic") > 0) == bool(label)).orderBy(draw, F.xxhash64("text")).limit(per_class)
-        return [r.text for r in picked.select("text").collect()]
+        # the ids alone are drawn first: no text is shuffled, and the table sent out has a fixed size
+        ids = drawn.filter((F.col("toxic") > 0) == bool(label)).orderBy(draw, "doc_id").select("doc_id").limit(per_class)
+        texts = docs.select("doc_id", text_of().alias("text")).filter(F.char_length("text") <= longest)
+        picked = texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * per_class)
+        return sorted(r.text for r in picked.select("text").collect())
 
     return fit(some(1), some(0))
 
