@@ -4,8 +4,8 @@ The network reads UTF-8 in windows of ``WINDOW`` bytes, once forwards and once b
 at every position both states together give a distribution over the languages. A
 document's distribution is the mean over the positions of its letters, in all windows of
 the whole text. It is trained here, in numpy, by backpropagation through time on windows
-cut from at most ``per_lang`` documents of each of the ``most`` commonest languages, so
-the driver holds a fixed amount.
+cut from about ``per_lang`` documents of each of the ``most`` commonest languages (never
+more than twice as many in all), so the driver holds a fixed amount.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without
 rows to learn from everything is ``und``; rows of null ``lang`` teach nothing; of equal
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of
@@ -173,15 +172,20 @@ def learn(docs: DataFrame, learns: Column, per_lang: int = PER_LANG, most: int =
     """A network trained on windows of the rows for which ``learns`` holds; None without any."""
     rows = docs.filter(learns & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    names = sorted(r.lang for r in langs.select("lang").collect())
+    counts = {r.lang: r["count"] for r in langs.collect()}
+    names = sorted(counts)
     if not names:
         return None
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
+    # a row is drawn if its hash lies below its language's share: no language is gathered in one place
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for name, n in counts.items():
+        share = F.when(F.col("lang") == name, per_lang / n).otherwise(share)
     octets = F.col("text").cast("binary")
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1))
     parts = F.array(*[F.substring(octets, (place(k) + 1).cast("int"), F.lit(WINDOW)) for k in range(3)])
-    picked = rows.filter(F.col("lang").isin(names)).select("lang", "doc_id", "text", nth.alias("nth"))
-    picked = picked.filter(F.col("nth") <= per_lang).select("lang", F.explode(F.array_distinct(parts)).alias("part"))
+    picked = rows.filter(draw < share).limit(2 * per_lang * len(names))
+    picked = picked.select("lang", F.explode(F.array_distinct(parts)).alias("part"))
     found = sorted((names.index(r.lang), bytes(r.part)) for r in picked.collect() if r.part)
     x, owner = windows([part for _, part in found])
     network = Network(names)
