@@ -160,7 +160,7 @@ def i3(spark, sf):
     result = job.run_job(
         job.load_job(_JOB), card_pages(spark, sf), {"n": "100"}, ExtractSpec(rename_columns={"name": "customer"})
     )
-    return result.table.select("page_id", big("row_idx"), "customer", "href")
+    return result.table.select(F.col("__page_id").alias("page_id"), F.col("__row_idx").cast("bigint").alias("row_idx"), "customer", "href")
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import profile, shape, sinks
-from ..session import scratch_path, spread
+from ..session import scatter, scratch_path
 from .base import query, table
 
 KEYS = ("c_custkey",)
@@ -133,7 +133,7 @@ def _cell_sql(expr="v") -> str:
 
 def _cells(spark, sf):
     cells = ", ".join(f"struct({i} as i, {e} as v)" for i, (_, _, e) in enumerate(_CELLS))
-    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey", f"inline(array({cells}))")
+    return scatter(table(spark, sf, "orders")).selectExpr("o_orderkey", f"inline(array({cells}))")
 
 
 @query("f1_classify", f"SELECT o_orderkey, i, kind FROM ({_cell_sql()})")

@@ -23,6 +23,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -56,6 +61,20 @@ def suffixed(names: list[str]) -> list[str]:
     return out
 
 
+def unclashing(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
+    """Names that differ by more than case: a later one gets the suffix ``_2``, ``_3``, ..."""
+    seen = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        new, n = name, 1
+        while new.lower() in seen:
+            n += 1
+            new = f"{name}_{n}"
+        seen.add(new.lower())
+        out.append(new)
+    return out
+
+
 def sanitise_name(c: Column, fallback: str = "output") -> Column:
     s = F.regexp_replace(F.regexp_replace(c, BAD_NAME_CHARS, "_"), "^[ .]+|[ .]+$", "")
     bad = (s == "") | F.upper(s).isin(RESERVED_NAMES)

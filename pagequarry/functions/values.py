@@ -91,7 +91,11 @@ def strip_currency(c: Column, decimal_comma: bool = False) -> Column:
 
 
 def to_number(c: Column, decimal_comma: bool = False) -> Column:
-    return text.strip(strip_currency(c, decimal_comma)).try_cast("double")
+    # The cast alone would also read suffixes of other languages, such as 5d or 10f.
+    def read(s: Column) -> Column:
+        return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+
+    return text.let(text.strip(strip_currency(c, decimal_comma)), read)
 
 
 def to_integer(c: Column) -> Column:

@@ -7,28 +7,35 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..session import stage
 from . import scan
 
-# A table wider than this is almost surely a spec error; widening fails loudly.
-MAX_COLUMNS = 2000
 
+def discover_columns(cells: DataFrame, limit: int | None = None) -> list[str]:
+    """The column names in ``cells``, in first-seen order, for a wide table.
 
-def discover_columns(cells: DataFrame, limit: int = MAX_COLUMNS) -> list[str]:
-    """The column names in ``cells``, in first-seen order. Bounded, or an error."""
+    ``limit`` is the caller's: with more names than that it raises. Crawls with very
+    many names are better kept long.
+    """
     first = F.min(F.struct("page_id", "col_ord"))
     names = cells.where("col is not null").groupBy("col").agg(first.alias("first"))
-    found = names.orderBy("first", "col").limit(limit + 1).collect()
-    if len(found) > limit:
+    names = names.orderBy("first", "col")
+    found = (names.limit(limit + 1) if limit is not None else names).collect()
+    if limit is not None and len(found) > limit:
         raise ValueError(f"more than {limit} distinct columns; name the ones to keep")
     return [r["col"] for r in found]
 
 
 def to_wide(cells: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per ``(page_id, row_idx)`` with ``columns``; missing cells are ``''``."""
+    """One row per ``(page_id, row_idx)`` with ``columns``; missing cells are ``''``.
+
+    Names that differ in case alone, or equal a key, get a suffix, since a table tells
+    no such columns apart.
+    """
     picks = [
-        F.coalesce(F.max(F.when(F.col("col") == c, F.col("value"))), F.lit("")).alias(c)
-        for c in columns
+        F.coalesce(F.max(F.when(F.col("col") == c, F.col("value"))), F.lit("")).alias(n)
+        for c, n in zip(columns, text.unclashing(columns, ("page_id", "row_idx")))
     ]
     return cells.groupBy("page_id", "row_idx").agg(*picks)
 
@@ -37,7 +44,7 @@ def to_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Inverse of ``to_wide``: one cell per row and column, blanks included."""
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("col"), F.lit(i).alias("col_ord"), F.col(c).alias("value"))
+            F.struct(F.lit(c).alias("col"), F.lit(i).alias("col_ord"), text.named(c).alias("value"))
             for i, c in enumerate(columns)
         ]
     )
@@ -52,7 +59,7 @@ def align(parts: list[DataFrame], order: str = "step") -> DataFrame:
     keys = ("page_id", "row_idx")
     numbered = [p.withColumn(order, F.lit(i)) for i, p in enumerate(parts)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
-    filled = [F.col(c) if c in keys else F.coalesce(c, F.lit("")).alias(c) for c in names]
+    filled = [text.named(c) if c in keys else F.coalesce(text.named(c), F.lit("")).alias(c) for c in names]
     return union.select(order, *filled)
 
 

@@ -16,7 +16,7 @@ def _unpivot(df: DataFrame, keys) -> DataFrame:
     have = data_columns(df, keys)
     order = [k for k in keys if k in df.columns]
     pairs = F.array(
-        *[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("name"), F.coalesce(c, F.lit("")).alias("v"))
+        *[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("name"), F.coalesce(text.named(c), F.lit("")).alias("v"))
           for i, c in enumerate(have)]
     )
     return df.select(*order, F.inline(pairs))
@@ -89,7 +89,7 @@ def date_layouts(df: DataFrame, columns: list[str]) -> dict[str, str]:
     preferred = sorted(values.DATE_NAMES, key=lambda n: n == "d/M/yyyy")
     counts = df.agg(
         *[
-            F.count(values.parse_date_as(F.col(c), n)).alias(f"c{i}_{j}")
+            F.count(values.parse_date_as(text.named(c), n)).alias(f"c{i}_{j}")
             for i, c in enumerate(columns)
             for j, n in enumerate(preferred)
         ]
@@ -115,7 +115,7 @@ def coerce(
     layouts = {**date_layouts(df, dated), **(layouts or {})}
 
     def typed(c: str):
-        kind, col = types.get(c, "string"), F.col(c)
+        kind, col = types.get(c, "string"), text.named(c)
         if kind == "integer":
             return values.to_integer(col)
         if kind in ("number", "currency"):

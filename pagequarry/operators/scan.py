@@ -2,11 +2,14 @@
 
 A window partitioned by the key alone puts a hot key into one task. Here the order is
 cut into chunks (an hour, a range of ids), windows run inside ``(key, chunk)``, and a
-small table of one row per ``(key, chunk)`` carries totals from chunk to chunk.
+small table of one row per ``(key, chunk)`` carries totals from chunk to chunk. Rows
+with a NULL key or an order of NULL are a group of their own; none is dropped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _carry(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``totals``, by key and chunk; NULL keys are equal."""
+    by = [*keys, "_chunk"]
+    totals = totals.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(by)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(by)])
+    return rows.join(totals, same).drop(*[f"_of_{i}" for i in range(len(by))])
+
+
 def running_sum(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, out: str
 ) -> DataFrame:
@@ -30,8 +41,7 @@ def running_sum(
     )
     local = F.sum("_value").over(_spec(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        cut.withColumn("_local", local)
-        .join(carried, [*keys, "_chunk"])
+        _carry(cut.withColumn("_local", local), carried, keys)
         .withColumn(out, F.col("_carry") + F.col("_local"))
         .drop("_chunk", "_value", "_local", "_carry")
     )
@@ -61,7 +71,7 @@ def spaced_slots(
         F.col("_max") - F.col("_skip") * gap, F.col("_carry")
     )
     return (
-        cut.join(carried.select(*keys, "_chunk", "_skip", "_carry"), [*keys, "_chunk"])
+        _carry(cut, carried.select(*keys, "_chunk", "_skip", "_carry"), keys)
         .withColumn(out, slot)
         .drop("_chunk", "_arrival", "_i", "_lead", "_max", "_skip", "_carry")
     )
@@ -84,10 +94,9 @@ def with_neighbours(
         F.lead("_head").over(chunks).alias("_after"),
     )
     local = _spec(keys, order)
+    placed = cut.withColumn("_lag", F.lag("_value").over(local)).withColumn("_lead", F.lead("_value").over(local))
     return (
-        cut.withColumn("_lag", F.lag("_value").over(local))
-        .withColumn("_lead", F.lead("_value").over(local))
-        .join(edges, [*keys, "_chunk"])
+        _carry(placed, edges, keys)
         .withColumn("prev", F.coalesce("_lag", "_before")["v"])
         .withColumn("next", F.coalesce("_lead", "_after")["v"])
         .drop("_chunk", "_value", "_lag", "_lead", "_before", "_after")

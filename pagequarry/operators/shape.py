@@ -20,12 +20,13 @@ def data_columns(df: DataFrame, keys=KEYS) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
-def _with(df: DataFrame, columns: list[str], keys) -> DataFrame:
-    return df.select(*[k for k in keys if k in df.columns], *columns)
+def _with(df: DataFrame, columns: list, keys) -> DataFrame:
+    picked = [text.named(c) if isinstance(c, str) else c for c in columns]
+    return df.select(*[k for k in keys if k in df.columns], *picked)
 
 
 def trim(df: DataFrame, keys=KEYS) -> DataFrame:
-    return _with(df, [text.strip(F.col(c)).alias(c) for c in data_columns(df, keys)], keys)
+    return _with(df, [text.strip(text.named(c)).alias(c) for c in data_columns(df, keys)], keys)
 
 
 def keep_or_drop(df: DataFrame, keep=(), drop=(), keys=KEYS) -> DataFrame:
@@ -61,7 +62,7 @@ def renamed(names: list[str], mapping: dict[str, str]) -> list[str]:
 def rename(df: DataFrame, mapping: dict[str, str], keys=KEYS) -> DataFrame:
     have = data_columns(df, keys)
     pairs = zip(have, renamed(have, mapping))
-    return _with(df, [F.col(a).alias(b) for a, b in pairs], keys)
+    return _with(df, [text.named(a).alias(b) for a, b in pairs], keys)
 
 
 def require(df: DataFrame, columns, keys=KEYS) -> DataFrame:
@@ -69,7 +70,7 @@ def require(df: DataFrame, columns, keys=KEYS) -> DataFrame:
     known = [c for c in columns if c in data_columns(df, keys)]
     if not known:
         return df
-    return df.where(reduce(lambda a, b: a & b, [~text.is_blank(F.col(c)) for c in known]))
+    return df.where(reduce(lambda a, b: a & b, [~text.is_blank(text.named(c)) for c in known]))
 
 
 def locked_columns(df: DataFrame, first_rows: int, keys=KEYS) -> list[str]:
@@ -83,7 +84,7 @@ def locked_columns(df: DataFrame, first_rows: int, keys=KEYS) -> list[str]:
     order = [k for k in keys if k in df.columns]
     if df.limit(first_rows + 1).count() <= first_rows:
         return have
-    flags = [F.max(~text.is_blank(F.col(c))).alias(f"c{i}") for i, c in enumerate(have)]
+    flags = [F.max(~text.is_blank(text.named(c))).alias(f"c{i}") for i, c in enumerate(have)]
     seen = df.orderBy(*order).limit(first_rows).agg(*flags).first()
     return [c for i, c in enumerate(have) if seen[f"c{i}"]]
 
@@ -98,8 +99,9 @@ def dedupe(df: DataFrame, keys=KEYS) -> DataFrame:
     order = [k for k in keys if k in df.columns]
     if not order:
         return df.distinct()
-    first = F.min(F.struct(*order)).alias("_first")
-    return df.groupBy(*have).agg(first).select("_first.*", *have)
+    first = F.min(F.struct(*order)).alias("__first")
+    have = [text.named(c) for c in have]
+    return df.groupBy(*have).agg(first).select("__first.*", *have)
 
 
 def shape(

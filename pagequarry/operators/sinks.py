@@ -28,7 +28,7 @@ def filled_columns(df: DataFrame, keys=KEYS) -> list[str]:
         return []
     strings = set(string_columns(df, keys))
     filled = [
-        F.max(~text.is_blank(F.col(c)) if c in strings else F.col(c).isNotNull()).alias(f"c{i}")
+        F.max(~text.is_blank(text.named(c)) if c in strings else text.named(c).isNotNull()).alias(f"c{i}")
         for i, c in enumerate(have)
     ]
     seen = df.agg(*filled).first()
@@ -36,22 +36,22 @@ def filled_columns(df: DataFrame, keys=KEYS) -> list[str]:
 
 
 def drop_empty_columns(df: DataFrame, keys=KEYS) -> DataFrame:
-    return df.select(*[k for k in keys if k in df.columns], *filled_columns(df, keys))
+    return df.select(*[k for k in keys if k in df.columns], *map(text.named, filled_columns(df, keys)))
 
 
 def sort_columns(df: DataFrame, keys=KEYS) -> DataFrame:
-    return df.select(*[k for k in keys if k in df.columns], *sorted(data_columns(df, keys)))
+    return df.select(*[k for k in keys if k in df.columns], *map(text.named, sorted(data_columns(df, keys))))
 
 
 def guard_formulas(df: DataFrame, keys=KEYS) -> DataFrame:
-    return df.withColumns({c: text.formula_guard(F.col(c)) for c in string_columns(df, keys)})
+    return df.withColumns({c: text.formula_guard(text.named(c)) for c in string_columns(df, keys)})
 
 
 def normalise_keys(df: DataFrame, keys=KEYS) -> DataFrame:
     have = data_columns(df, keys)
-    names = text.suffixed([text.slug_text(c) for c in have])
+    names = text.unclashing(text.suffixed([text.slug_text(c) for c in have]))
     return df.select(
-        *[k for k in keys if k in df.columns], *[F.col(a).alias(b) for a, b in zip(have, names)]
+        *[k for k in keys if k in df.columns], *[text.named(a).alias(b) for a, b in zip(have, names)]
     )
 
 
@@ -64,7 +64,7 @@ def null_policy(df: DataFrame, policy: str = "empty", keys=KEYS) -> DataFrame:
         raise ValueError(f"unknown null policy {policy!r}")
     if policy == "empty":
         return df
-    return df.withColumns({c: F.nullif(c, F.lit("")) for c in string_columns(df, keys)})
+    return df.withColumns({c: F.nullif(text.named(c), F.lit("")) for c in string_columns(df, keys)})
 
 
 def _export(df: DataFrame, drop_empty: bool, sort: bool, keys) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import cells as long
 from ..operators import follow as details
 from ..operators import profile, selectors, shape
@@ -14,26 +15,32 @@ from ..operators.heuristic import heuristic_cells
 from ..operators.paginate import walk_pages
 from ..session import stage
 from ..sources.pages import pages_for, resolve_urls
+from ..sources.shred import failures
 from . import registry
 from .spec import ExtractSpec
 
-KEYS = ("page_ord", "page_id", "row_idx", "url")
+# Where a row comes from. Names no field has, so that any field name works.
+KEYS = ("__page_ord", "__page_id", "__row_idx", "__url")
 
 
 @dataclass
 class ExtractResult:
-    """A lazy table plus its profile. Rows are ordered by the key columns."""
+    """A lazy table plus its profile. Rows are ordered by the key columns.
+
+    ``failed`` has the ``page_id`` and ``error`` of pages that could not be parsed.
+    """
 
     table: DataFrame
     visited: DataFrame
     spec: ExtractSpec
+    failed: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
         return shape.data_columns(self.table, KEYS)
 
     def rows(self) -> DataFrame:
-        return self.table.select(*self.columns)
+        return self.table.select(*map(text.named, self.columns))
 
     def typed(self) -> DataFrame:
         return profile.coerce(self.table, keys=KEYS)
@@ -42,7 +49,7 @@ class ExtractResult:
         return profile.quality(self.table, keys=KEYS)
 
     def preview(self, n: int = 5) -> DataFrame:
-        return profile.preview(self.table, n, KEYS).select(*self.columns)
+        return profile.preview(self.table, n, KEYS).select(*map(text.named, self.columns))
 
     def write(self, fmt: str, path: str, **options) -> None:
         table = self.typed() if self.spec.typed else self.table
@@ -55,23 +62,48 @@ class ExtractResult:
         registry.sink(fmt)(table, path, keys=KEYS, **options)
 
 
-def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
-    """``page_id, row_idx`` and one string column per field.
+def extract_cells(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
+    """``page_id, row_idx, col, col_ord, value`` of the discovering extractors, long."""
+    if spec.extractor == "heuristic":
+        return heuristic_cells(pages, spec.heuristic())
+    return registry.extractor(spec.extractor)(pages, spec)
+
+
+def keyed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``page_id, row_idx`` and further columns under reserved keys and these names."""
+    fields = [c for c in rows.columns if c not in ("page_id", "row_idx")]
+    picks = [text.named(c).alias(n) for c, n in zip(fields, text.unclashing(names, KEYS))]
+    return rows.select(F.col("page_id").alias("__page_id"), F.col("row_idx").alias("__row_idx"), *picks)
 
-    Cells with columns yet to be discovered are written out first, so that pages are
-    parsed once and not once for the names and once for the rows.
+
+def selected(pages: DataFrame, selectors_: dict[str, str], row_selector=None, attribute=None) -> DataFrame:
+    """Rows by selectors, under reserved keys; fields have inner names until the end."""
+    inner = {f"f{i}": selector for i, selector in enumerate(selectors_.values())}
+    if row_selector:
+        rows = selectors.extract_rows(pages, row_selector, inner, attribute)
+    else:
+        rows = long.to_wide(selectors.extract_flat(pages, inner, attribute), list(inner))
+    return keyed(rows.select("page_id", "row_idx", *inner), list(selectors_))
+
+
+def discovered(cells: DataFrame) -> DataFrame:
+    """Long cells as a wide table under reserved keys.
+
+    The cells are written out first, so that pages are parsed once and not once for the
+    names and once for the rows.
     """
+    cells = stage(cells, "cells")
+    names = long.discover_columns(cells)
+    inner = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, f"f{i}")]) if names else None
+    found = cells.withColumn("col", inner[F.col("col")]) if names else cells
+    return keyed(long.to_wide(found, [f"f{i}" for i in range(len(names))]), names)
+
+
+def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
+    """``__page_id, __row_idx`` and one string column per field."""
     if spec.extractor == "selector":
-        if spec.row_selector:
-            return selectors.extract_rows(pages, spec.row_selector, spec.selectors, spec.attribute)
-        flat = selectors.extract_flat(pages, spec.selectors, spec.attribute)
-        return long.to_wide(flat, list(spec.selectors))
-    if spec.extractor == "heuristic":
-        found = heuristic_cells(pages, spec.heuristic())
-    else:
-        found = registry.extractor(spec.extractor)(pages, spec)
-    found = stage(found, "cells")
-    return long.to_wide(found, long.discover_columns(found))
+        return selected(pages, spec.selectors, spec.row_selector, spec.attribute)
+    return discovered(extract_cells(pages, spec))
 
 
 def _chosen_pages(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
@@ -93,18 +125,37 @@ def run(pages: DataFrame, spec: ExtractSpec) -> ExtractResult:
     """Extract, follow, shape. Only the pages the job names are parsed, and once: the
     table is written out before shaping, profiling and export go over it."""
     chosen = _chosen_pages(pages, spec)
-    table = extract_wide(chosen, spec).join(chosen.select("page_id", "page_ord", "url"), "page_id")
+    table = extract_wide(chosen, spec).join(places(chosen), "__page_id")
     if spec.follow_field and spec.follow_selectors:
         table = details.follow(
             table,
             pages,
             spec.follow_field,
             spec.follow_selectors,
+            base="__url",
             prefix=spec.follow_url_prefix,
             row_selector=spec.follow_row_selector,
             on_miss="skip" if spec.follow_skip_on_error else "fail",
         )
-    return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec)
+    return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec, failures(chosen))
+
+
+def run_long(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
+    """``page_ord, url, row_idx, col, col_ord, value``: the cells without a wide table.
+
+    For crawls of many sites, whose column names grow with the sites: nothing is
+    gathered to name columns, and any sink can write the rows as they are.
+    """
+    chosen = _chosen_pages(pages, spec)
+    cells = extract_cells(chosen, spec).where("col is not null")
+    rows = cells.join(chosen.select("page_id", "page_ord", "url"), "page_id")
+    return rows.select("page_id", "page_ord", "url", "row_idx", "col", "col_ord", "value")
+
+
+def places(chosen: DataFrame) -> DataFrame:
+    return chosen.select(
+        F.col("page_id").alias("__page_id"), F.col("page_ord").alias("__page_ord"), F.col("url").alias("__url")
+    )
 
 
 def finish(table: DataFrame, spec: ExtractSpec, deduplicate: bool | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space and input spreading."""
+"""Session helpers: shared scratch space and dealing out inputs."""
 
 from __future__ import annotations
 
@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def builder(master: str | None = None, shuffle_partitions: int | None = None):
-    """A session builder with the settings the operators assume (UTC, AQE)."""
+def builder(
+    master: str | None = None, shuffle_partitions: int | None = None, input_partitions: int | None = None
+):
+    """A session builder with the settings the operators assume (UTC, AQE).
+
+    ``input_partitions`` deals small inputs over so many tasks before they are parsed.
+    """
     b = (
         SparkSession.builder.appName("pagequarry")
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,6 +25,8 @@ def builder(master: str | None = None, shuffle_partitions: int | None = None):
     )
     if master:
         b = b.master(master)
+    if input_partitions:
+        b = b.config("spark.pagequarry.partitions", str(input_partitions))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b
@@ -57,14 +64,10 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition inputs too small to occupy the cores; leave others as read.
+def scatter(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the partitions asked for in ``spark.pagequarry.partitions``.
 
-    The check uses the optimizer's size estimate only, so no job runs. Inputs
-    above 16 MB per core already come in enough splits and are not shuffled.
+    Unset, as on a cluster whose input comes in enough splits, nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < cores * (16 << 20):
-        return df.repartition(cores)
-    return df
+    n = df.sparkSession.conf.get("spark.pagequarry.partitions", None)
+    return df.repartition(int(n)) if n else df

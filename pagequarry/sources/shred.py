@@ -11,13 +11,14 @@ import sys
 from collections import Counter
 from collections.abc import Iterable
 from html.parser import HTMLParser
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import scatter
 
 # Workers get this module with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -201,6 +202,22 @@ class _Tree(HTMLParser):
         else:
             self._flush()
 
+    def parse_marked_section(self, i, report=1):
+        # Marked sections with an unknown keyword are comments, as for a browser.
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def unknown_decl(self, data):
+        self._flush()
+
     def handle_decl(self, decl):
         self._flush()
 
@@ -231,8 +248,17 @@ class _Tree(HTMLParser):
                 self.pieces.append((self.count, top, core, list(self.open_cells)))
 
 
-def _page_rows(tree: _Tree, page_id, html, url, text_for, ancestors) -> Iterable[tuple]:
-    nodes = tree.build(html or "")
+def _build(tree: _Tree, html: str | None) -> str | None:
+    """Parse a page into ``tree``; what went wrong, if anything did."""
+    try:
+        tree.build(html or "")
+    except Exception as exc:  # noqa: BLE001 - no page may end a job
+        return f"{type(exc).__name__}: {exc}"
+    return None
+
+
+def _page_rows(tree: _Tree, page_id, url, text_for, ancestors) -> Iterable[tuple]:
+    nodes = tree.nodes
     if url is not None:
         nodes[0].attrs["url"] = url
     full = "".join(tree.texts) if text_for else ""
@@ -287,6 +313,8 @@ def shred(
         the enclosing cells. The ``up`` of a cell lists the enclosing rows.
     ancestors
         fill ``up`` with that many ancestors, nearest first, instead.
+
+    A page that cannot be parsed has no rows here; ``failures`` lists it.
     """
     if text_for and text_for != "all":
         text_for = (frozenset(text_for[0]), frozenset(text_for[1]))
@@ -305,14 +333,30 @@ def shred(
             urls = incoming.column(2) if incoming.num_columns > 2 else None
             for i in range(incoming.num_rows):
                 page_id, url = ids[i].as_py(), urls[i].as_py() if urls else None
-                rows.extend(_page_rows(tree, page_id, htmls[i].as_py(), url, text_for, ancestors))
-                if cell_pieces:
-                    rows.extend(_piece_rows(tree, page_id))
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield batch()
-                    rows.clear()
+                if _build(tree, htmls[i].as_py()) is not None:
+                    continue
+                found = _page_rows(tree, page_id, url, text_for, ancestors)
+                for row in chain(found, _piece_rows(tree, page_id) if cell_pieces else ()):
+                    rows.append(row)
+                    if len(rows) >= _ROWS_PER_BATCH:
+                        yield batch()
+                        rows.clear()
         if rows:
             yield batch()
 
     columns = ["page_id", "html", *(["url"] if "url" in pages.columns else [])]
-    return spread(pages.select(*columns)).mapInArrow(to_rows, SCHEMA)
+    return scatter(pages.select(*columns)).mapInArrow(to_rows, SCHEMA)
+
+
+def failures(pages: DataFrame) -> DataFrame:
+    """``page_id, error`` of the pages ``shred`` gives no rows for. Parses them anew."""
+
+    def to_errors(batches):
+        tree = _Tree(False)
+        for incoming in batches:
+            found = [(i, _build(tree, html.as_py())) for i, html in zip(incoming.column(0), incoming.column(1))]
+            found = [(i.as_py(), error) for i, error in found if error is not None]
+            ids, errors = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(errors, pa.string())], ["page_id", "error"])
+
+    return scatter(pages.select("page_id", "html")).mapInArrow(to_errors, "page_id bigint, error string")

@@ -18,17 +18,31 @@ def captures(spark: SparkSession, path: str, fmt: str = "parquet", schema: str =
 
 
 def fresh(stream: DataFrame, fetched_at: str = "fetched_at", keep: str = "1 day") -> DataFrame:
-    """Drop repeats of one capture; state is held for ``keep`` only."""
+    """Drop repeats of one capture; state is held for ``keep`` only.
+
+    A capture that comes later than ``keep`` is dropped too; ``dropped_late`` counts them.
+    """
     return stream.withWatermark(fetched_at, keep).dropDuplicatesWithinWatermark(["url", fetched_at])
 
 
+def retries(spark: SparkSession, out: str) -> DataFrame:
+    """The pages of all batches that failed under ``out``, with their ``batch``."""
+    return spark.read.parquet(f"{out}/retry")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """How many captures ``fresh`` has dropped for coming later than it keeps state."""
+    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+    return sum(op.get("numRowsDroppedByWatermark", 0) for op in operators)
+
+
 def watch(
     stream: DataFrame,
     extract: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
     every: str | None = None,
-    fail_fast: bool = False,
+    fail_fast: bool = True,
 ) -> StreamingQuery:
     """Run ``extract`` on each batch of new pages and write its rows under ``out``.
 
@@ -36,12 +50,15 @@ def watch(
     new and stops, for an outside schedule to start. The checkpoint remembers what was
     taken. Rows go to ``out/rows/batch=N`` and counts to ``out/metrics/batch=N``; both
     are overwritten when a batch is retried, so each batch counts once. A batch that
-    fails is recorded in its metrics and the query goes on, unless ``fail_fast``.
+    fails ends the query, and the next start takes it again. Without ``fail_fast`` the
+    query goes on: the failed batch's pages are kept whole in ``out/retry/batch=N``, to
+    be read by ``retries``, and the error is recorded in the metrics.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows, error = None, None
+        batch = batch.persist()  # read by the extraction and by the count
         try:
             written = Observation()
             result = extract(batch).observe(written, F.count(F.lit(1)).alias("rows"))
@@ -50,8 +67,11 @@ def watch(
         except Exception as exc:  # noqa: BLE001 - recorded, and the next batch runs
             if fail_fast:
                 raise
-            error = "".join(traceback.format_exception_only(exc)).strip()[:2000]
+            error = "".join(traceback.format_exception_only(exc)).strip()
+            kept = f"{out}/retry/batch={number}"
+            batch.write.mode("overwrite").parquet(kept)
         record = [(number, batch.count(), rows, error)]
+        batch.unpersist()
         spark.createDataFrame(
             record, "batch_id bigint, pages bigint, rows bigint, error string"
         ).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")

@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     session = (
-        builder("local[8]", shuffle_partitions=8)
+        builder("local[8]", shuffle_partitions=8, input_partitions=8)
         .config("spark.checkpoint.dir", str(folder / "shared"))
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
         .config("spark.ui.showConsoleProgress", "false")

@@ -95,7 +95,7 @@ def test_job(pages):
         ],
     }
     out = job.run_job(job.load_job(spec), df, {"n": "5"})
-    rows = out.table.orderBy("page_ord", "row_idx").collect()
+    rows = out.table.orderBy("__page_ord", "__row_idx").collect()
     # The plain extract runs on the page the walk ended on.
     assert [(r.t, r.d) for r in rows] == [
         ("p1-0", "detail 10"), ("p1-1", "detail 11"), ("p2-0", "detail 20"), ("p2-1", "detail 21"), ("p2-0", ""),
@@ -107,11 +107,11 @@ def test_job(pages):
     ):
         with pytest.raises(job.JobError):
             job.load_job(broken)
-    with pytest.raises(job.JobError, match="required"):
+    with pytest.raises(job.JobError, match="no value for"):
         job.resolve_params({"n": {"required": True}}, {})
     assert job.resolve_params({"b": {"type": "bool"}, "f": {"type": "float", "default": 1.5}}, {"b": "Yes", "z": 1}) == {"b": True, "f": 1.5, "z": 1}
     assert job.fill_in({"a": ["x{{ p }}y", 3]}, {"p": 7}) == {"a": ["x7y", 3]}
-    with pytest.raises(job.JobError, match="unknown"):
+    with pytest.raises(job.JobError, match="has no value"):
         job.fill_in("{{q}}", {})
 
 
@@ -166,7 +166,7 @@ def test_stream_goes_on_after_a_failed_batch(spark, pages, tmp_path):
         return css.extract_rows(batch, "li.row", {"t": "b"})
 
     def start():
-        watch.watch(watch.captures(spark, land), extract, out, str(tmp_path / "state")).awaitTermination()
+        watch.watch(watch.captures(spark, land), extract, out, str(tmp_path / "state"), fail_fast=False).awaitTermination()
 
     start()
     bad = spark.createDataFrame([(9, "http://x/", "<p>")], watch.PAGE_SCHEMA)
@@ -178,3 +178,20 @@ def test_stream_goes_on_after_a_failed_batch(spark, pages, tmp_path):
     assert sorted(r.t for r in rows.collect()) == ["p1-0", "p1-1", "p2-0"]
     metrics = spark.read.parquet(f"{out}/metrics").orderBy("batch_id").collect()
     assert [(m.pages, m.rows) for m in metrics] == [(1, 2), (1, None), (1, 1)] and "broken" in metrics[1].error
+    assert [(r.page_id, r.batch) for r in watch.retries(spark, out).collect()] == [(9, 1)]
+
+
+def test_stream_stops_at_a_failed_batch_and_takes_it_again(spark, pages, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    pages(listing(1, 2, "")).coalesce(1).write.parquet(land)
+
+    def start(extract):
+        watch.watch(watch.captures(spark, land), extract, out, str(tmp_path / "state")).awaitTermination()
+
+    def broken(batch):
+        raise RuntimeError("store away")
+
+    with pytest.raises(Exception, match="store away"):
+        start(broken)
+    start(lambda batch: css.extract_rows(batch, "li.row", {"t": "b"}))
+    assert sorted(r.t for r in spark.read.parquet(f"{out}/rows").collect()) == ["p1-0", "p1-1"]
