@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pagequarry.catalog import QUERIES
@@ -27,8 +28,10 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    n = int(cpus) if cpus.isdigit() else 8
     spark = (
-        builder(f"local[{cpus}]", shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+        builder(f"local[{cpus}]", shuffle_partitions=n, input_partitions=n)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -234,3 +234,24 @@ def a11(spark, sf):
         "concat(user_id, '/', event_type) as url", "event_id as attempt_no", "value > 40 as ok"
     )
     return frontier.fetch_outcomes(attempts, retries=2)
+
+
+@query(
+    "a10_null_arrivals",
+    """SELECT event_id, user_id, slot FROM (
+         WITH RECURSIVE e AS (
+           SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS user_id, epoch_us(ts) AS a,
+                  row_number() OVER (PARTITION BY CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END ORDER BY ts, event_id) AS i
+           FROM events ),
+         r AS (SELECT event_id, user_id, i, a AS slot FROM e WHERE i = 1
+               UNION ALL SELECT e.event_id, e.user_id, e.i, greatest(e.a, r.slot + 7200000000)
+               FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)
+         SELECT * FROM r)""",
+)
+def a10_null(spark, sf):
+    # A NULL host is a host like any other: its fetches are spaced, none is lost.
+    events = table(spark, sf, "events").selectExpr(
+        "event_id", "nullif(user_id, case when user_id % 5 = 0 then user_id end) as user_id", "ts"
+    )
+    slots = frontier.fetch_slots(events, "user_id", "ts", "event_id", 1 / 7200)
+    return slots.select("event_id", "user_id", "slot")

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import actions, induce
 from ..operators import selectors as css
 from ..plans import job, pipeline, sites
 from ..plans.spec import ExtractSpec
 from ..session import scratch_path
+from ..sources.pages import pages_for
 from ..streaming import watch
 from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table
 from .combine import _HIT, _WALK
@@ -248,6 +250,7 @@ def i5_narrow(spark, sf):
 )
 def i8(spark, sf):
     all_paths = induce.node_selectors(card_pages(spark, sf))
+    # The oracle lists the leaves; what stands around them is left to the unit test.
     wanted = F.col("selector").rlike("span|h3|^#|nav-link|aside > p|pager > a")
     return all_paths.where(wanted).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
 
@@ -265,3 +268,125 @@ def entry_links(spark, sf):
     links = css.extract_flat(pages, {"link": "nav li a@href"}).join(pages.select("page_id", "url"), "page_id")
     target = urls.resolve_follow(F.col("value"), F.col("url"))
     return links.groupBy(urls.host(target).alias("host")).agg(F.count("*").alias("n_links"))
+
+
+@query(
+    "h1_failed_batch_retried",
+    "SELECT page_id, page_id % 2 = 1 AS retried FROM pages",
+)
+def h1_failed(spark, sf):
+    # Every batch with an odd page fails; its pages are kept for the retry.
+    out, state, land = (scratch_path(spark, n) for n in ("out", "state", "land"))
+    for odd in (0, 1):
+        table(spark, sf, "pages").where(f"page_id % 2 = {odd}").coalesce(1).write.mode("append").parquet(land)
+        stream = watch.captures(spark, land)
+        taken = lambda p, odd=odd: p.select("page_id", F.assert_true(F.lit(odd == 0)).alias("ok"))
+        watch.watch(stream, taken, out, state, fail_fast=False).awaitTermination()
+    good = spark.read.parquet(f"{out}/rows").select("page_id", F.lit(False).alias("retried"))
+    return good.union(watch.retries(spark, out).select("page_id", F.lit(True)))
+
+
+_BAD = ["'<![ if x]>' || html", "'<![1x]><![]><![foo[' || '>' || html", "html || '<b'", "NULL", "''"]
+
+
+@query(
+    "b1_bad_pages",
+    """SELECT page_id, count(*) AS n FROM (
+         SELECT page_id, unnest(regexp_extract_all(html, '<a href="')) AS a FROM pages WHERE page_id % 6 NOT IN (3, 4))
+       GROUP BY 1""",
+)
+def b1_bad(spark, sf):
+    # Broken declarations, cut-off tags, NULL and empty pages among the good ones.
+    cases = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(_BAD))
+    pages = table(spark, sf, "pages").selectExpr("page_id", "url", f"CASE page_id % 6 {cases} ELSE html END AS html")
+    links = css.extract_flat(pages, {"link": "nav li a@href"})
+    return links.groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "d8_follow_url_field",
+    """SELECT o_orderkey::VARCHAR AS target, 'Order ' || o_orderkey AS url, 'Order ' || o_orderkey AS "Url_2",
+              CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE 'details' END AS "U.S. $" FROM orders""",
+)
+def d8_url_field(spark, sf):
+    # Fields named like internal columns, in two cases, and with a dot, through the flow.
+    spec = ExtractSpec(
+        extractor="selector", row_selector="article.post",
+        selectors={"url": "h2", "Url": "h2", "target": "h2", "U.S. $": "a"},
+    )
+    rows = pipeline.run(order_lists(spark, sf), spec).rows()
+    return rows.withColumn("target", F.regexp_replace("target", "Order ", ""))
+
+
+@query(
+    "d2_odd_names",
+    f"""SELECT c_custkey // {PER_PAGE} AS p, 'NAME' AS col, c_name AS value FROM customer
+        UNION ALL SELECT c_custkey // {PER_PAGE}, 'name_2', printf('$%.2f', c_acctbal) FROM customer
+        UNION ALL SELECT c_custkey // {PER_PAGE}, 'a.b', c_mktsegment || ' & <co>' FROM customer""",
+)
+def d2_odd(spark, sf):
+    fields = {"NAME": "h3", "name": "span.balance", "a.b": "span.segment"}
+    flow = ExtractSpec(extractor="selector", row_selector="ul.cards > li", selectors=fields)
+    table_ = pipeline.run(card_pages(spark, sf), flow).table
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("value")) for c in ("NAME", "name_2", "a.b")])
+    return table_.select(F.col("__page_id").alias("p"), F.inline(cells))
+
+
+@query(
+    "f3_bad_numbers",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey + 0.5 WHEN 1 THEN -o_orderkey::DOUBLE
+              WHEN 2 THEN o_orderkey * 10.0 END::DOUBLE AS number FROM orders""",
+)
+def f3_bad(spark, sf):
+    forms = "CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey, '.5') WHEN 1 THEN concat('-', o_orderkey) " \
+        "WHEN 2 THEN concat(o_orderkey, 'e1') WHEN 3 THEN concat(o_orderkey, 'd') ELSE concat(o_orderkey, 'f') END"
+    return table(spark, sf, "orders").select("o_orderkey", values.to_number(F.expr(forms)).alias("number"))
+
+
+@query(
+    "c13_long_output",
+    f"""SELECT c_custkey // {PER_PAGE} AS page_id, c_custkey % {PER_PAGE} AS row_idx, c_name AS value FROM customer
+        WHERE c_custkey // {PER_PAGE} IN (SELECT c_custkey // {PER_PAGE} FROM customer GROUP BY 1 HAVING count(*) >= 10)""",
+)
+def c13_long(spark, sf):
+    # Discovered columns without a wide table; the name is the first column of a card.
+    found = pipeline.run_long(card_pages(spark, sf), ExtractSpec(threshold=10))
+    return found.where("value like 'Customer#%'").select("page_id", big("row_idx"), "value")
+
+
+@query("g11_all_urls", "SELECT DISTINCT url FROM pages")
+def g11_urls(spark, sf):
+    spec = ExtractSpec(extractor="selector", selectors={"title": "title"}, provenance=True, quality_report=True)
+    path = scratch_path(spark, "output")
+    pipeline.run(table(spark, sf, "pages"), spec).write("parquet", path)
+    beside = [spark.read.json(f"{path}.{kind}") for kind in ("meta", "quality")]
+    if any(df.isEmpty() for df in beside):
+        raise ValueError("a file beside the output is empty")
+    return spark.read.parquet(f"{path}.urls")
+
+
+@query(
+    "d6_recaptured",
+    f"""SELECT c_custkey // {PER_PAGE} AS page_id, c_custkey % {PER_PAGE} AS row_idx, c_name AS name FROM customer""",
+)
+def d6_recaptured(spark, sf):
+    # Every page captured twice: one capture counts, in the flow as in walks.
+    pages = card_pages(spark, sf)
+    again = pages.withColumn("page_id", F.col("page_id") + 10_000_000)
+    twice = pages.union(again)
+    rows = css.extract_rows(pages_for(twice, pages), "ul.cards > li", {"name": "h3"})
+    return rows.select("page_id", big("row_idx"), "name")
+
+
+@query(
+    "d11_job_heuristic",
+    f"""SELECT c_custkey % {PER_PAGE} AS row_idx, c_name AS name FROM customer WHERE c_custkey // {PER_PAGE} = 1""",
+)
+def d11_job(spark, sf):
+    # A promo block, which only the full keyword list of job steps takes out.
+    promo = '<div class="promo">' + "".join(f'<p class="deal"><b class="x">Deal {k}</b></p>' for k in range(40)) + "</div>"
+    pages = card_pages(spark, sf).withColumn("html", F.replace("html", F.lit("<aside>"), F.lit(promo + "<aside>")))
+    steps = [{"action": "goto", "url": "https://shop.example.com/list/1"}, {"action": "extract", "heuristic": True, "threshold": 10}]
+    found = job.run_job(job.load_job({"name": "promo", "steps": steps}), pages).table
+    names = [c for c in found.columns if c.startswith("card_title") or c in ("name", "card-title", "title")]
+    return found.select(F.col("__row_idx").cast("bigint").alias("row_idx"), F.coalesce(*[F.col(f"`{c}`") for c in names]).alias("name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..session import stage
+from ..sources.pages import pages_for
 from . import selectors as css
 
 
@@ -23,15 +24,14 @@ def details(
 ) -> DataFrame:
     """``target`` and the fields of the detail pages referred to as ``f``, one row per URL.
 
-    Only pages some row points to are parsed. Captures of one URL count once, the
-    one with the smallest ``page_id``.
+    Only pages some row points to are parsed, one capture of each URL.
     """
     wanted = targets.where("target is not null").select(F.col("target").alias("url")).distinct()
-    found = pages.join(wanted, "url", "left_semi")
+    found = pages_for(pages, wanted)
     inner = {f"f{i}": selector for i, selector in enumerate(selectors.values())}
     one = css.extract_one(found, inner, row_selector=row_selector, with_url=True)
     fields = F.struct(*inner)
-    return one.groupBy(F.col("url").alias("target")).agg(F.min_by(fields, "page_id").alias("f"))
+    return one.select(F.col("url").alias("target"), fields.alias("f"))
 
 
 def follow(

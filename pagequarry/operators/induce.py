@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import stage
+from ..session import semi_join, stage
 from ..sources.shred import shred
 from . import selectors as css
 
@@ -77,6 +77,8 @@ def induce(pages: DataFrame, examples: DataFrame) -> DataFrame:
     Examples without such a row are left out.
     """
     wanted = examples.select("page_id", "pre").distinct().withColumn("_picked", F.lit(True))
+    # Only pages with an example are parsed.
+    pages = semi_join(pages, wanted, "page_id")
     nodes = _nodes(pages, ancestors=1 << 30).join(wanted, ["page_id", "pre"], "left")
     info = ["tag", "classes", "class_sig", "selector", "part", "aria", "n_same"]
     lines = _lines(nodes, F.coalesce("_picked", F.lit(False)), info)
@@ -125,6 +127,7 @@ def node_selectors(pages: DataFrame, picked: Column | None = None) -> DataFrame:
 
 def broaden(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """One level up from ``rows(page_id, row_pre)`` where the parent repeats too."""
+    pages = semi_join(pages, rows, "page_id")
     nodes = stage(_nodes(pages, ancestors=1).select("page_id", "pre", "parent", "selector", "n_same"), "nodes")
     up = nodes.select("page_id", F.col("pre").alias("row_pre"), F.col("parent").alias("pre"))
     return (
@@ -149,7 +152,7 @@ def narrow(pages: DataFrame, rows: DataFrame) -> DataFrame:
     The element inside the row at hand must have a class; the new rows are the
     elements inside all of them, the first standing for the set.
     """
-    nodes = _nodes(pages, ancestors=1)
+    nodes = _nodes(semi_join(pages, rows, "page_id"), ancestors=1)
     nodes = nodes.withColumn("single", F.min(F.col("n_children") == 1).over(_group())).withColumn(
         "first", F.min("pre").over(_group())
     )

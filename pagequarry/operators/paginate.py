@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..session import stage
+from ..session import semi_join, stage
+from ..sources.pages import one_capture
 from ..sources.shred import shred
 from . import selectors as css
 
@@ -83,7 +84,7 @@ def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin:
         if span < max_pages:
             a, b = steps.alias("a"), steps.alias("b")
             longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-            steps = stage(longer, "steps")
+            steps = stage(longer.distinct(), "steps")
     return stage(seen.where(F.col("depth") < max_pages).select("start", "depth", "url"), "walk")
 
 
@@ -94,9 +95,18 @@ def walk_pages(
     next_selector: str | None = None,
     same_origin: bool = True,
 ) -> DataFrame:
-    """``start, depth, page_id, url`` of the captured pages along each walk."""
+    """``start, depth, page_id, url`` of the captured pages along each walk.
+
+    A walk that keeps to its origin only has the pages of that origin parsed. Of several
+    captures of a URL one counts.
+    """
+    if same_origin:
+        origins = starts.select(urls.origin(F.col("url")).alias("__origin"))
+        placed = pages.withColumn("__origin", urls.origin(F.col("url")))
+        pages = semi_join(placed, origins, "__origin").drop("__origin")
+    captured = stage(one_capture(pages.drop("html")), "captured")
+    pages = semi_join(pages, captured, "page_id")
     links = selected_links(pages, next_selector) if next_selector else next_links(pages)
-    captured = pages.select("page_id", "url")
     # A link to a page that was not captured ends the walk.
     links = links.join(captured.select(F.col("url").alias("next_url")), "next_url", "left_semi")
     reached = walk(starts.select("url"), links, max_pages, same_origin)
@@ -114,6 +124,6 @@ def extract_paginated(
 ) -> DataFrame:
     """Rows of every page along each walk: ``start, depth, page_id, row_idx``, fields."""
     route = walk_pages(pages, starts, max_pages, next_selector, same_origin)
-    visited = pages.join(route.select("url").distinct(), "url", "left_semi")
+    visited = semi_join(pages, route, "page_id")
     rows = css.extract_rows(visited, row_selector, selectors)
     return route.drop("url").join(rows, "page_id")

@@ -150,7 +150,10 @@ def provenance(
     visited: DataFrame, *, started: str, finished: str, extractor: str, selectors=None, options=None,
     sample: int = 1000,
 ) -> DataFrame:
-    """One row on how an output came about: counts, the first URLs, the settings."""
+    """One row on how an output came about: counts, the first ``sample`` URLs, the settings.
+
+    The row is for people; ``write_provenance`` keeps all URLs beside it.
+    """
 
     def text_map(d):
         pairs = [F.lit(x) for kv in (d or {}).items() for x in map(str, kv)]
@@ -173,5 +176,8 @@ def provenance(
     )
 
 
-def write_provenance(row: DataFrame, path: str) -> None:
+def write_provenance(row: DataFrame, path: str, visited: DataFrame | None = None) -> None:
+    """The row beside an output, and all visited URLs as a table beside it."""
     row.coalesce(1).write.mode("overwrite").json(f"{path}.meta")
+    if visited is not None:
+        visited.select("url").distinct().write.mode("overwrite").parquet(f"{path}.urls")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import cells as long
 from ..operators import follow as details
-from ..operators import profile, selectors, shape
+from ..operators import profile, selectors, shape, sinks
 from ..operators.heuristic import heuristic_cells
 from ..operators.paginate import walk_pages
 from ..session import stage
@@ -34,6 +35,7 @@ class ExtractResult:
     visited: DataFrame
     spec: ExtractSpec
     failed: DataFrame | None = None
+    started: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
 
     @property
     def columns(self) -> list[str]:
@@ -60,6 +62,13 @@ class ExtractResult:
             options.setdefault("normalise", self.spec.normalize_keys)
         options = {"drop_empty": self.spec.drop_empty, "sort": self.spec.sort_columns, **options}
         registry.sink(fmt)(table, path, keys=KEYS, **options)
+        if self.spec.quality_report:
+            sinks.write_quality(self.stats(), path)
+        if self.spec.provenance:
+            now = datetime.now(timezone.utc).isoformat()
+            how = {"started": self.started, "finished": now, "extractor": self.spec.extractor}
+            row = sinks.provenance(self.visited, **how, selectors=self.spec.selectors, sample=0)
+            sinks.write_provenance(row, path, self.visited)
 
 
 def extract_cells(pages: DataFrame, spec: ExtractSpec) -> DataFrame:

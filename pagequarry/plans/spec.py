@@ -46,6 +46,8 @@ class ExtractSpec:
     drop_empty: bool = True
     sort_columns: bool = False
     normalize_keys: bool = False
+    provenance: bool = False
+    quality_report: bool = False
 
     def heuristic(self) -> HeuristicSpec:
         from ..operators.dom import ALL_KEYWORDS

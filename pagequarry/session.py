@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def builder(
@@ -71,3 +72,14 @@ def scatter(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.conf.get("spark.pagequarry.partitions", None)
     return df.repartition(int(n)) if n else df
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: str | list[str], fits: int = 100_000) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``.
+
+    Up to ``fits`` keys, counted first, are sent to every task, so that wide rows such as
+    whole pages stay where they are; more keys are joined by a shuffle.
+    """
+    keys = keys.select(on).distinct()
+    few = keys.limit(fits + 1).count() <= fits
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -107,9 +107,12 @@ def robots_gate(
         F.array_sort(F.collect_list(F.struct("ord", "agent", "allow", "path", "crawl_delay"))).alias("r")
     )
     named = F.filter("r", lambda x: (x["agent"] != "*") & F.lit(agent).contains(F.lower(x["agent"])))
-    ours = F.when(F.size(named) > 0, F.filter(named, lambda x: x["agent"] == named[0]["agent"])).otherwise(
-        F.filter("r", lambda x: x["agent"] == "*")
-    )
+    # A group is an unbroken run of rules for one agent; a later group for the same
+    # agent doesn't count.
+    after = F.filter("r", lambda x: x["ord"] >= named[0]["ord"])
+    breaks = F.array_position(F.transform(after, lambda x: x["agent"] == named[0]["agent"]), False)
+    group = F.when(breaks > 0, F.slice(after, F.lit(1), (breaks - 1).cast("int"))).otherwise(after)
+    ours = F.when(F.size(named) > 0, group).otherwise(F.filter("r", lambda x: x["agent"] == "*"))
     per_origin = per_origin.select("origin", ours.alias("ours"))
     if unreadable is not None:
         lost = unreadable.select("origin").distinct().withColumn("lost", F.lit(True))

@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import semi_join
+
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """``page_id, url, html`` from parquet, orc, json lines, or one html file per page.
 
-    For html files the file name is the URL, percent-encoded, and the id its hash.
+    For html files the file name is the URL, percent-encoded, and the id a hash of the
+    whole path, so equal names in two folders are two pages.
     """
     if fmt == "html":
         raw = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_name").alias("name"), F.col("value").alias("html")
+            F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")
         )
         url = F.url_decode(F.regexp_replace("name", r"\.html?$", ""))
-        return raw.select(F.xxhash64("name").alias("page_id"), url.alias("url"), "html")
+        return raw.select(F.xxhash64("path").alias("page_id"), url.alias("url"), "html")
     return spark.read.format(fmt).load(path).select("page_id", "url", "html")
 
 
 def pages_for(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """The captured pages of a URL set; runs before anything is parsed."""
-    return pages.join(urls.select("url"), "url", "left_semi").select("page_id", "url", "html")
+    """The captured pages of a URL set, one per URL; runs before anything is parsed."""
+    wanted = semi_join(pages.drop("html"), urls, "url")
+    return semi_join(pages, one_capture(wanted), "page_id").select("page_id", "url", "html")
+
+
+def one_capture(pages: DataFrame) -> DataFrame:
+    """``url, page_id``: of several captures of a URL the newest by ``fetched_at``, where
+    there is such a column; then the one with the smallest id."""
+    if "fetched_at" not in pages.columns:
+        return pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    newest = F.min_by("page_id", F.struct((-F.unix_micros(F.col("fetched_at").cast("timestamp"))).alias("age"), "page_id"))
+    return pages.groupBy("url").agg(newest.alias("page_id"))
 
 
 def resolve_urls(
