@@ -23,6 +23,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def whole_row(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns as one struct, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without])
+
+
 def running_total(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the sum of ``value`` over earlier rows of the same group.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import WORD, running_total, text_of
+from pagequarry.llm.common import WORD, running_total, text_of, whole_row
 from pagequarry.session import stage
 
 MIN_WORDS = 50
@@ -136,17 +136,21 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns = docs.columns
     cuts = repeated_runs(docs, min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_cuts"))
     cuts = cuts.withColumnsRenamed({"d": "_d", "h": "_h"})
-    keyed = docs.withColumns({f"_{n}": c for n, c in _keys().items()}).withColumn("_parts", F.split(text_of(), "\n", -1))
-    joined = keyed.drop("text").join(cuts, ["_d", "_h"], "left")
+    keys = [c.alias(f"_{n}") for n, c in _keys().items()]
+    keyed = docs.select(*keys, F.split(text_of(), "\n", -1).alias("_parts"), whole_row(docs, ("text",)).alias("_row"))
+    joined = keyed.join(cuts, ["_d", "_h"], "left")
     last = lambda i: F.when(i > 0, F.col("_cuts")[i - 1]["hi"]).otherwise(F.lit(-1))
     between = F.transform("_cuts", lambda x, i: F.slice("_parts", last(i) + 2, x["lo"] - last(i) - 1))
     end = F.element_at("_cuts", -1)["hi"]
     tail = F.slice("_parts", end + 2, F.size("_parts"))
     kept = F.when(F.col("_cuts").isNull(), F.col("_parts")).otherwise(F.flatten(F.concat(between, F.array(tail))))
     gone = F.aggregate("_cuts", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"] + 1)
-    return joined.withColumn("text", F.array_join(kept, "\n")).withColumn(
-        "_deleted", F.coalesce(gone, F.lit(0).cast("long"))
-    ).select(*[F.col(f"`{c}`") for c in columns], F.size("_parts").cast("long").alias("_lines"), "_deleted")
+    text = F.array_join(kept, "\n").alias("text")
+    return joined.select(
+        *[text if c == "text" else F.col(f"_row.`{c}`") for c in columns],
+        F.size("_parts").cast("long").alias("_lines"),
+        F.coalesce(gone, F.lit(0).cast("long")).alias("_deleted"),
+    )
 
 
 def clean_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import text_of
+from pagequarry.llm.common import text_of, whole_row
 from pagequarry.session import stage
 
 #: The base patterns. A match can begin where the last one ended or at the start of a run,
@@ -195,7 +195,7 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosed"] >= remove, "").otherwise("[TERM]").alias("by")),
     )
     edits = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.sort_array(F.concat(base, term)).alias("_edits"))
-    keyed = docs.withColumn("_own", F.xxhash64(text_of()))
+    keyed = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_own"), whole_row(docs, ("text",)).alias("_row"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -207,4 +207,5 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove
     done = F.aggregate("_edits", start, step)
     joined = keyed.join(edits, same, "left").withColumn("_done", done)
     clean = F.concat(F.col("_done.out"), F.substring(text_of(), F.col("_done.at") + 1, F.char_length(text_of())))
-    return joined.withColumn("text", F.when(F.size("_edits") > 0, clean).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in columns])
+    text = F.when(F.size("_edits") > 0, clean).otherwise(F.col("text")).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"_row.`{c}`") for c in columns])

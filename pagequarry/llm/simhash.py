@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import text_of
+from pagequarry.llm.common import text_of, whole_row
 from pagequarry.llm.components import components
 from pagequarry.session import stage
 
@@ -337,5 +337,5 @@ def keep_one(docs: DataFrame, near: DataFrame) -> DataFrame:
     kept = roots.groupBy("component_id", "_none").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
     key = F.coalesce(F.col("doc_id"), F.lit(-1))
     kept = kept.select(key.alias("_id"), F.col("text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_id": key, "_hash": F.xxhash64(text_of())})
-    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    keyed = docs.select(key.alias("_id"), F.xxhash64(text_of()).alias("_hash"), whole_row(docs).alias("_row"))
+    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
