@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pagequarry.llm import vectors
 
 #: Vectors of a shard, on average.
-SHARD = 16384
+SHARD = 8192
 #: Segments per dimension, after which shares of all segments the proof is tried, and the
 #: share of a shard worth scoring.
-SEGMENTS, TRIES, FEW = 12, (0.5, 0.65, 0.8, 0.9, 1.0), 0.1
+SEGMENTS, TRIES, FEW = 12, (0.7, 0.85, 1.0), 0.1
 
 
 class ImpactIndex:
@@ -42,8 +42,8 @@ class ImpactIndex:
         self.largest = int(np.abs(rows).sum(axis=1).max(initial=0))
         order = np.argsort(rows, axis=0, kind="stable")
         cuts = np.unique(np.linspace(0, n, min(SEGMENTS, n) + 1).astype(int))
-        self.segments = len(cuts) - 1
-        self.postings = [[order[a:b, d].copy() for a, b in zip(cuts, cuts[1:])] for d in range(width)]
+        self.segments, self.sizes = len(cuts) - 1, np.diff(cuts)
+        self.postings = [[np.sort(order[a:b, d]) for a, b in zip(cuts, cuts[1:])] for d in range(width)]
         values = np.take_along_axis(rows, order, axis=0)
         #: Least and greatest value of each (dimension, segment).
         self.low, self.high = values[cuts[:-1]].T, values[cuts[1:] - 1].T
@@ -60,17 +60,18 @@ class ImpactIndex:
         gain, reach = least - floor, most - floor
         hidden = (reach - gain).max(axis=1)
         order = np.argsort(-gain, axis=None, kind="stable")
-        dims = np.repeat(np.arange(len(query)), self.segments)[order]
-        segs = np.tile(np.arange(self.segments), len(query))[order]
-        gains = gain.ravel()[order]
+        order = order[: np.count_nonzero(gain)]  # the rest add nothing
+        dims, segs = np.divmod(order, self.segments)
+        gains = gain.ravel()[order].astype(np.float64)
+        sizes = self.sizes[segs]
         total = np.zeros(n)  # of whole numbers
         left = reach.copy()
         maybe, at = np.arange(n), 0
         for share in TRIES:
             to = round(share * len(order))
             some = [self.postings[d][s] for d, s in zip(dims[at:to].tolist(), segs[at:to].tolist())]
-            each = np.repeat(gains[at:to], [len(x) for x in some])
-            total += np.bincount(np.concatenate(some), each, n)
+            if some:
+                total += np.bincount(np.concatenate(some), np.repeat(gains[at:to], sizes[at:to]), n)
             left[dims[at:to], segs[at:to]] = 0
             at = to
             # a dimension still owes the best segment left, or what its processed ones hide

@@ -27,7 +27,7 @@ def ranked(scores, ids, own, k):
     return ids[np.lexsort((ids, -scores))][: min(k, int((scores > -np.inf).sum()))].tolist()
 
 
-@pytest.mark.parametrize("shard", [200, 16384])
+@pytest.mark.parametrize("shard", [200, 8192])
 def test_topk_is_exact(spark, vectors, shard, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", shard)
     df, rows = vectors
