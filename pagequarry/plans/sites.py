@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +61,16 @@ def route(pages: DataFrame, names: DataFrame) -> DataFrame:
 def extract_by_site(pages: DataFrame, specs: dict[str, dict[str, str]]) -> DataFrame:
     """``page_id, site, col, value``: the first match of each field, by site spec.
 
-    Pages of no site are left out before anything is parsed; sites with the same
-    selectors share one pass.
+    Pages of no site are left out before anything is parsed. The distinct selectors of
+    all sites are matched in one pass, and each page keeps those of its own site.
     """
     spark = pages.sparkSession
     names = spark.createDataFrame([(s,) for s in specs], "name string")
     routed = pages.join(route(pages, names), "page_id")
-    groups: dict[tuple, list[str]] = {}
-    for site, selectors in specs.items():
-        groups.setdefault(tuple(selectors.items()), []).append(site)
-    parts = []
-    for items, sites in groups.items():
-        mine = routed.where(F.col("site").isin(sites))
-        one = css.extract_one(mine, dict(items))
-        pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c, _ in items])
-        parts.append(one.select("page_id", F.inline(pairs)))
-    cells = reduce(lambda a, b: a.unionByName(b), parts)
-    return cells.join(routed.select("page_id", "site"), "page_id").select("page_id", "site", "col", "value")
+    distinct = sorted({selector for selectors in specs.values() for selector in selectors.values()})
+    one = css.extract_one(routed.select("page_id", "url", "html"), {f"s{i}": s for i, s in enumerate(distinct)})
+    fields = [(site, c, distinct.index(s)) for site, selectors in specs.items() for c, s in selectors.items()]
+    wanted = spark.createDataFrame(fields, "site string, col string, place int")
+    found = one.select("page_id", F.array(*[F.col(f"s{i}") for i in range(len(distinct))]).alias("values"))
+    mine = found.join(routed.select("page_id", "site"), "page_id").join(wanted, "site")
+    return mine.select("page_id", "site", "col", F.get("values", F.col("place")).alias("value"))
