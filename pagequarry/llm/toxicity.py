@@ -125,15 +125,16 @@ NOTHING = Model({}, 0.0, np.zeros((2, 2)), (-50.0, 0.0, 0.0))
 
 
 def _vocabulary(toxic: list[str], clean: list[str]) -> dict[str, int]:
-    counts = []
-    for texts in (toxic, clean):
-        seen: Counter[str] = Counter()
-        for text in texts:
-            seen.update({f for token in set(TOKEN.findall(text)) for f in features(token)})
-        counts.append(seen)
-    bad, good = counts
+    of = lambda text: {f for token in set(TOKEN.findall(text)) for f in features(token)}
+    bad: Counter[str] = Counter()
+    for text in toxic:
+        bad.update(of(text))
+    bad = Counter({f: n for f, n in bad.items() if n >= SUPPORT})
+    good: Counter[str] = Counter()
+    for text in clean:
+        good.update(of(text) & bad.keys())
     odds = lambda f: np.log((bad[f] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (good[f] + 0.5))
-    return {f: k for k, f in enumerate(sorted(f for f, n in bad.items() if n >= SUPPORT and odds(f) >= ODDS))}
+    return {f: k for k, f in enumerate(sorted(f for f in bad if odds(f) >= ODDS))}
 
 
 def _windows(texts: list[str], labels: list[int], index: dict[str, int]):
@@ -156,10 +157,10 @@ def _windows(texts: list[str], labels: list[int], index: dict[str, int]):
         for at in starts:
             part = [known[t] for t in tokens[at : at + WINDOW]]
             part += [[]] * (WINDOW - len(part))
-            ids.append([f + [none] * (FEATURED - len(f)) for f in part])
-            marks.append([bool(f) and label for f in part])
-            there.append([at + k < len(tokens) for k in range(WINDOW)])
-    return np.array(ids, np.int32), np.array(marks, float), np.array(there, float)
+            ids.append(np.array([f + [none] * (FEATURED - len(f)) for f in part], np.int32))
+            marks.append(np.array([bool(f) and label for f in part]))
+            there.append(np.arange(at, at + WINDOW) < len(tokens))
+    return np.stack(ids), np.stack(marks).astype(float), np.stack(there).astype(float)
 
 
 def _train(ids: np.ndarray, marks: np.ndarray, there: np.ndarray, size: int, rounds: int = 60, rate: float = 0.3):
