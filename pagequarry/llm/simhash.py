@@ -18,18 +18,18 @@ a row; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of, whole_row
 from pagequarry.llm.components import components
-from pagequarry.session import stage
+from pagequarry.session import semi_join, stage
 
 #: Fingerprints of one sub-trie at most; larger ones are cut by further blocks.
 GROUP = 4096
@@ -236,95 +236,131 @@ def _classes(marked: DataFrame, fps: DataFrame, reached: DataFrame) -> DataFrame
     return marked.join(stage(classes.union(alone), "classes"), "fp")
 
 
-#: For similarity on shingle sets: fingerprint words, least hashes, and documents of a group at most.
-WORDS, LEAST, CLOSE = 4, 6, 1024
+#: For similarity on shingle sets: least hashes, words of a parity bitmap, and members of a bucket compared at once.
+LEAST, WORDS, CLOSE = 12, 8, 1024
+#: Rounds of pivots at most before all open pairs are taken; the links found span the same classes after any number.
+PIVOTS = 4
 
 
-def bits_apart(similarity: float, slack: float = 1.5) -> int:
-    """How many of a long fingerprint's bits may differ at this Jaccard similarity, ``slack`` deviations allowed.
-
-    Sets of equal size and Jaccard similarity s have cosine 2s / (1 + s); a bit differs
-    with the angle's share of a half turn.
-    """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WORDS
-    return int(n * share + slack * np.sqrt(n * share * (1 - share)))
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hashes: whether an odd number of them has it."""
+    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, text_hash, w0.., least)``: a long fingerprint, and the least hashes of the shingle set."""
+    """``(doc_id, text_hash, fp, n, p0.., least)`` of the shingle set: hash, size, parity bitmap, least hashes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            long = np.zeros((WORDS, batch.num_rows), np.uint64)
-            least = np.zeros((batch.num_rows, LEAST), np.uint64)
+            fp, n = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            bits, least = np.zeros((WORDS, batch.num_rows), np.uint64), []
             for k, x in enumerate(batch.column(2)):
                 hashes = np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words))
-                if len(hashes):
-                    long[:, k] = [majority(mixed(hashes, w)) for w in range(WORDS)]
-                    least[k] = [mixed(hashes, WORDS + m).min() for m in range(LEAST)]
-            columns = [*batch.columns[:2], *[pa.array(w.view(np.int64)) for w in long]]
-            columns.append(pa.array(list(least.view(np.int64)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *[f"w{w}" for w in range(WORDS)], "least"])
+                fp[k], n[k] = xxhash.xxh64_intdigest(hashes.tobytes(), 42), len(hashes)
+                bits[:, k] = parity(hashes)
+                least.append(np.array([mixed(hashes, m).min() for m in range(LEAST * bool(len(hashes)))], np.uint64).view(np.int64))
+            columns = [*batch.columns[:2], pa.array(fp.view(np.int64)), pa.array(n), *[pa.array(w.view(np.int64)) for w in bits]]
+            columns.append(pa.array(least, pa.list_(pa.int64())))
+            names = ["doc_id", "text_hash", "fp", "n", *[f"p{w}" for w in range(WORDS)], "least"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     text = text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("octets"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = ", ".join(f"w{w} long" for w in range(WORDS))
-    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, {out}, least array<long>")
+    out = ", ".join(f"p{w} long" for w in range(WORDS))
+    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, fp long, n long, {out}, least array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int, texts: DataFrame) -> DataFrame:
+    """``(node, hashes)``: the shingle sets of the documents whose ``text_hash`` is in ``texts``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words)) for x in batch.column(1)]
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64)
+            hashes = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), hashes], ["node", "hashes"])
 
+    rows = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("octets"))
+    return semi_join(rows, texts, "text_hash").mapInArrow(each, "node long, hashes array<long>").dropDuplicates(["node"])
 
-def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes ``(node, w0.., least)`` whose long fingerprints are in budget.
 
-    A budget this wide leaves no block in which two fingerprints must agree, so the tries
-    are dealt by least hashes instead: two sets share each with their Jaccard similarity,
-    and all of them are missed by one pair in 15,000 at 0.8. A least hash that too many
-    share is taken together with a second one, then a third; documents that share all
-    are dealt by stretches of their fingerprints.
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for sets that sizes or parity bitmaps prove to be less similar.
+
+    Every bit in which the bitmaps differ takes an element that is in one set alone.
     """
-    words = [f"w{w}" for w in range(WORDS)]
-    places = F.sequence(F.lit(0), F.lit(LEAST - 1))
-    rows = nodes.select("node", *words, "least", F.lit(0).cast("long").alias("part"), F.array().cast("array<int>").alias("used"))
-    found, depth = None, 0
-    while True:
-        depth += 1
-        free = F.filter(places, lambda m: ~F.array_contains("used", m))
-        if depth <= LEAST:
-            keyed = rows.withColumn("m", F.explode(free))
-            keyed = keyed.withColumn("used", F.array_sort(F.array_append("used", F.col("m")))).drop("m")
-            if depth > 1:
-                keyed = keyed.dropDuplicates(["node", "used"])
-            keyed = keyed.withColumn("part", F.xxhash64("used", F.transform("used", lambda m: F.get("least", m))))
-        else:
-            keyed = rows.withColumn("part", F.xxhash64("part", F.shiftright("w0", 64 - 8 * (depth - LEAST))))
-        keyed = keyed.withColumn("mask", F.lit(depth).cast("long"))
-        sizes = stage(keyed.groupBy("mask", "part").count().filter("count > 1"), "blocks")
-        joined = keyed.join(sizes, ["mask", "part"])
-        small = joined.filter(F.col("count") <= CLOSE).select("mask", "part", "node", *words)
-        walked = (
-            small.repartition("mask", "part")
-            .sortWithinPartitions("mask", "part")
-            .mapInArrow(lambda it: _walk(it, budget, True, CLOSE), "a long, b long")
-        )
-        found = walked if found is None else found.union(walked)
-        if depth == LEAST + 8 or sizes.filter(F.col("count") > CLOSE).isEmpty():
-            return found.distinct()
-        large = joined.filter(F.col("count") > CLOSE)
-        rows = stage(large.select("node", *words, "least", "part", "used"), "crowded")
+    share = (1 - similarity) / (1 + similarity)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.p{w}").bitwiseXOR(F.col(f"{b}.p{w}"))) for w in range(WORDS)), F.lit(0))
+    return (F.greatest(apart, F.abs(n - m)) <= (n + m) * share + 1e-6)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` ``(a, b)`` whose sets have this Jaccard similarity, counted exactly."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return stage(both.filter((1 + similarity) * common >= similarity * size - 1e-6).select("a", "b"), "verified")
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that hold the nodes ``(node, n, p0.., least)`` at this similarity together.
+
+    ``sets`` gives ``(node, hashes)`` for nodes. Nodes are dealt into buckets by each least
+    hash; a pair shares each with its similarity. The members of a bucket are compared with
+    one pivot first. Where that leaves a bucket with several classes, all its pairs of
+    different classes are compared: its members are dealt into parts, and each pair of
+    parts is a key of its own, so a bucket of any size is compared whole.
+    """
+    about = nodes.select("node", F.struct("node", "n", *[f"p{w}" for w in range(WORDS)]).alias("own"))
+    keys = nodes.select("node", F.posexplode("least").alias("m", "key")).select("node", F.xxhash64("m", "key").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stage(keys.join(shared, "bucket"), "members")
+    held = stage(sets(members.select("node").distinct()), "sets")
+    rest, found = members.withColumn("root", F.col("node")), None
+    for k in range(PIVOTS):
+        pivots = rest.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("pivot"))
+        pairs = rest.join(pivots, "bucket").filter(F.col("root") != F.col("pivot.root"))
+        pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
+        pairs = pairs.join(about.toDF("a", "x"), "a").join(about.toDF("b", "y"), "b").filter(may_be_similar("x", "y", similarity))
+        fresh = verified(pairs.select("a", "b"), held, similarity)
+        found = fresh if found is None else found.union(fresh)
+        reached = stage(components(found, "a", "b").withColumnRenamed("root", "_root"), "reached")
+        placed = rest.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+        several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        rest = stage(placed.join(several.select("bucket"), "bucket"), "open")
+        if rest.filter(F.col("size") > CLOSE).isEmpty():
+            break
+    parts = F.ceil(F.col("size") / CLOSE).cast("int")
+    rest = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(about, "node")
+    low = rest.select("bucket", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.struct("own", "root").alias("x"))
+    high = rest.select("bucket", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), F.struct("own", "root").alias("y"))
+    both = low.join(high, ["bucket", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x.own.node") < F.col("y.own.node")))
+    both = both.filter((F.col("x.root") != F.col("y.root")) & may_be_similar("x.own", "y.own", similarity))
+    ends = F.least("x.own.node", "y.own.node").alias("a"), F.greatest("x.own.node", "y.own.node").alias("b")
+    return found.union(verified(stage(both.select(*ends).distinct(), "pairs"), held, similarity))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, text_hash, fp, component_id)`` with links at this similarity of the shingle sets.
+    """``(doc_id, text_hash, fp, component_id)`` with links at this Jaccard similarity of the shingle sets.
 
-    The similarity is the fingerprints' estimate, 256 bits wide; ``fp`` is a hash of them.
+    Each link is checked on the sets themselves; ``fp`` is a hash of the set. A pair at 0.8
+    is missed if it shares none of the least hashes: one in 240 million.
     """
-    long = [f"w{w}" for w in range(WORDS)]
-    marked = stage(sketches(docs, words).withColumn("fp", F.xxhash64(*long)), "sketches")
-    nodes = marked.groupBy("fp").agg(*[F.first(w).alias(w) for w in long], F.first("least").alias("least"), F.min("doc_id").alias("first"))
+    bits = [f"p{w}" for w in range(WORDS)]
+    marked = stage(sketches(docs, words), "sketches")
+    same = [F.first(c).alias(c) for c in ("n", *bits, "least")]
+    nodes = marked.groupBy("fp").agg(*same, F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first"))
     nodes = stage(nodes, "distinct")
-    reached = components(similar_links(nodes.withColumnRenamed("fp", "node"), bits_apart(similarity)), "a", "b")
-    return _classes(marked.drop(*long, "least"), nodes.select("fp", "first"), reached)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        texts = nodes.withColumnRenamed("fp", "node").join(wanted, "node", "left_semi").select("text_hash")
+        return shingle_sets(docs, words, texts)
+
+    found = similar_links(nodes.withColumnRenamed("fp", "node"), sets, similarity)
+    return _classes(marked.select("doc_id", "text_hash", "fp"), nodes.select("fp", "first"), components(found, "a", "b"))
 
 
 def keep_one(docs: DataFrame, near: DataFrame) -> DataFrame:

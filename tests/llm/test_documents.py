@@ -106,6 +106,40 @@ def test_similar_sets_share_a_class(spark, odd_docs, no_docs):
     assert simhash.similar(odd_docs).count() == odd_docs.count() and simhash.similar(no_docs).count() == 0
 
 
+def exact_classes(texts, similarity=0.8):
+    """The smallest number each text reaches over pairs of this exact Jaccard similarity, and all similarities."""
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root, alike = list(range(len(sets))), {}
+    for i in range(len(sets)):
+        for j in range(i):
+            alike[j, i] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike[j, i] >= similarity and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root, alike
+
+
+def edited(rng, base, edits):
+    copy = list(base)
+    for at in rng.sample(range(len(copy)), edits):
+        copy[at] = f"new{rng.random()}"
+    return copy
+
+
+@pytest.mark.parametrize("close", [8, 1024])
+def test_crowded_buckets_are_compared_whole(spark, close, monkeypatch):
+    monkeypatch.setattr(simhash, "CLOSE", close)
+    rng = random.Random(11)
+    base = [f"w{rng.random()}" for _ in range(200)]
+    texts = [edited(rng, base, rng.randrange(1, 6)) for _ in range(80)]
+    for _ in range(30):  # chains that leave the group step by step
+        texts.append(edited(rng, rng.choice(texts), rng.randrange(1, 6)))
+    want, _ = exact_classes(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ line runs
 
 
