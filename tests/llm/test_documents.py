@@ -140,6 +140,20 @@ def test_crowded_buckets_are_compared_whole(spark, close, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_links_are_exact_around_the_limit(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        base = [f"w{rng.random()}" for _ in range(rng.randrange(60, 300))]
+        texts += [base, edited(rng, base, max(1, round(len(base) * (0.02 + 0.04 * k / 150))))]
+    want, alike = exact_classes(texts)
+    steps = [alike[2 * k, 2 * k + 1] for k in range(150)]
+    assert sum(0.6 <= s < 0.8 for s in steps) > 30 and sum(0.8 <= s < 0.85 for s in steps) > 10
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ line runs
 
 
