@@ -1,14 +1,14 @@
 r"""Personal data, and the terms that give it away, in DataFrame functions only.
 
 Patterns find the base spans: e-mail addresses, IP addresses, payment cards and phone
-numbers. Each distinct value is a protected entity. A term near an entity discloses it
-as far as seeing the term makes the entity likelier: over the corpus, the pointwise
-mutual information of term and entity, log2(N * near / (with_term * with_entity)), against
-what there is to know, the entity's information log2(N / with_entity). A ratio of 1 says
-that the term occurs nowhere but near the entity. Terms at ``generalise`` or more become
-spans of kind ``term``; in sanitised text they give way to a general word, and at
-``remove`` or more they go. A pair counts once it was seen in ``support`` different
-surroundings, so that chance neighbours and copies of a passage don't.
+numbers. Each distinct value is a protected entity. A term in the documents of an entity
+discloses it as far as seeing the term makes the entity likelier: over the corpus, the
+pointwise mutual information of term and entity, log2(N * near / (with_term * with_entity)),
+against what there is to know, the entity's information log2(N / with_entity). A ratio of
+1 says that the term occurs nowhere but with the entity. Every occurrence of a term at
+``generalise`` or more, in any document, becomes a span of kind ``term``; in sanitised
+text it gives way to a general word, and at ``remove`` or more it goes. A pair counts once
+it was seen in ``support`` different texts, so that chance and copies of a text don't.
 
 Counts cover all documents and whole texts.
 
@@ -33,11 +33,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on either side of an entity whose terms are near it.
-REACH = 60
 #: A term: a whole run of letters, three at least.
 TERM = r"(?<!\p{L})\p{L}{3,}+"
+#: What stands for the code points of base spans, and a term that touches none.
+MARK = "\uffff"
+APART = rf"(?<![\p{{L}}{MARK}])\p{{L}}{{3,}}+(?!{MARK})"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+TOLD = "array<struct<start:int,end:int,term:string,disclosed:double>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -82,35 +84,27 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _near(span: Column) -> Column:
-    """The terms around a span: (entity, term, start, end, around)."""
-    text = F.col("text")
-    # one more code point on each side shows whether the outermost run of letters is whole
-    left = F.greatest(span["start"] - REACH - 1, F.lit(0))
-    before = F.substring(text, left + 1, span["start"] - left)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH + 1))
-    entity = _entity(span)
-    around = F.xxhash64(before, after)
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with ``MARK`` for every code point of a span, so places stay."""
+    plain = F.translate(text, MARK, " ")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def terms(part: Column, offset: Column, whole: Column) -> Column:
-        return F.transform(
-            F.filter(matches(part, TERM), whole),
-            lambda t: F.struct(
-                entity.alias("entity"),
-                F.lower(t["value"]).alias("term"),
-                (offset + t["start"]).alias("start"),
-                (offset + t["end"]).alias("end"),
-                around.alias("around"),
-            ),
-        )
+    def step(s: Column, x: Column) -> Column:
+        begin, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
+        out = F.concat(s["out"], F.substring(plain, s["at"] + 1, begin - s["at"]), F.repeat(F.lit(MARK), end - begin))
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    inner = lambda t: (t["start"] > 0) | (left == 0)
-    outer = lambda t: (t["end"] <= REACH) | (F.char_length(after) <= REACH)
-    return F.concat(terms(before, left, inner), terms(after, span["end"], outer))
+    places = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    done = F.aggregate(places, start, step)
+    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(plain, done["at"] + 1, F.char_length(plain)))).otherwise(plain)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, spans, near)``: a row per document with its base spans and the terms near them."""
+def _distinct_terms(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, h, text, spans)``: a row per document with its base spans."""
     text = text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.withColumns(base_spans(F.col("text")))
@@ -122,27 +116,40 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     kinds = [labelled(kind) for kind in KINDS]
-    rows = rows.select("doc_id", "h", "text", F.concat(*kinds).alias("spans"))
-    apart = lambda t: ~F.exists("spans", lambda s: (s["start"] <= t["end"]) & (t["start"] <= s["end"]))
-    near = F.filter(F.flatten(F.transform("spans", _near)), apart)
-    return rows.select("doc_id", "h", "spans", F.when(F.size("spans") > 0, near).alias("near"))
+    return rows.select("doc_id", "h", "text", F.concat(*kinds).alias("spans"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``(doc_id, h, spans, terms)``: a row per document with its base spans and, if any, its distinct terms apart from them."""
+    rows = _marked(docs)
+    terms = F.when(F.size("spans") > 0, _distinct_terms(_masked(F.col("text"), F.col("spans")), APART))
+    return rows.select("doc_id", "h", "spans", terms.alias("terms"))
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, support: int, threshold: float) -> DataFrame:
     """``(term, entity, disclosed)``: the pairs whose term discloses the entity, and how far."""
-    total = scanned.count()
-    seen = scanned.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    entities = scanned.select("doc_id", "h", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    surroundings = seen.groupBy("term", "entity", "around").agg(F.lit(1).alias("one")).groupBy("term", "entity").count()
-    surroundings = surroundings.filter(F.col("count") >= support).drop("count")
-    near = seen.groupBy("term", "entity", "doc_id", "h").agg(F.lit(1).alias("one")).groupBy("term", "entity")
-    pairs = stage(near.agg(F.count("*").alias("near")).join(surroundings, ["term", "entity"]), "pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))
+    total = float(scanned.count())
+    held = scanned.filter(F.size("spans") > 0)
+    entity = F.array_distinct(F.transform("spans", _entity))
+    # copies of a text are counted, but have the same terms and entities
+    texts = held.groupBy("h").agg(F.count("*").alias("copies"), F.first("terms").alias("terms"), F.first(entity).alias("entities"))
+    texts = stage(texts, "texts")
+    within = texts.select("h", "copies", F.explode("entities").alias("entity"))
+    entities = within.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts"))
+    within = within.join(entities.filter(F.col("texts") >= support).drop("texts"), "entity")
+    words = _distinct_terms(text_of(), TERM)
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    known = pairs.join(counts, "term").join(entities, "entity")
-    gained = F.log2(F.lit(float(total)) * F.col("near") / (F.col("with_term") * F.col("with_entity")))
-    whole = F.log2(F.lit(float(total)) / F.col("with_entity"))
+    counts = counts.filter(F.col("with_term") >= support)
+    # no pair is near more often than its entity occurs, which bounds the terms that can reach the threshold
+    bound = F.log2("with_term") <= F.log2(F.lit(total)) - threshold * F.log2(total / F.col("with_entity")) + 1e-9
+    terms = texts.select("h", F.explode("terms").alias("term"))
+    rarest = within.groupBy("h").agg(F.max("with_entity").alias("with_entity"))
+    terms = terms.join(rarest, "h").join(counts, "term").filter(bound).drop("with_entity")
+    both = terms.join(within, "h").filter(bound)
+    near = both.groupBy("term", "entity", "with_term", "with_entity").agg(F.sum("copies").alias("near"), F.count("*").alias("texts"))
+    known = near.filter(F.col("texts") >= support)
+    gained = F.log2(F.lit(total) * F.col("near") / (F.col("with_term") * F.col("with_entity")))
+    whole = F.log2(F.lit(total) / F.col("with_entity"))
     ratio = F.when(whole > 0, gained / whole).otherwise(F.lit(0.0))
     return known.select("term", "entity", ratio.alias("disclosed")).filter(F.col("disclosed") >= threshold)
 
@@ -157,16 +164,30 @@ def personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.75) -
 
     ``spans`` is an array of (kind, start, end, value); ``terms`` of (start, end, term, disclosed).
     """
-    scanned = stage(scan(docs), "scanned")
-    telling = disclosures(docs, scanned, support, generalise)
-    seen = scanned.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    told = seen.join(telling, ["term", "entity"])
-    best = told.groupBy("doc_id", "h", "start", "end", "term").agg(F.max("disclosed").alias("disclosed"))
-    terms = best.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "term", "disclosed"))).alias("terms")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
-    return scanned.drop("near").join(terms, same, "left").drop("_id", "_h")
+    telling = disclosures(docs, stage(scan(docs), "scanned"), support, generalise)
+    telling = stage(telling.groupBy("term").agg(F.max("disclosed").alias("disclosed")), "telling")
+    words = docs.select(F.xxhash64(text_of()).alias("h"), F.explode(_distinct_terms(text_of(), TERM)).alias("term"))
+    hits = words.join(telling, "term").distinct().groupBy("h").agg(F.collect_list(F.struct("term", "disclosed")).alias("hits"))
+    rows = _marked(docs).join(stage(hits, "hits"), "h", "left")
+    rows = rows.withColumns({"hits": F.map_from_entries("hits"), "masked": _masked(F.col("text"), F.col("spans"))})
+    return rows.select("doc_id", "h", "spans", F.when(F.col("hits").isNotNull(), _told(F.col("masked"), F.col("hits"))).alias("terms"))
+
+
+def _told(text: Column, hits: Column) -> Column:
+    """Every place of a term in ``hits``, as an array of (start, end, term, disclosed)."""
+    found = F.regexp_extract_all(text, F.lit(APART), F.lit(0))
+    both = F.arrays_zip(found.alias("value"), F.slice(F.split(text, APART, -1), F.lit(1), F.size(found)).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(TOLD).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.char_length(x["gap"])
+        end = begin + F.char_length(x["value"])
+        term = F.lower(x["value"])
+        span = F.struct(begin.alias("start"), end.alias("end"), term.alias("term"), hits[term].alias("disclosed"))
+        out = F.when(F.coalesce(F.map_contains_key(hits, term), F.lit(False)), F.concat(s["out"], F.array(span))).otherwise(s["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.aggregate(both, start, step)["out"]
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -191,7 +212,7 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove
     found = personal_data(docs, support, generalise).dropDuplicates(["doc_id", "h"])
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     term = F.transform(
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,disclosed:double>>")),
+        F.coalesce("terms", F.array().cast(TOLD)),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosed"] >= remove, "").otherwise("[TERM]").alias("by")),
     )
     edits = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.sort_array(F.concat(base, term)).alias("_edits"))

@@ -319,6 +319,18 @@ def test_disclosing_terms(spark, odd_docs, no_docs):
     assert pii.personal_data(no_docs).count() == 0 and pii.sanitise(odd_docs).columns == odd_docs.columns
 
 
+def test_terms_far_from_the_entity_and_without_it(spark):
+    filler = "some quite plain filler words that go on for a long while and then on again "
+    docs = [(i, f"Zanzibar {filler * 2}number {'abcdefgh'[i] * 4} mail bob@corp.example") for i in range(6)]
+    docs += [(10 + i, filler + f"mail number {'abcdefgh'[i % 8] * 4}") for i in range(80)] + [(99, filler + "met Zanzibar once")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.digests(pii.personal_data(df, support=3)).collect()}
+    at = len(filler) + 4
+    assert "term:0:8" in out[0] and out[99] == f"term:{at}:{at + 8}" and out[10] == ""
+    text = {r.doc_id: r.text for r in pii.sanitise(df, support=3).collect()}
+    assert "Zanzibar" not in text[0] + text[99]
+
+
 # ------------------------------------------------------------------ toxicity and language
 
 
