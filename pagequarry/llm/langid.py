@@ -4,8 +4,8 @@ The network reads UTF-8 in windows of ``WINDOW`` bytes, once forwards and once b
 at every position both states together give a distribution over the languages. A
 document's distribution is the mean over the positions of its letters, in all windows of
 the whole text. It is trained here, in numpy, by backpropagation through time on windows
-cut from about ``per_lang`` documents of each of the ``most`` commonest languages (never
-more than twice as many in all), so the driver holds a fixed amount.
+cut from about ``per_lang`` documents of each language (never more than twice as many in
+all); every labelled language has an output, however many there are.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without
 rows to learn from everything is ``und``; rows of null ``lang`` teach nothing; of equal
@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of
+from pagequarry.session import stage
 
 WINDOW, PAD, STATES = 64, 256, 8
-#: Windows run through the network together.
-TOGETHER = 2048
-PER_LANG, MOST = 1500, 64
+#: Windows run through the network together, and languages from which on they are fewer and training is longer.
+TOGETHER, MANY = 2048, 64
+PER_LANG = 1500
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters: ASCII letters and all bytes of longer code points.
 IS_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)] + [False])
@@ -148,8 +149,9 @@ class Network:
         x, owner = windows(texts)
         sums = np.zeros((len(texts), len(self.langs)))
         count = np.zeros(len(texts))
-        for at in range(0, x.shape[1], TOGETHER):
-            part, own = x[:, at : at + TOGETHER], owner[at : at + TOGETHER]
+        together = max(1, TOGETHER * MANY // max(MANY, len(self.langs)))
+        for at in range(0, x.shape[1], together):
+            part, own = x[:, at : at + together], owner[at : at + together]
             letters = IS_LETTER[part]
             found = np.einsum("ctn,tn->nc", self.probabilities(part), letters.astype(np.float32))
             np.add.at(sums, own, found)
@@ -168,28 +170,27 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.reshape(-1, WINDOW).T), np.repeat(np.arange(len(texts)), many)
 
 
-def learn(docs: DataFrame, learns: Column, per_lang: int = PER_LANG, most: int = MOST) -> Network | None:
+def learn(docs: DataFrame, learns: Column, per_lang: int = PER_LANG) -> Network | None:
     """A network trained on windows of the rows for which ``learns`` holds; None without any."""
     rows = docs.filter(learns & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    counts = {r.lang: r["count"] for r in langs.collect()}
-    names = sorted(counts)
+    counts = stage(rows.groupBy("lang").count(), "langs")
+    names = sorted(r.lang for r in counts.select("lang").collect())
     if not names:
         return None
     # a row is drawn if its hash lies below its language's share: no language is gathered in one place
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, per_lang / n).otherwise(share)
+    shares = F.broadcast(counts.select("lang", (per_lang / F.col("count")).alias("_share")))
     octets = F.col("text").cast("binary")
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1))
     parts = F.array(*[F.substring(octets, (place(k) + 1).cast("int"), F.lit(WINDOW)) for k in range(3)])
-    picked = rows.filter(draw < share).limit(2 * per_lang * len(names))
+    picked = rows.select("doc_id", "text", "lang").join(shares, "lang").filter(draw < F.col("_share")).limit(2 * per_lang * len(names))
     picked = picked.select("lang", F.explode(F.array_distinct(parts)).alias("part"))
-    found = sorted((names.index(r.lang), bytes(r.part)) for r in picked.collect() if r.part)
+    places = {name: k for k, name in enumerate(names)}
+    found = sorted((places[r.lang], bytes(r.part)) for r in picked.collect() if r.part)
     x, owner = windows([part for _, part in found])
     network = Network(names)
-    network.train(x, np.array([k for k, _ in found])[owner])
+    steps = 220 * max(MANY, len(names)) // MANY
+    network.train(x, np.array([k for k, _ in found])[owner], steps)
     return network
 
 

@@ -418,3 +418,16 @@ def test_language_of_held_out_texts(spark, odd_docs, no_docs):
     assert langid.identify(no_docs, network).count() == 0
     assert langid.learn(no_docs, F.lit(True)) is None
     assert {r.lang_pred for r in langid.identify(odd_docs, None).collect()} == {"und"}
+
+
+def test_every_language_has_an_output(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 256 * k + x) for x in range(4)]
+        rows += [(100 * k + i, "".join(rng.choices(letters, k=30)), f"l{k:02}") for i in range(8 if k < 64 else 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.learn(df, F.lit(True))
+    assert network.langs == [f"l{k:02}" for k in range(70)] and network.p["out"].shape[0] == 70
+    found = {r.doc_id: r.lang_pred for r in langid.identify(df, network).collect()}
+    assert {found[100 * k] for k in range(64, 70)} & {f"l{k:02}" for k in range(64, 70)}
