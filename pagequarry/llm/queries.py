@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, hnsw, langid, linedup, mixing, pii, simhash, topk, toxicity
+from pagequarry.llm import bpe, chat, hnsw, langid, linedup, mixing, pii, repair, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,80 @@ def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     return hnsw.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(
+             string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda z: z::BIGINT)),
+             lambda x, z: CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END)),
+         4294967295::BIGINT) % 20 AS draw
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, unnest(range(CASE WHEN draw = 0 THEN 0 WHEN draw = 3 THEN 2 ELSE 1 END)) AS copies(n)),
+alike AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged),
+seen AS (
+  SELECT *, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i
+  FROM alike),
+faults AS (
+  SELECT *, left(role, 1) AS ini,
+         CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM seen),
+pairs AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM faults),
+counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id),
+best AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'o': ''} AS b0,
+         {'c': 6, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'} AS b1,
+         {'c': 3, 'a': 'I', 'o': chr(10) || 'assistant:'} AS b2, {'c': 0, 'a': '', 'o': ''} AS b3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i,
+         list_min([z0, {'c': z2.c + 3, 'a': 'I' || z2.a, 'o': chr(10) || 'user:' || z2.o}]),
+         list_min([z1, {'c': z2.c + 3, 'a': 'I' || z2.a, 'o': chr(10) || 'user:' || z2.o}]),
+         list_min([z2, {'c': z3.c + 3, 'a': 'I' || z3.a, 'o': chr(10) || 'assistant:' || z3.o}]),
+         list_min([z3, {'c': z2.c + 3, 'a': 'I' || z2.a, 'o': chr(10) || 'user:' || z2.o}])
+  FROM (
+    SELECT conv_id, i, y0 AS z0, y1 AS z1,
+           list_min([y2, {'c': y3.c + 3, 'a': 'I' || y3.a, 'o': chr(10) || 'assistant:' || y3.o}]) AS z2,
+           list_min([y3, {'c': y2.c + 3, 'a': 'I' || y2.a, 'o': chr(10) || 'user:' || y2.o}]) AS z3
+    FROM (
+      SELECT conv_id, i,
+             list_min([d0, CASE WHEN ini = 's' THEN k1 WHEN ini = 'u' THEN k2 END, r2]) AS y0,
+             list_min([d1, CASE WHEN ini = 'u' THEN k2 END, r2]) AS y1,
+             list_min([d2, CASE WHEN ini = 'a' THEN k3 END, r3]) AS y2,
+             list_min([d3, CASE WHEN ini = 'u' THEN k2 END, r2]) AS y3
+      FROM (
+        SELECT f.conv_id, f.i, ini,
+               {'c': b0.c + 4, 'a': 'D' || b0.a, 'o': b0.o} AS d0, {'c': b1.c + 4, 'a': 'D' || b1.a, 'o': b1.o} AS d1,
+               {'c': b2.c + 4, 'a': 'D' || b2.a, 'o': b2.o} AS d2, {'c': b3.c + 4, 'a': 'D' || b3.a, 'o': b3.o} AS d3,
+               CASE WHEN fault NOT IN ('b', 'd') THEN {'c': b1.c + more, 'a': 'K' || b1.a, 'o': chr(10) || role || ':' || text || b1.o} END AS k1,
+               CASE WHEN fault NOT IN ('b', 'd') THEN {'c': b2.c + more, 'a': 'K' || b2.a, 'o': chr(10) || role || ':' || text || b2.o} END AS k2,
+               CASE WHEN fault NOT IN ('b', 'd') THEN {'c': b3.c + more, 'a': 'K' || b3.a, 'o': chr(10) || role || ':' || text || b3.o} END AS k3,
+               CASE WHEN fault NOT IN ('b', 'd') THEN {'c': b2.c + more + 3, 'a': 'R' || b2.a, 'o': chr(10) || 'user:' || text || b2.o} END AS r2,
+               CASE WHEN fault NOT IN ('b', 'd') THEN {'c': b3.c + more + 3, 'a': 'R' || b3.a, 'o': chr(10) || 'assistant:' || text || b3.o} END AS r3
+        FROM best b JOIN (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more FROM faults) f
+        ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1))))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b0.c, 0)::BIGINT AS cost, coalesce(b0.a, '') AS audit,
+       sha256(substr(coalesce(b0.o, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+"""
+
+
+@_query(REPAIR_SQL)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every conversation, damaged first."""
+    return repair.report(repair.damage(_table(spark, sf_dir, "conversations")))

@@ -32,7 +32,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
