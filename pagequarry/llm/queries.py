@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, hnsw, langid, linedup, mixing, pii, repair, simhash, topk, toxicity
+from pagequarry.llm import bpe, chat, divergence, hnsw, langid, linedup, mixing, pii, repair, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -280,3 +280,45 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and digest of every conversation, damaged first."""
     return repair.report(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+tokens AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counted GROUP BY lang, source),
+own AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0)::HUGEINT + s.v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + any_value(s.v)) AS q
+  FROM own JOIN sizes s USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+terms AS (
+  SELECT o.lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM own o JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER w)::INT AS rank
+FROM (FROM pairs UNION ALL FROM terms)
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@_query(AUDIT_SQL)
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and the terms that tell each source."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
