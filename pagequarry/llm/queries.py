@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, divergence, hnsw, langid, linedup, mixing, pii, repair, simhash, topk, toxicity
+from pagequarry.llm import bpe, chat, divergence, hnsw, langid, linedup, mixing, packing, pii, repair, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -322,3 +322,11 @@ WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ, and the terms that tell each source."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, and its place in a sequence of at most 4096 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
