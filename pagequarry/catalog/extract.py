@@ -345,6 +345,16 @@ _css("nth", "li:nth-child(2n+1)", """SELECT page_id, (len(regexp_extract_all(htm
       WHERE html LIKE '%<li>%'""")
 _css("not", "body > :not(nav, footer)", "SELECT page_id, 2 AS n FROM pages")
 _css("last", "li:last-child > a", """SELECT page_id, 1 AS n FROM pages WHERE html LIKE '%<li>%'""")
+_css("nth_last", "nav li:nth-last-child(-n+2)", """SELECT page_id, least(2, len(regexp_extract_all(html, '<li>'))) AS n FROM pages
+      WHERE html LIKE '%<li>%'""")
+_css("nth_last_type", "body > :nth-last-of-type(1)", "SELECT page_id, 4 AS n FROM pages")
+_css("empty", "article :empty", _occurrences("<br>", _ART))
+_css("root", ":root > body", "SELECT page_id, 1 AS n FROM pages")
+_css("is", "nav :is(li, a:where([href]))", "SELECT page_id, 2 * len(regexp_extract_all(html, '<li>')) AS n FROM pages")
+_css("attribute_case", 'a[href^="/E" i]', _occurrences('<a href="/[eE]'))
+_css("attribute_other", 'nav a[href!="/en"]', """SELECT page_id, len(regexp_extract_all(html, '<li>'))
+      - len(regexp_extract_all(html, '<a href="/en"')) AS n FROM pages
+      WHERE len(regexp_extract_all(html, '<li>')) > len(regexp_extract_all(html, '<a href="/en"'))""")
 
 _LINKS = f"""links AS (SELECT page_id, i - 1 AS row_idx, {unescaped("l[i]")} AS value FROM (
   SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (

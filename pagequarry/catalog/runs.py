@@ -10,7 +10,7 @@ from ..plans.spec import ExtractSpec
 from ..session import scratch_path
 from ..sources.pages import pages_for
 from ..streaming import watch
-from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table
+from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table, unescaped
 from .combine import _HIT, _WALK
 
 _TITLES = f"""WITH {TEXTS} SELECT page_id, max(CASE WHEN tag = 'title' THEN stripped END) AS title,
@@ -140,6 +140,28 @@ def i2(spark, sf):
     return sites.extract_by_site(table(spark, sf, "pages"), _SITES)
 
 
+#: Seventy selectors a site, all different: links from the front, from the back, and after another.
+_MANY = {
+    "com": {f"f{k:02}": f"nav li:nth-child({k}) > a@href" for k in range(1, 71)},
+    "Example.NET": {f"f{k:02}": f"nav > ul li:nth-last-child({k}) a@href" for k in range(1, 71)},
+    "example.org": {f"f{k:02}": f"nav li:nth-child({k}) ~ li > a[href^='/']@href" for k in range(1, 71)},
+}
+
+
+@query(
+    "i2_many_sites",
+    f"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host,
+                  regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM pages),
+        r AS (SELECT *, CASE WHEN host LIKE '%.example.net' THEN 'Example.NET'
+            WHEN host LIKE '%.com' THEN 'com' WHEN host LIKE '%.example.org' THEN 'example.org' END AS site FROM h)
+        SELECT page_id, site, 'f' || lpad(k::VARCHAR, 2, '0') AS col, coalesce({unescaped("CASE site WHEN 'com' THEN l[k]"
+            " WHEN 'Example.NET' THEN CASE WHEN len(l) >= k THEN l[len(l) - k + 1] END ELSE l[k + 1] END")}, '') AS value
+        FROM r, range(1, 71) t(k) WHERE site IS NOT NULL""",
+)
+def i2_many(spark, sf):
+    return sites.extract_by_site(table(spark, sf, "pages"), _MANY)
+
+
 _JOB = {
     "name": "cards",
     "params": {"first": {"type": "int", "default": 0}, "n": {"type": "int", "required": True}, "tag": {"default": "h3"}},

@@ -23,8 +23,8 @@ _TOKEN = re.compile(
     rf"""(?P<tag>\*|{_IDENT})
     |\#(?P<id>{_IDENT})
     |\.(?P<cls>{_IDENT})
-    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*
-        (?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
+    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~|^$*!]?=)\s*
+        (?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*(?P<flag>[iIsS])?\s*)?\]
     |:(?P<pseudo>[\w-]+)(?:\((?P<arg>[^()]*(?:\([^()]*\)[^()]*)*)\))?""",
     re.X,
 )
@@ -101,7 +101,7 @@ def _parse_chain(chain: str, whole: str) -> list[Step]:
         raise SelectorError(f"bad selector {whole!r}")
     steps.append(Step(combinator, chain[start:pos]))
     for step in steps:
-        predicate(step.source, whole)
+        tests_of(step.source, whole)
     return steps
 
 
@@ -110,35 +110,112 @@ def _unescape(ident: str) -> str:
     return re.sub(r"\\(.)", r"\1", ident)
 
 
-def predicate(source: str, whole: str | None = None) -> Column:
-    """The row test for a run of simple selectors such as ``li.card[data-id]``."""
-    tests = [F.col("pre") > 0, F.col("tag").isNotNull()]
+def tests_of(source: str, whole: str | None = None) -> list[tuple]:
+    """A run of simple selectors such as ``li.card[data-id]`` as data, one tuple per test.
+
+    ``(kind, ...)`` with the kinds ``tag``, ``id``, ``class``, ``attr`` (name, operator,
+    value, ignore case), ``nth`` (of type, from the end, a, b), ``only`` (of type),
+    ``empty``, ``root``, and ``any`` and ``none`` with lists of such runs.
+    """
+    whole = whole or source
+    out: list[tuple] = []
     for m in _TOKEN.finditer(source):
         if m["tag"]:
             if m["tag"] != "*":
-                tests.append(F.col("tag") == _unescape(m["tag"]).lower())
+                out.append(("tag", _unescape(m["tag"]).lower()))
         elif m["id"]:
-            tests.append(_attr("id") == _unescape(m["id"]))
+            out.append(("id", _unescape(m["id"])))
         elif m["cls"]:
-            tests.append(F.array_contains("classes", _unescape(m["cls"])))
+            out.append(("class", _unescape(m["cls"])))
         elif m["attr"]:
-            tests.append(_attr_test(m))
+            want = next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), None)
+            out.append(("attr", m["attr"].lower(), m["op"], want, (m["flag"] or "").lower() == "i"))
         else:
-            tests.append(_pseudo(m["pseudo"].lower(), m["arg"], whole or source))
-    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+            out.append(_pseudo(m["pseudo"].lower(), m["arg"], whole))
+    return out
+
+
+_FIRST = {"first-child": ("nth", False, False), "last-child": ("nth", False, True),
+          "first-of-type": ("nth", True, False), "last-of-type": ("nth", True, True)}
+_NTH = {"nth-child": (False, False), "nth-last-child": (False, True),
+        "nth-of-type": (True, False), "nth-last-of-type": (True, True)}
+_PLAIN = {"only-child": ("only", False), "only-of-type": ("only", True), "empty": ("empty",), "root": ("root",)}
+_NESTED = {"not": "none", "is": "any", "where": "any"}
+
+
+def _pseudo(name: str, arg: str | None, whole: str) -> tuple:
+    if arg is None and name in _FIRST:
+        return (*_FIRST[name], 0, 1)
+    if arg is None and name in _PLAIN:
+        return _PLAIN[name]
+    if name in _NTH:
+        return ("nth", *_NTH[name], *_nth(arg, whole))
+    if name in _NESTED and arg and arg.strip():
+        parts = [p.strip() for p in _split_commas(arg)]
+        if all(_only_simple(p) for p in parts):
+            return (_NESTED[name], [tests_of(p, whole) for p in parts])
+    raise SelectorError(f"unsupported selector {whole!r}")
+
+
+def _nth(arg: str | None, whole: str) -> tuple[int, int]:
+    arg = (arg or "").replace(" ", "").lower()
+    arg = {"odd": "2n+1", "even": "2n"}.get(arg, arg)
+    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", arg)
+    if not arg or not m:
+        raise SelectorError(f"bad selector {whole!r}")
+    a = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
+    return a, int(m[2] or 0)
+
+
+def predicate(source: str, whole: str | None = None) -> Column:
+    """The row test for a run of simple selectors."""
+    return _holds(tests_of(source, whole))
+
+
+def _holds(tests: list[tuple]) -> Column:
+    met = [F.col("pre") > 0, F.col("tag").isNotNull(), *map(_test, tests)]
+    return F.coalesce(reduce(lambda a, b: a & b, met), F.lit(False))
+
+
+def _test(test: tuple) -> Column:
+    kind, *of = test
+    if kind == "tag":
+        return F.col("tag") == of[0]
+    if kind == "id":
+        return _attr("id") == of[0]
+    if kind == "class":
+        return F.array_contains("classes", of[0])
+    if kind == "attr":
+        return _attr_test(*of)
+    if kind == "nth":
+        of_type, from_end, a, b = of
+        at, many = (F.col("nth_of_type"), F.col("n_same_type")) if of_type else (F.col("child_idx"), F.col("n_siblings"))
+        position = many - at + 1 if from_end else at
+        return position == b if a == 0 else ((position - b) % a == 0) & ((position - b) / a >= 0)
+    if kind == "only":
+        return F.col("n_same_type" if of[0] else "n_siblings") == 1
+    if kind == "empty":
+        return (F.col("n_children") == 0) & F.col("own").isNull()
+    if kind == "root":
+        return F.col("parent") == 0
+    found = reduce(lambda a, b: a | b, map(_holds, of[0]))
+    return ~found if kind == "none" else found
 
 
 def _attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name.lower()))
 
 
-def _attr_test(m: re.Match) -> Column:
-    value, op = _attr(m["attr"]), m["op"]
+def _attr_test(name: str, op: str | None, want: str | None, fold: bool) -> Column:
+    value = _attr(name)
     if not op:
         return value.isNotNull()
-    want = next(v for v in (m["dq"], m["sq"], m["bare"]) if v is not None)
+    if fold:
+        value, want = F.lower(value), want.lower()
     if op == "=":
         return value == want
+    if op == "!=":
+        return F.coalesce(value != want, F.lit(True))
     if op == "~=":
         hit = F.array_contains(F.split(value, r"\s+"), want)
         return hit if want and not re.search(r"\s", want) else F.lit(False)
@@ -149,43 +226,6 @@ def _attr_test(m: re.Match) -> Column:
     return {"^=": value.startswith, "$=": value.endswith, "*=": value.contains}[op](want)
 
 
-def _nth(arg: str | None, position: Column, whole: str) -> Column:
-    arg = (arg or "").replace(" ", "").lower()
-    arg = {"odd": "2n+1", "even": "2n"}.get(arg, arg)
-    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", arg)
-    if not arg or not m:
-        raise SelectorError(f"bad selector {whole!r}")
-    a = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
-    b = int(m[2] or 0)
-    if a == 0:
-        return position == b
-    return ((position - b) % a == 0) & ((position - b) / a >= 0)
-
-
-def _pseudo(name: str, arg: str | None, whole: str) -> Column:
-    child, kind = F.col("child_idx"), F.col("nth_of_type")
-    last_child, last_kind = child == F.col("n_siblings"), kind == F.col("n_same_type")
-    plain = {
-        "first-child": child == 1,
-        "last-child": last_child,
-        "only-child": F.col("n_siblings") == 1,
-        "first-of-type": kind == 1,
-        "last-of-type": last_kind,
-        "only-of-type": F.col("n_same_type") == 1,
-    }
-    if name in plain and arg is None:
-        return plain[name]
-    if name == "nth-child":
-        return _nth(arg, child, whole)
-    if name == "nth-of-type":
-        return _nth(arg, kind, whole)
-    if name == "not" and arg and arg.strip():
-        parts = [p.strip() for p in _split_commas(arg)]
-        if all(_only_simple(p) for p in parts):
-            return ~reduce(lambda a, b: a | b, [predicate(p, whole) for p in parts])
-    raise SelectorError(f"unsupported selector {whole!r}")
-
-
 def _only_simple(source: str) -> bool:
     pos = 0
     while pos < len(source):

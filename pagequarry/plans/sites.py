@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators import automaton
 from ..operators import selectors as css
+from ..session import stage
 
 
 def layered(
@@ -44,33 +45,46 @@ def layered(
     return layers.groupBy(key).agg(*aggs)
 
 
+def _suffixes(host: Column) -> Column:
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+
+
+def _first_site(rows: DataFrame, key: str, host: Column, names: DataFrame) -> DataFrame:
+    """``key, site``: the first name, in name order, that is the host or a dot-suffix of it.
+
+    Hosts are unfolded into their suffixes, so this is an equi-join."""
+    hosts = rows.select(key, F.explode(_suffixes(host)).alias("_suffix")).where("_suffix <> ''")
+    known = names.select(F.col("name").alias("site"), F.lower("name").alias("_suffix"))
+    return hosts.join(known, "_suffix").groupBy(key).agg(F.min("site").alias("site"))
+
+
 def route(pages: DataFrame, names: DataFrame) -> DataFrame:
     """``page_id, site``: the first name, in name order, that is the page's host or a
-    dot-suffix of it. Hosts are unfolded into their suffixes, so this is an equi-join."""
-    authority = F.lower(urls.authority(F.col("url")))
-    labels = F.split(authority, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")
-    )
-    hosts = pages.select("page_id", F.explode(suffixes).alias("_host")).where("_host <> ''")
-    known = names.select(F.col("name").alias("site"), F.lower("name").alias("_host"))
-    return hosts.join(known, "_host").groupBy("page_id").agg(F.min("site").alias("site"))
+    dot-suffix of it."""
+    return _first_site(pages, "page_id", F.lower(urls.authority(F.col("url"))), names)
+
+
+def with_site(pages: DataFrame, names: DataFrame, fits: int = 100_000) -> DataFrame:
+    """``pages`` of a named site, with its ``site``.
+
+    Only distinct hosts are routed. Up to ``fits`` of them, counted first, are sent to the
+    tasks, so that pages stay where they are; more are joined by a shuffle.
+    """
+    own = pages.withColumn("_host", F.lower(urls.authority(F.col("url"))))
+    hosts = stage(_first_site(own.select("_host").distinct(), "_host", F.col("_host"), names), "hosts")
+    few = hosts.limit(fits + 1).count() <= fits
+    return own.join(F.broadcast(hosts) if few else hosts, "_host").drop("_host")
 
 
 def extract_by_site(pages: DataFrame, specs: dict[str, dict[str, str]]) -> DataFrame:
     """``page_id, site, col, value``: the first match of each field, by site spec.
 
-    Pages of no site are left out before anything is parsed. The distinct selectors of
-    all sites are matched in one pass, and each page keeps those of its own site.
+    Pages of no site are left out before anything is parsed. One automaton holds the
+    selectors of all sites, and each page is held against those of its own site, so
+    neither the plan nor a page's work grows with the number of sites.
     """
-    spark = pages.sparkSession
-    names = spark.createDataFrame([(s,) for s in specs], "name string")
-    routed = pages.join(route(pages, names), "page_id")
-    distinct = sorted({selector for selectors in specs.values() for selector in selectors.values()})
-    one = css.extract_one(routed.select("page_id", "url", "html"), {f"s{i}": s for i, s in enumerate(distinct)})
-    fields = [(site, c, distinct.index(s)) for site, selectors in specs.items() for c, s in selectors.items()]
-    wanted = spark.createDataFrame(fields, "site string, col string, place int")
-    found = one.select("page_id", F.array(*[F.col(f"s{i}") for i in range(len(distinct))]).alias("values"))
-    mine = found.join(routed.select("page_id", "site"), "page_id").join(wanted, "site")
-    return mine.select("page_id", "site", "col", F.get("values", F.col("place")).alias("value"))
+    names = pages.sparkSession.createDataFrame([(s,) for s in specs], "name string")
+    fields = {site: css.fields_of(selectors) for site, selectors in specs.items()}
+    return automaton.first_values(with_site(pages, names), fields, "site")

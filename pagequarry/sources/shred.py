@@ -257,6 +257,13 @@ def _build(tree: _Tree, html: str | None) -> str | None:
     return None
 
 
+def subtree_text(node: _Node, full: str) -> str:
+    """The text of an element and all below it; ``full`` is the page's."""
+    if node.tag in OWN_TEXT_ONLY:
+        return "".join(p.strip() for p in node.own)
+    return full[node.t0 : node.t1]
+
+
 def _page_rows(tree: _Tree, page_id, url, text_for, ancestors) -> Iterable[tuple]:
     nodes = tree.nodes
     if url is not None:
@@ -267,10 +274,7 @@ def _page_rows(tree: _Tree, page_id, url, text_for, ancestors) -> Iterable[tuple
         classes = n.attrs.get("class", "").split()
         text = None
         if text_for and (text_for == "all" or n.tag in tags or not classes_wanted.isdisjoint(classes)):
-            if n.tag in OWN_TEXT_ONLY:
-                text = "".join(p.strip() for p in n.own)
-            else:
-                text = full[n.t0 : n.t1]
+            text = subtree_text(n, full)
         p, up = n.parent, n.up
         if ancestors:
             up = []
