@@ -13,9 +13,9 @@ into new sectors, with the packing so far as one of the individuals, so a round
 needs more sequences than the one before; the rounds end with a single sector.
 
 Texts are encoded by the ``tokenizers`` library in parts between spaces and newlines,
-which its pattern never crosses. Each distinct part is encoded once while it is
-remembered; words of plain Latin letters go through the library together and are told
-apart by their word ends.
+which its pattern never crosses, a word of plain Latin letters apart from the signs after
+it. Each distinct part is encoded once while it is remembered; words need only the
+library's merges.
 
 Defined results: a null text counts as empty, whose only id is the end id; a null
 ``doc_id`` is kept; repeated rows are packed each; an empty table gives none; extra
@@ -25,15 +25,17 @@ reruns need not name sequences alike.
 
 from __future__ import annotations
 
+import os
 import random
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,25 +51,35 @@ WELL, ROUNDS, TOGETHER = 0.995, 3, 12
 
 # ---- ids
 
-#: A word of Latin letters, and signs after it: pieces that the library's pattern keeps apart.
-WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
-WORD_END = "</w>"
-#: Words encoded at once, bytes of text encoded together, and bytes of parts remembered.
-AT_ONCE, CHUNK, REMEMBERED = 1000, 16 << 20, 96 << 20
+#: A word of Latin letters; signs after it are a piece of their own in the library's pattern.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Parts encoded at once, characters of text encoded together, and bytes of parts remembered.
+AT_ONCE, CHUNK, REMEMBERED = 1000, 8 << 20, 80 << 20
 #: What a remembered part takes besides its characters and ids.
 OVERHEAD = 180
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after the other, and the length of each."""
+    many = lengths[which]
+    upto = np.cumsum(many)
+    at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[which] - upto + many, many)
+    return flat[at], many
+
+
 class Encoder:
-    """Ids of texts, as little-endian 32-bit integers, by a tokenizer given as JSON."""
+    """Ids of texts by a tokenizer given as JSON."""
 
     def __init__(self, spec: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[k for t, k in vocabulary.items() if t.endswith(WORD_END)]] = True
+        octets = ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = map(chr, range(0xC0, 0x100))
+        self.spelt = str.maketrans({c: octets.pre_tokenize_str(c)[0][0] for c in latin})
         self.known: dict[str, bytes] = {"": b""}
         self.held, self.most = 0, remembered
 
@@ -79,33 +91,38 @@ class Encoder:
         self.known.update(zip(parts, ids))
         self.held += sum(map(len, parts)) + sum(map(len, ids)) + OVERHEAD * len(parts)
 
-    def _words(self, words: list[str]) -> None:
-        """Learns words that are one piece each, many in a text, cut after their word ends."""
-        for at in range(0, len(words), AT_ONCE):
-            some = words[at : at + AT_ONCE]
-            ids = np.frombuffer(self._whole([" ".join(some)])[0], "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self._remember(some, [p.tobytes() for p in np.split(ids, cuts[:-1])])
-            else:
-                self._remember(some, self._whole(some))
-
-    def _learn(self, parts: set[str]) -> None:
-        split = {p: (m[1].lower(), m[2]) for p in parts if (m := WORD.fullmatch(p))}
-        words = {w for w, _ in split.values()}.difference(self.known)
-        self._words(sorted(words))
-        others = {s for _, s in split.values()} | parts.difference(split)
-        others = sorted(others.difference(self.known))
-        self._remember(others, self._whole(others))
-        rest = [p for p in split if p not in self.known]
-        self._remember(rest, [self.known[w] + self.known[s] for w, s in map(split.__getitem__, rest)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """A word is one piece, so it goes straight to the library's merges, spelt in the characters of its bytes."""
+        merge, spelt = self.tokenizer.model.tokenize, self.spelt
+        self._remember(words, [array("I", [t.id for t in merge(w if w.isascii() else w.translate(spelt))]).tobytes() for w in words])
+        for at in range(0, len(others), AT_ONCE):
+            some = others[at : at + AT_ONCE]
+            self._remember(some, self._whole(some))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin (with the end of the last)."""
         if self.held > self.most:
             self.known, self.held = {"": b""}, 0
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut).difference(self.known) if cut else set())
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        parts = coded.dictionary
+        stems = pc.utf8_rtrim(parts, SIGNS)
+        plain = pc.match_substring_regex(stems, f"^[{LETTERS}]+$")
+        stems = pc.utf8_lower(stems)
+        # a part is a word and the signs after it, or, if it is not so plain, itself and nothing
+        heads = pc.if_else(plain, stems, parts).dictionary_encode()
+        tails = pc.if_else(plain, pc.replace_substring_regex(parts, f"^[{LETTERS}]+", ""), "").dictionary_encode()
+        names, signs = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (heads, tails))
+        is_word = np.asarray(pc.match_substring_regex(heads.dictionary, f"^[{LETTERS}]+$")).tolist()
+        new = [(n, w) for n, w in zip(names, is_word) if n not in self.known]
+        self._learn([n for n, w in new if w], [n for n, w in new if not w] + [n for n in signs if n not in self.known])
+        pool = [*map(self.known.__getitem__, names), *map(self.known.__getitem__, signs)]
+        lengths = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        starts = np.cumsum(lengths) - lengths
+        both = np.stack([np.asarray(heads.indices), np.asarray(tails.indices) + len(names)], axis=1).astype(np.int64)
+        ids, many = _gather(np.frombuffer(b"".join(pool), "<u4"), starts, lengths, both[np.asarray(coded.indices)].ravel())
+        upto = np.concatenate([[0], np.cumsum(many)])
+        return ids, upto[2 * np.asarray(cut.offsets).astype(np.int64)]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -129,39 +146,35 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
             _encoders.clear()
             _encoders[key] = Encoder(spec.value)
         row_id = TaskContext.get().partitionId() << 33
-        stop = np.array([end], "<u4").tobytes()
 
-        def cut(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row_id
-            whole = [x + stop for x in _encoders[key].encode(texts)]
-            owner, piece, start, parts = [], [], [], []
-            for k, x in enumerate(whole):
-                for p, at in enumerate(range(0, len(x), 4 * capacity)):
-                    owner.append(k)
-                    piece.append(p)
-                    start.append(at // 4)
-                    parts.append(x[at : at + 4 * capacity])
-            numbers = pa.array(np.arange(row_id, row_id + len(owner)), pa.int64())
+            ids, begin = _encoders[key].encode(batch.column(1))
+            ids = np.insert(ids, begin[1:], end).astype("<u4")
+            begin = begin + np.arange(len(begin))
+            many = -(-np.diff(begin) // capacity)
+            owner = np.repeat(np.arange(len(many)), many)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            start = begin[owner] + piece * capacity
+            stop = np.minimum(start + capacity, begin[owner + 1])
+            octets = memoryview(ids.tobytes())
+            sums = [zlib.crc32(octets[4 * a : 4 * b]) for a, b in zip(start.tolist(), stop.tolist())]
+            rows = np.arange(row_id, row_id + len(owner))
             row_id += len(owner)
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            offsets = pa.array(np.append(start, len(ids)), pa.int32())
             columns = [
-                numbers, ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(lengths), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.ListArray.from_arrays(offsets, flat),
+                pa.array(rows), batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(piece * capacity),
+                pa.array(stop - start), pa.array(sums, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.view("<i4"))),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            texts, held, at = [], 0, 0
-            for text in batch.column(1):
-                texts.append(text.as_py())
-                held += len(texts[-1])
-                if held >= CHUNK:
-                    yield cut(batch.column(0).slice(at, len(texts)), texts)
-                    at, texts, held = at + len(texts), [], 0
-            if texts:
-                yield cut(batch.column(0).slice(at, len(texts)), texts)
+            sizes = np.asarray(pc.utf8_length(batch.column(1))).astype(np.int64)
+            part = (np.cumsum(sizes) - sizes) // CHUNK
+            at = 0
+            for rows in np.unique(part, return_counts=True)[1].tolist():
+                yield cut(batch.slice(at, rows))
+                at += rows
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(each, PIECES.format(kind=kind))
 
