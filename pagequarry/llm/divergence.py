@@ -42,7 +42,7 @@ from pagequarry.session import stage
 
 LEAST, LEADING, SCALE = 3, 200, 1_000_000_000
 #: Terms of a part at most, and slots times sources of a part.
-SLOTS, CELLS = 65_536, 1 << 21
+SLOTS, CELLS = 8192, 1 << 21
 #: Bytes of hashes that are sent to all tasks at most.
 FITS = 32 << 20
 #: Distinct terms counted, and bytes of dense arrays held, before a task gives them off.
