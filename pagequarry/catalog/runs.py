@@ -3,15 +3,16 @@
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import actions, induce
+from ..operators import actions, induce, paginate
 from ..operators import selectors as css
 from ..plans import job, pipeline, sites
 from ..plans.spec import ExtractSpec
 from ..session import scratch_path
 from ..sources.pages import pages_for
+from ..sources.store import CaptureStore
 from ..streaming import watch
 from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table, unescaped
-from .combine import _HIT, _WALK
+from .combine import _HIT, _WALK, _starts
 
 _TITLES = f"""WITH {TEXTS} SELECT page_id, max(CASE WHEN tag = 'title' THEN stripped END) AS title,
    max(CASE WHEN tag = 'h1' THEN stripped END) AS h1 FROM texts GROUP BY page_id"""
@@ -392,14 +393,49 @@ def g11_urls(spark, sf):
     f"""SELECT c_custkey // {PER_PAGE} AS page_id, c_custkey % {PER_PAGE} AS row_idx, c_name AS name FROM customer""",
 )
 def d6_recaptured(spark, sf):
-    # Every page captured twice: one capture counts, in the flow as in walks.
+    # Every page captured twice, the later capture emptied: one counts, the earlier id.
     pages = card_pages(spark, sf)
-    again = pages.withColumn("page_id", F.col("page_id") + 10_000_000)
-    twice = pages.union(again)
-    rows = css.extract_rows(pages_for(twice, pages), "ul.cards > li", {"name": "h3"})
+    again = pages.select((F.col("page_id") + 10_000_000).alias("page_id"), "url", F.lit("<p>").alias("html"))
+    rows = paginate.extract_paginated(pages.union(again), _starts(spark, sf), "ul.cards > li", {"name": "h3"}, 100)
     return rows.select("page_id", big("row_idx"), "name")
 
 
+def _store(spark, *landings, **how):
+    """A capture store of its own folder, filled by one landing after the other."""
+    path = scratch_path(spark, "store")
+    store = CaptureStore(spark, "s" + path.rsplit("-", 1)[1], path, buckets=8, **how)
+    for captures in landings:
+        store.add(captures)
+    return store
+
+
+@query("d5_indexed_walk", _WALK)
+def d5_indexed(spark, sf):
+    pages = card_pages(spark, sf)
+    # Landed in two runs, the second of which brings the first one's captures again.
+    store = _store(spark, pages.where("page_id % 3 = 0"), pages)
+    reached = paginate.walk_pages(store.pages, _starts(spark, sf), index=store.index())
+    return reached.select("start", big("depth"), "page_id")
+
+
+@query(
+    "a8_capture_store",
+    """SELECT url, CASE WHEN page_id % 10 = 0 THEN page_id + 10000000 ELSE page_id END AS page_id,
+         CASE WHEN page_id % 10 = 0 THEN 6 ELSE length(html) END AS chars FROM pages WHERE page_id % 5 = 0""",
+)
+def a8_store(spark, sf):
+    pages = table(spark, sf, "pages")
+    first = pages.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    again = pages.where("page_id % 10 = 0").select(
+        (F.col("page_id") + 10_000_000).alias("page_id"), "url", F.lit("<p>new").alias("html"),
+        F.lit("2024-02-01").cast("timestamp").alias("fetched_at"),
+    )
+    store = _store(spark, first, again, first.where("page_id % 2 = 0"))
+    wanted = pages.where("page_id % 5 = 0").select("url")
+    found = pages_for(store.pages, wanted, fits=0)
+    return found.select("url", "page_id", F.char_length("html").cast("bigint").alias("chars"))
+
+
 @query(
     "d11_job_heuristic",
     f"""SELECT c_custkey % {PER_PAGE} AS row_idx, c_name AS name FROM customer WHERE c_custkey // {PER_PAGE} = 1""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..session import semi_join, stage
+from ..session import semi_join, stage, stage_counted
 from ..sources.pages import one_capture
 from ..sources.shred import shred
 from . import selectors as css
@@ -23,7 +23,7 @@ def next_links(pages: DataFrame) -> DataFrame:
     The first link with rel next counts if it has a target, then the first such
     anchor, then the first anchor whose text, label or class says next.
     """
-    dom = shred(pages, text_for=({"a"}, ())).where(F.col("tag").isin("a", "link", "#document"))
+    dom = shred(pages, text_for=({"a"}, ()), keep=(("a", "link"), (), ()))
     href = F.try_element_at("attrs", F.lit("href"))
     rel_next = F.array_contains(
         F.split(F.coalesce(F.try_element_at("attrs", F.lit("rel")), F.lit("")), r"\s+"), "next"
@@ -59,6 +59,11 @@ def selected_links(pages: DataFrame, next_selector: str) -> DataFrame:
     return found.where("href <> ''").select("page_id", "url", joined.alias("next_url"))
 
 
+def rule_links(pages: DataFrame, next_selector: str | None = None) -> DataFrame:
+    """``page_id, url, next_url`` by the selector, or by the automatic rule without one."""
+    return selected_links(pages, next_selector) if next_selector else next_links(pages)
+
+
 def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin: bool = True) -> DataFrame:
     """``start, depth, url`` of the pages reached from ``starts(url)``, each once.
 
@@ -72,8 +77,8 @@ def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin:
         steps = steps.where(urls.same_origin(F.col("src"), F.col("dst")))
     seen = starts.select(F.col("url").alias("start"), F.lit(0).alias("depth"), "url").distinct()
     span = 1
-    steps = stage(steps.distinct(), "steps")
-    while span < max_pages and not steps.isEmpty():
+    steps, many = stage_counted(steps.distinct(), "steps")
+    while span < max_pages and many:
         here = F.struct("depth", "url")
         there = F.struct((F.col("depth") + span).alias("depth"), F.col("dst").alias("url"))
         both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, there))
@@ -84,7 +89,7 @@ def walk(starts: DataFrame, links: DataFrame, max_pages: int = 100, same_origin:
         if span < max_pages:
             a, b = steps.alias("a"), steps.alias("b")
             longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-            steps = stage(longer.distinct(), "steps")
+            steps, many = stage_counted(longer.distinct(), "steps")
     return stage(seen.where(F.col("depth") < max_pages).select("start", "depth", "url"), "walk")
 
 
@@ -94,19 +99,24 @@ def walk_pages(
     max_pages: int = 100,
     next_selector: str | None = None,
     same_origin: bool = True,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """``start, depth, page_id, url`` of the captured pages along each walk.
 
-    A walk that keeps to its origin only has the pages of that origin parsed. Of several
-    captures of a URL one counts.
+    With ``index``, the links that a :class:`CaptureStore` keeps, no page is parsed. Else a
+    walk that keeps to its origin has the pages of that origin parsed. Of several captures
+    of a URL one counts.
     """
+    placed = pages
     if same_origin:
         origins = starts.select(urls.origin(F.col("url")).alias("__origin"))
         placed = pages.withColumn("__origin", urls.origin(F.col("url")))
-        pages = semi_join(placed, origins, "__origin").drop("__origin")
-    captured = stage(one_capture(pages.drop("html")), "captured")
-    pages = semi_join(pages, captured, "page_id")
-    links = selected_links(pages, next_selector) if next_selector else next_links(pages)
+        placed = semi_join(placed, origins, "__origin").drop("__origin")
+    captured = stage(one_capture(placed.drop("html")), "captured")
+    if index is None:
+        links = rule_links(semi_join(placed, captured, "page_id"), next_selector)
+    else:
+        links = semi_join(index.where(F.col("rule") == (next_selector or "")), captured, ["page_id", "url"])
     # A link to a page that was not captured ends the walk.
     links = links.join(captured.select(F.col("url").alias("next_url")), "next_url", "left_semi")
     reached = walk(starts.select("url"), links, max_pages, same_origin)
@@ -121,9 +131,10 @@ def extract_paginated(
     max_pages: int = 1,
     next_selector: str | None = None,
     same_origin: bool = True,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of every page along each walk: ``start, depth, page_id, row_idx``, fields."""
-    route = walk_pages(pages, starts, max_pages, next_selector, same_origin)
+    route = walk_pages(pages, starts, max_pages, next_selector, same_origin, index)
     visited = semi_join(pages, route, "page_id")
     rows = css.extract_rows(visited, row_selector, selectors)
     return route.drop("url").join(rows, "page_id")

@@ -8,6 +8,7 @@ shuffled, once, on ``page_id``, and no page is ever joined with itself.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -254,6 +255,18 @@ def text_hint(fields: list[Field]):
     return (tags, classes) if tags or classes else None
 
 
+def anchors(selectors: Iterable[str]):
+    """``(tags, classes, ids)`` one of which every element has that meets a step of the
+    selectors; None if some step asks for none of them."""
+    found = {"tag": set(), "class": set(), "id": set()}
+    for source in {step.source for s in selectors for chain in parse(s) for step in chain}:
+        first = next((t for t in reversed(tests_of(source)) if t[0] in found), None)
+        if first is None:
+            return None
+        found[first[0]].add(first[1])
+    return tuple(found.values())
+
+
 def _value(field: Field) -> Column:
     if not field.attribute:
         return F.coalesce("text", F.lit(""))
@@ -344,12 +357,13 @@ def _combine(rows: DataFrame, combinator: str, left: str, right: str, out: str)
 
 def select(pages: DataFrame, selector: str) -> DataFrame:
     """``page_id, pre`` of every element a selector matches."""
-    hits = match(shred(pages), {"hit": selector})
+    hits = match(shred(pages, keep=anchors([selector])), {"hit": selector})
     return hits.where("hit").select("page_id", "pre")
 
 
-def _fields_on(dom: DataFrame, fields: list[Field], extra: dict[str, str] | None = None) -> DataFrame:
+def _fields_on(pages: DataFrame, fields: list[Field], extra: dict[str, str] | None = None) -> DataFrame:
     selectors = {f"_m{i}": f.selector for i, f in enumerate(fields)} | (extra or {})
+    dom = shred(pages, text_for=text_hint(fields), keep=anchors(selectors.values()))
     values = {f"_v{i}": _value(f) for i, f in enumerate(fields)}
     values["_url"] = F.when(F.col("pre") == 0, _attr("url"))
     return match(dom, selectors, values)
@@ -358,7 +372,7 @@ def _fields_on(dom: DataFrame, fields: list[Field], extra: dict[str, str] | None
 def extract_flat(pages: DataFrame, selectors: dict[str, str], attribute: str | None = None) -> DataFrame:
     """Cells ``page_id, row_idx, col, col_ord, value``; columns may differ in length."""
     fields = fields_of(selectors, attribute)
-    hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields).where("pre > 0")
+    hits = _fields_on(pages, fields).where("pre > 0")
     cells = F.array(
         *[
             F.struct(
@@ -388,7 +402,7 @@ def extract_rows(
     in document order, provided it lies before the row's end.
     """
     fields = fields_of(selectors, attribute)
-    hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields, {"_row": row_selector})
+    hits = _fields_on(pages, fields, {"_row": row_selector})
     following = {
         f"_n{i}": F.expr(
             f"lead(if(_m{i}, struct(pre, _v{i} as value), null)) ignore nulls "
@@ -420,7 +434,7 @@ def extract_one(
     """
     fields = fields_of(selectors, attribute)
     extra = {"_row": row_selector} if row_selector else None
-    hits = _fields_on(shred(pages, text_for=text_hint(fields)), fields, extra)
+    hits = _fields_on(pages, fields, extra)
     if row_selector:
         # Only what lies below the first row counts; it is known once it has begun.
         row = F.min(F.when(F.col("_row"), F.struct("pre", "end"))).over(so_far())

@@ -115,7 +115,7 @@ def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
     return discovered(extract_cells(pages, spec))
 
 
-def _chosen_pages(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
+def _chosen_pages(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None) -> DataFrame:
     """The job's pages with their order; all pages when it names none."""
     if not (spec.url or spec.url_list or spec.page_template):
         return pages.select("page_id", "url", "html").withColumn("page_ord", F.col("page_id"))
@@ -123,17 +123,18 @@ def _chosen_pages(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
         pages.sparkSession, spec.url, spec.url_list, spec.page_template, spec.pages, spec.max_pages_limit
     )
     if spec.auto_paginate:
-        route = walk_pages(pages, wanted, spec.max_auto_pages)
+        route = walk_pages(pages, wanted, spec.max_auto_pages, index=index)
         order = route.groupBy("url").agg(F.min("depth").cast("bigint").alias("page_ord"))
     else:
         order = wanted.groupBy("url").agg(F.min("ord").alias("page_ord"))
     return pages_for(pages, order).join(order, "url")
 
 
-def run(pages: DataFrame, spec: ExtractSpec) -> ExtractResult:
+def run(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None = None) -> ExtractResult:
     """Extract, follow, shape. Only the pages the job names are parsed, and once: the
-    table is written out before shaping, profiling and export go over it."""
-    chosen = _chosen_pages(pages, spec)
+    table is written out before shaping, profiling and export go over it. With the
+    ``index`` of a capture store a walk parses nothing."""
+    chosen = _chosen_pages(pages, spec, index)
     table = extract_wide(chosen, spec).join(places(chosen), "__page_id")
     if spec.follow_field and spec.follow_selectors:
         table = details.follow(
@@ -149,13 +150,13 @@ def run(pages: DataFrame, spec: ExtractSpec) -> ExtractResult:
     return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec, failures(chosen))
 
 
-def run_long(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
+def run_long(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None = None) -> DataFrame:
     """``page_ord, url, row_idx, col, col_ord, value``: the cells without a wide table.
 
     For crawls of many sites, whose column names grow with the sites: nothing is
     gathered to name columns, and any sink can write the rows as they are.
     """
-    chosen = _chosen_pages(pages, spec)
+    chosen = _chosen_pages(pages, spec, index)
     cells = extract_cells(chosen, spec).where("col is not null")
     rows = cells.join(chosen.select("page_id", "page_ord", "url"), "page_id")
     return rows.select("page_id", "page_ord", "url", "row_idx", "col", "col_ord", "value")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def builder(
@@ -65,6 +66,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return staged, seen.get["n"]
+
+
 def scatter(df: DataFrame) -> DataFrame:
     """``df`` dealt over the partitions asked for in ``spark.pagequarry.partitions``.
 
@@ -74,12 +82,15 @@ def scatter(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, on: str | list[str], fits: int = 100_000) -> DataFrame:
+def semi_join(rows: DataFrame, keys: DataFrame, on: str | list[str], fits: int | None = None) -> DataFrame:
     """The ``rows`` whose key is among ``keys``.
 
     Up to ``fits`` keys, counted first, are sent to every task, so that wide rows such as
-    whole pages stay where they are; more keys are joined by a shuffle.
+    whole pages stay where they are; more keys are joined by a shuffle. By default a
+    million whole numbers fit, or 100,000 keys of another kind.
     """
     keys = keys.select(on).distinct()
+    if fits is None:
+        fits = 1_000_000 if all(isinstance(f.dataType, IntegralType) for f in keys.schema) else 100_000
     few = keys.limit(fits + 1).count() <= fits
     return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")

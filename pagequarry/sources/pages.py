@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import semi_join
+from ..session import semi_join, stage
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -23,10 +23,27 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path).select("page_id", "url", "html")
 
 
-def pages_for(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """The captured pages of a URL set, one per URL; runs before anything is parsed."""
-    wanted = semi_join(pages.drop("html"), urls, "url")
-    return semi_join(pages, one_capture(wanted), "page_id").select("page_id", "url", "html")
+def pages_for(pages: DataFrame, urls: DataFrame, fits: int = 1_000_000) -> DataFrame:
+    """The captured pages of a URL set, one per URL; runs before anything is parsed.
+
+    The captures are chosen by narrow columns. The ids of up to ``fits`` of them, counted
+    first (eight bytes each), are sent to the tasks, so pages don't move; more are joined
+    by URL, which moves no page either where ``pages`` is bucketed by it, as in a
+    :class:`~pagequarry.sources.store.CaptureStore`.
+    """
+    captured = stage(one_capture(semi_join(pages.drop("html"), urls, "url")), "captured")
+    if captured.limit(fits + 1).count() <= fits:
+        found = pages.join(F.broadcast(captured.select("page_id")), "page_id", "left_semi")
+    else:
+        found = only_chosen(pages, captured)
+    return found.select("page_id", "url", "html")
+
+
+def only_chosen(rows: DataFrame, captured: DataFrame) -> DataFrame:
+    """The ``rows`` of the captures that count. The ids are compared by two bounds: as an
+    equality they would become a key of the join, and buckets by URL alone wouldn't do."""
+    chosen = captured.select("url", F.col("page_id").alias("_chosen"))
+    return rows.join(chosen, "url").where("page_id >= _chosen and page_id <= _chosen").drop("_chosen")
 
 
 def one_capture(pages: DataFrame) -> DataFrame:

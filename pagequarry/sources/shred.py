@@ -264,7 +264,7 @@ def subtree_text(node: _Node, full: str) -> str:
     return full[node.t0 : node.t1]
 
 
-def _page_rows(tree: _Tree, page_id, url, text_for, ancestors) -> Iterable[tuple]:
+def _page_rows(tree: _Tree, page_id, url, text_for, ancestors, keep=None) -> Iterable[tuple]:
     nodes = tree.nodes
     if url is not None:
         nodes[0].attrs["url"] = url
@@ -272,6 +272,8 @@ def _page_rows(tree: _Tree, page_id, url, text_for, ancestors) -> Iterable[tuple
     tags, classes_wanted = text_for if text_for and text_for != "all" else ((), ())
     for n in nodes:
         classes = n.attrs.get("class", "").split()
+        if keep and n.pre and not (n.tag in keep[0] or n.attrs.get("id") in keep[2] or not keep[1].isdisjoint(classes)):
+            continue
         text = None
         if text_for and (text_for == "all" or n.tag in tags or not classes_wanted.isdisjoint(classes)):
             text = subtree_text(n, full)
@@ -297,6 +299,7 @@ def shred(
     pages: DataFrame,
     *,
     text_for: str | tuple[Iterable[str], Iterable[str]] | None = None,
+    keep: tuple[Iterable[str], Iterable[str], Iterable[str]] | None = None,
     cell_pieces: bool = False,
     ancestors: int = 0,
     include_comments: bool = False,
@@ -312,6 +315,9 @@ def shred(
     text_for
         ``(tags, classes)`` of the elements whose subtree text goes to ``text``, or
         ``"all"``.
+    keep
+        ``(tags, classes, ids)``: no other elements get a row. Numbers and texts stay those
+        of the whole page.
     cell_pieces
         add a row (``tag`` NULL) per text piece inside table cells; its ``up`` lists
         the enclosing cells. The ``up`` of a cell lists the enclosing rows.
@@ -322,6 +328,8 @@ def shred(
     """
     if text_for and text_for != "all":
         text_for = (frozenset(text_for[0]), frozenset(text_for[1]))
+    if keep:
+        keep = tuple(map(frozenset, keep))
 
     def to_rows(batches):
         tree = _Tree(include_comments)
@@ -339,7 +347,7 @@ def shred(
                 page_id, url = ids[i].as_py(), urls[i].as_py() if urls else None
                 if _build(tree, htmls[i].as_py()) is not None:
                     continue
-                found = _page_rows(tree, page_id, url, text_for, ancestors)
+                found = _page_rows(tree, page_id, url, text_for, ancestors, keep)
                 for row in chain(found, _piece_rows(tree, page_id) if cell_pieces else ()):
                     rows.append(row)
                     if len(rows) >= _ROWS_PER_BATCH:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.store import CaptureStore
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
@@ -43,6 +45,7 @@ def watch(
     checkpoint: str,
     every: str | None = None,
     fail_fast: bool = True,
+    store: CaptureStore | None = None,
 ) -> StreamingQuery:
     """Run ``extract`` on each batch of new pages and write its rows under ``out``.
 
@@ -52,7 +55,8 @@ def watch(
     are overwritten when a batch is retried, so each batch counts once. A batch that
     fails ends the query, and the next start takes it again. Without ``fail_fast`` the
     query goes on: the failed batch's pages are kept whole in ``out/retry/batch=N``, to
-    be read by ``retries``, and the error is recorded in the metrics.
+    be read by ``retries``, and the error is recorded in the metrics. With a ``store`` each
+    batch's captures, and the links to next pages they hold, are added to it first.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -60,6 +64,8 @@ def watch(
         rows, error = None, None
         batch = batch.persist()  # read by the extraction and by the count
         try:
+            if store:
+                store.add(batch)
             written = Observation()
             result = extract(batch).observe(written, F.count(F.lit(1)).alias("rows"))
             result.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
