@@ -36,7 +36,7 @@ def d1(spark, sf):
 )
 def d1_positional(spark, sf):
     flat = selectors.extract_flat(table(spark, sf, "pages"), {"link": "nav a@href", "bold": "article b"})
-    return long.positional_concat(flat, chunk=64).select("col", big("pos"), "value", "page_id")
+    return long.positional_concat(flat).select("col", big("pos"), "value", "page_id")
 
 
 @query(

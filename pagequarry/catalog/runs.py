@@ -53,6 +53,37 @@ def h2(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("page_id", "title", "h1")
 
 
+_LANDINGS = """SELECT page_id AS id, url, CASE page_id % 3 WHEN 0 THEN 12 WHEN 1 THEN 10 ELSE 11 END AS hour, 0 AS run FROM pages
+  UNION ALL SELECT page_id + 10000000, url, CASE WHEN page_id % 4 = 0 THEN 13 ELSE 11 END, 1 FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id + 20000000, url, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 12 END, 2 FROM pages"""
+
+
+@query(
+    "h1_late_captures",
+    f"""WITH l AS ({_LANDINGS}),
+        seen AS (SELECT *, max(hour::BIGINT * 1000000000 - id) OVER (PARTITION BY url ORDER BY run RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 AS best FROM l),
+        marked AS (SELECT *, best IS NOT NULL AND hour::BIGINT * 1000000000 - id <= best AS is_late FROM seen)
+        SELECT url, max_by(id, hour::BIGINT * 1000000000 - id) AS page_id, max(hour) AS hour,
+               count(*) FILTER (is_late) AS late FROM marked GROUP BY url""",
+)
+def h1_late(spark, sf):
+    # Three runs over a folder into which ever later captures of the same URLs fall.
+    land, out, state = (scratch_path(spark, n) for n in ("land", "out", "state"))
+    pages = table(spark, sf, "pages")
+    at = lambda hour: F.timestamp_seconds(hour * 3600 + 1_700_000_000).alias("fetched_at")
+    first = pages.select("page_id", "url", at(F.expr("case page_id % 3 when 0 then 12 when 1 then 10 else 11 end")))
+    second = pages.where("page_id % 2 = 0").select(F.col("page_id") + 10_000_000, "url", at(F.expr("if(page_id % 4 = 0, 13, 11)")))
+    third = pages.select(F.col("page_id") + 20_000_000, "url", at(F.expr("if(page_id % 5 = 0, 1, 12)")))
+    for landing in (first, second, third):
+        landing.toDF("page_id", "url", "fetched_at").coalesce(1).write.mode("append").parquet(land)
+        stream = watch.captures(spark, land, schema="page_id bigint, url string, fetched_at timestamp")
+        watch.newest(stream, out, state).awaitTermination()
+    lost = watch.late(spark, out).groupBy("url").agg(F.count("*").alias("late"))
+    hour = ((F.unix_seconds("fetched_at") - 1_700_000_000) / 3600).cast("bigint").alias("hour")
+    return watch.newest_now(spark, out).join(lost, "url", "left").select("url", "page_id", hour, F.coalesce("late", F.lit(0)).alias("late"))
+
+
 @query("h4_run_metrics", "SELECT count(*) AS pages, count(*) AS \"rows\", 0 AS failed FROM pages")
 def h4(spark, sf):
     metrics = spark.read.parquet(f"{_streamed(spark, sf)}/metrics")
@@ -83,8 +114,7 @@ def h3(spark, sf):
         " when value < 40 then 'input.z' end end as selector",
         "case when event_type = 'signup' then if(value < 30, '/a', '/b') end as url",
     )
-    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    return actions.compact(log, "user_id", ["ts", "event_id"], day).select("event_id", "action")
+    return actions.compact(log, "user_id", ["ts", "event_id"]).select("event_id", "action")
 
 
 # ------------------------------------------------------------ specs and jobs

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import scan
 
 
-def compact(log: DataFrame, session: str, order: list[str], chunk: Column) -> DataFrame:
+def compact(log: DataFrame, session: str, order: list[str], chunk: Column | None = None) -> DataFrame:
     """Drop fills overwritten by the next action and repeats of the same goto.
 
     ``log`` has ``action, selector, url``. Of consecutive fills of one selector the
-    last stays, of consecutive gotos to one URL the first. ``chunk`` cuts a session's
-    order into bounded pieces, such as hours.
+    last stays, of consecutive gotos to one URL the first. The log is dealt by sampled
+    ranges, or by ``chunk``, if it is known to cut the order into even pieces.
     """
     this = F.struct("action", "selector", "url")
     log = scan.with_neighbours(log, [session], order, chunk, this)

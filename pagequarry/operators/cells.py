@@ -63,17 +63,18 @@ def align(parts: list[DataFrame], order: str = "step") -> DataFrame:
     return union.select(order, *filled)
 
 
-def positional_concat(cells: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def positional_concat(cells: DataFrame, chunk: int | None = None) -> DataFrame:
     """Append the columns of all pages end to end, each column on its own.
 
     Adds ``pos``, the cell's place in its column over all pages in ``page_id`` order.
-    Pages with different columns shift against each other; ``align`` does not. The
-    cells are written out once, since they are counted before they are placed.
+    Pages with different columns shift against each other; ``align`` does not. Pages are
+    dealt by sampled ranges, or by ``chunk`` ids where ids are known to be even. The cells
+    are written out once, since they are counted before they are placed.
     """
     cells = stage(cells.select("page_id", "row_idx", "col", "value"), "cells")
     counts = cells.groupBy("page_id", "col").agg(F.count("*").alias("_n"))
     offsets = scan.running_sum(
-        counts, ["col"], ["page_id"], F.floor(F.col("page_id") / chunk), F.col("_n"), "_upto"
+        counts, ["col"], ["page_id"], F.floor(F.col("page_id") / chunk) if chunk else None, F.col("_n"), "_upto"
     ).select("page_id", "col", (F.col("_upto") - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("page_id", "col").orderBy("row_idx")) - 1
     return (

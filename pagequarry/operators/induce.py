@@ -45,7 +45,7 @@ def _group():
 def _nodes(pages: DataFrame, ancestors: int) -> DataFrame:
     attr = lambda a: F.try_element_at("attrs", F.lit(a))
     return shred(pages, ancestors=ancestors).where("pre > 0").select(
-        "page_id", "pre", "parent", "tag", "classes", "n_children", "up",
+        "page_id", "pre", "end", "depth", "parent", "tag", "classes", "n_children", "up",
         F.array_join(F.array_sort("classes"), ".").alias("class_sig"),
         class_selector().alias("selector"),
         path_part().alias("part"),
@@ -69,6 +69,32 @@ def _lines(nodes: DataFrame, picked: Column, info: list[str]) -> DataFrame:
     return rows.withColumn("f", facts).where("lvl >= 0").select("page_id", "target", "node", "lvl", "f.*")
 
 
+def _lines_by_sweep(nodes: DataFrame, info: list[str], useful: Column) -> DataFrame:
+    """``_lines`` up to the root, for few picked nodes of trees of any depth.
+
+    Every element opens at ``pre`` and closes at ``end``. A running count of the picked
+    nodes at both places says which of them lie inside, so an element costs two rows
+    however deep it lies, and a pair is made only of a picked node and an element above
+    it that is ``useful`` or among the nearest ``FIELD_PATH``.
+    """
+    sides = F.array(*[F.struct(F.col(c).alias("at"), F.lit(side).alias("side")) for side, c in enumerate(("pre", "end"))])
+    opens = F.col("_picked") & (F.col("side") == 0)
+    order = Window.partitionBy("page_id").orderBy("at", "side", "pre").rowsBetween(Window.unboundedPreceding, 0)
+    swept = nodes.withColumn("_useful", useful).select("page_id", "pre", "depth", "_picked", "_useful", *info, F.inline(sides))
+    swept = swept.withColumn("_n", F.count(F.when(opens, 1)).over(order))
+    facts = F.max(F.when(F.col("side") == 0, F.struct("depth", "_picked", "_useful", *info)))
+    spans = swept.groupBy("page_id", "pre").agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"), facts.alias("f"))
+    # a picked node's own number is the count at its opening, which holds itself
+    first = F.col("_first") + F.when(F.col("f._picked"), 0).otherwise(1)
+    above = spans.where(F.col("_last") >= first).select(
+        "page_id", F.col("pre").alias("node"), "f", F.explode(F.sequence(first, F.col("_last"))).alias("_k")
+    )
+    asked = spans.where("f._picked").select("page_id", F.col("_first").alias("_k"), F.col("pre").alias("target"), F.col("f.depth").alias("_deep"))
+    lines = above.join(asked, ["page_id", "_k"]).withColumn("lvl", F.col("_deep") - F.col("f.depth"))
+    lines = lines.where(F.col("f._useful") | (F.col("lvl") < FIELD_PATH))
+    return lines.select("page_id", "target", "node", "lvl", *[F.col(f"f.{c}").alias(c) for c in info])
+
+
 def induce(pages: DataFrame, examples: DataFrame) -> DataFrame:
     """Row and field selectors for example elements ``examples(page_id, pre)``.
 
@@ -79,10 +105,11 @@ def induce(pages: DataFrame, examples: DataFrame) -> DataFrame:
     wanted = examples.select("page_id", "pre").distinct().withColumn("_picked", F.lit(True))
     # Only pages with an example are parsed.
     pages = semi_join(pages, wanted, "page_id")
-    nodes = _nodes(pages, ancestors=1 << 30).join(wanted, ["page_id", "pre"], "left")
+    nodes = _nodes(pages, ancestors=0).join(wanted, ["page_id", "pre"], "left")
+    nodes = nodes.withColumn("_picked", F.coalesce("_picked", F.lit(False)))
     info = ["tag", "classes", "class_sig", "selector", "part", "aria", "n_same"]
-    lines = _lines(nodes, F.coalesce("_picked", F.lit(False)), info)
     is_row = ~F.col("tag").isin("html", "body") & (F.col("class_sig") != "") & (F.col("n_same") >= 2)
+    lines = _lines_by_sweep(nodes, info, is_row)
     line = Window.partitionBy("page_id", "target")
     lines = lines.withColumn("row_lvl", F.min(F.when(is_row, F.col("lvl"))).over(line)).where(
         F.col("lvl") <= F.col("row_lvl")

@@ -1,9 +1,13 @@
 """Ordered scans over keys of any size.
 
-A window partitioned by the key alone puts a hot key into one task. Here the order is
-cut into chunks (an hour, a range of ids), windows run inside ``(key, chunk)``, and a
-small table of one row per ``(key, chunk)`` carries totals from chunk to chunk. Rows
-with a NULL key or an order of NULL are a group of their own; none is dropped.
+A window partitioned by the key alone puts a hot key into one task. Here the rows are
+dealt by sampled ranges of (key, order), so that every range holds about as many rows,
+whichever keys and times are hot; windows run inside ``(key, range)``, and a small table
+of one row per ``(key, range)`` carries totals from range to range. The totals (sums,
+counts, maxima, ends) are associative, so nothing passes through one task. A caller who
+knows even chunks of the order, such as pages of a book, may name them by ``chunk``
+instead. Rows with a NULL key or an order of NULL are a group of their own; none is
+dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +17,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..session import stage
+
+
+def cut(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
+    """``df`` with ``_chunk``, by the column given or by sampled ranges of (keys, order).
+
+    Ranges are written out: sampled again they would lie elsewhere.
+    """
+    if chunk is not None:
+        return df.withColumn("_chunk", chunk)
+    ranged = df.repartitionByRange(*[text.named(c) for c in (*keys, *order)])
+    return stage(ranged.withColumn("_chunk", F.spark_partition_id()), "ranges")
+
 
 def _spec(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -31,37 +49,37 @@ def _carry(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, value: Column, out: str
 ) -> DataFrame:
     """Add ``out``, the sum of ``value`` over the key's rows up to this one."""
-    cut = df.withColumn("_chunk", chunk).withColumn("_value", value)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
+    rows = cut(df.withColumn("_value", value), keys, order, chunk)
+    totals = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     carried = totals.select(
         *keys, "_chunk", F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)).alias("_carry")
     )
     local = F.sum("_value").over(_spec(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        _carry(cut.withColumn("_local", local), carried, keys)
+        _carry(rows.withColumn("_local", local), carried, keys)
         .withColumn(out, F.col("_carry") + F.col("_local"))
         .drop("_chunk", "_value", "_local", "_carry")
     )
 
 
 def spaced_slots(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, arrival: Column, gap: int, out: str
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, arrival: Column, gap: int, out: str
 ) -> DataFrame:
     """Add ``out``: the earliest times not before ``arrival`` and ``gap`` apart per key.
 
     ``slot_i = max(arrival_i, slot_{i-1} + gap)`` equals ``i * gap`` plus the running
     maximum of ``arrival_j - j * gap``, which splits over chunks.
     """
-    cut = df.withColumn("_chunk", chunk).withColumn("_arrival", arrival)
+    rows = cut(df.withColumn("_arrival", arrival), keys, order, chunk)
     local = _spec(keys, order)
-    cut = cut.withColumn("_i", F.row_number().over(local)).withColumn(
+    rows = rows.withColumn("_i", F.row_number().over(local)).withColumn(
         "_lead", F.col("_arrival") - F.col("_i") * gap
     )
-    cut = cut.withColumn("_max", F.max("_lead").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = cut.groupBy(*keys, "_chunk").agg(
+    rows = rows.withColumn("_max", F.max("_lead").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = rows.groupBy(*keys, "_chunk").agg(
         F.count("*").alias("_n"), F.max("_lead").alias("_top")
     )
     before = _before(keys)
@@ -71,19 +89,19 @@ def spaced_slots(
         F.col("_max") - F.col("_skip") * gap, F.col("_carry")
     )
     return (
-        _carry(cut, carried.select(*keys, "_chunk", "_skip", "_carry"), keys)
+        _carry(rows, carried.select(*keys, "_chunk", "_skip", "_carry"), keys)
         .withColumn(out, slot)
         .drop("_chunk", "_arrival", "_i", "_lead", "_max", "_skip", "_carry")
     )
 
 
 def with_neighbours(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, value: Column
 ) -> DataFrame:
     """Add ``prev`` and ``next``: ``value`` of the rows before and after, NULL at ends."""
-    cut = df.withColumn("_chunk", chunk).withColumn("_value", F.struct(value.alias("v")))
+    rows = cut(df.withColumn("_value", F.struct(value.alias("v"))), keys, order, chunk)
     place = F.struct(*order)
-    edges = cut.groupBy(*keys, "_chunk").agg(
+    edges = rows.groupBy(*keys, "_chunk").agg(
         F.min_by("_value", place).alias("_head"), F.max_by("_value", place).alias("_tail")
     )
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
@@ -94,7 +112,7 @@ def with_neighbours(
         F.lead("_head").over(chunks).alias("_after"),
     )
     local = _spec(keys, order)
-    placed = cut.withColumn("_lag", F.lag("_value").over(local)).withColumn("_lead", F.lead("_value").over(local))
+    placed = rows.withColumn("_lag", F.lag("_value").over(local)).withColumn("_lead", F.lead("_value").over(local))
     return (
         _carry(placed, edges, keys)
         .withColumn("prev", F.coalesce("_lag", "_before")["v"])

@@ -139,15 +139,14 @@ def robots_gate(
 
 
 def fetch_slots(
-    requests: DataFrame, host: str, arrival: str, tie: str, per_second: float, chunk_seconds: int = 3600
+    requests: DataFrame, host: str, arrival: str, tie: str, per_second: float
 ) -> DataFrame:
     """Add ``slot`` (microseconds): requests to one host at least ``1/per_second`` apart."""
     micros = F.unix_micros(F.col(arrival).cast("timestamp"))
     if per_second <= 0:
         return requests.withColumn("slot", micros)
     gap = round(1_000_000 / per_second)
-    chunk = F.floor(micros / (chunk_seconds * 1_000_000))
-    return scan.spaced_slots(requests, [host], [arrival, tie], chunk, micros, gap, "slot")
+    return scan.spaced_slots(requests, [host], [arrival, tie], None, micros, gap, "slot")
 
 
 def fetch_outcomes(attempts: DataFrame, retries: int = 2) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import stage
 from ..sources.store import CaptureStore
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
@@ -22,11 +25,90 @@ def captures(spark: SparkSession, path: str, fmt: str = "parquet", schema: str =
 def fresh(stream: DataFrame, fetched_at: str = "fetched_at", keep: str = "1 day") -> DataFrame:
     """Drop repeats of one capture; state is held for ``keep`` only.
 
-    A capture that comes later than ``keep`` is dropped too; ``dropped_late`` counts them.
+    A capture that comes later than ``keep`` is dropped too; ``dropped_late`` counts those
+    of the stream's last updates. :func:`newest` drops none.
     """
     return stream.withWatermark(fetched_at, keep).dropDuplicatesWithinWatermark(["url", fetched_at])
 
 
+STATE = "newest timestamp, page_id long"
+FOUND = "url string, page_id long, fetched_at timestamp, kind string"
+
+
+def _newest_of_url(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The batch's newest capture of one URL, and those later than a newer one of an earlier batch."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(batches)).sort_values(["fetched_at", "page_id"], ascending=[False, True])
+    late = pd.Series(False, index=rows.index)
+    if state.exists:
+        newest, page_id = pd.Timestamp(state.get[0]), state.get[1]
+        late = (rows["fetched_at"] < newest) | ((rows["fetched_at"] == newest) & (rows["page_id"] >= page_id))
+    kept = rows[~late].head(1)
+    if len(kept):
+        state.update((kept["fetched_at"].iloc[0].to_pydatetime(), int(kept["page_id"].iloc[0])))
+    # the clock of the stream stands where its batch began; forgotten after ``keep`` without captures
+    state.setTimeoutTimestamp(int(rows["_forget"].iloc[0].timestamp() * 1000))
+    for found, kind in ((kept, "newest"), (rows[late], "late")):
+        if len(found):
+            yield pd.DataFrame({"url": key[0], "page_id": found["page_id"], "fetched_at": found["fetched_at"], "kind": kind})
+
+
+def newest(stream: DataFrame, out: str, checkpoint: str, keep: str = "1 day") -> StreamingQuery:
+    """The streaming form of ``latest_snapshots``: what is new and what is late, batch by batch.
+
+    ``stream`` holds ``page_id, url, fetched_at``; only these pass through the state, one
+    small row per URL, which is forgotten when no capture came for ``keep`` of wall time.
+    ``out/newest/batch=N`` gets the captures that are the newest known of their URL when they
+    come in, ``out/late/batch=N`` those that came after a newer one; :func:`newest_now` and
+    :func:`late` read both, and what was forgotten changes neither. No capture is dropped
+    for its time: the state's clock is that of the batches, not of the captures. Captures
+    beaten within their own batch are in neither table. A capture without a time is older
+    than any other; those without a URL are captures of one URL. Pages are fetched by id,
+    with ``pages_for``.
+    """
+    narrow = stream.select(
+        F.col("page_id").cast("long").alias("page_id"), "url",
+        F.coalesce(F.col("fetched_at").cast("timestamp"), F.lit(0).cast("timestamp")).alias("fetched_at"),
+        F.current_timestamp().alias("_clock"), (F.current_timestamp() + F.expr(f"interval {keep}")).alias("_forget"),
+    )
+    found = narrow.withWatermark("_clock", "0 seconds").groupBy("url").applyInPandasWithState(
+        _newest_of_url, FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = stage(batch, "newest")
+        for kind in ("newest", "late"):
+            rows = batch.where(F.col("kind") == kind).drop("kind")
+            rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch={number}")
+
+    writer = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
+
+
+def _age():
+    return F.struct("fetched_at", (-F.col("page_id")).alias("id"))
+
+
+def newest_now(spark: SparkSession, out: str) -> DataFrame:
+    """``url, page_id, fetched_at``: the newest capture of every URL so far."""
+    best = F.max_by(F.struct("page_id", "fetched_at"), _age()).alias("b")
+    return spark.read.parquet(f"{out}/newest").groupBy("url").agg(best).select("url", "b.*")
+
+
+def late(spark: SparkSession, out: str) -> DataFrame:
+    """``url, page_id, fetched_at, batch`` of every capture that came after a newer one.
+
+    One whose URL had been forgotten meanwhile stands among the newest, behind the newer one
+    of an earlier batch.
+    """
+    before = Window.partitionBy("url").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    stood = spark.read.parquet(f"{out}/newest").withColumn("_best", F.max(_age()).over(before))
+    beaten = stood.where(F.coalesce(_age() <= F.col("_best"), F.lit(False))).drop("_best")
+    return spark.read.parquet(f"{out}/late").unionByName(beaten)
+
+
 def retries(spark: SparkSession, out: str) -> DataFrame:
     """The pages of all batches that failed under ``out``, with their ``batch``."""
     return spark.read.parquet(f"{out}/retry")

@@ -195,3 +195,103 @@ def test_stream_stops_at_a_failed_batch_and_takes_it_again(spark, pages, tmp_pat
         start(broken)
     start(lambda batch: css.extract_rows(batch, "li.row", {"t": "b"}))
     assert sorted(r.t for r in spark.read.parquet(f"{out}/rows").collect()) == ["p1-0", "p1-1"]
+
+
+def hot_log(spark, n=6000):
+    """A third of all rows of one host, nearly all of them in one second; null hosts and times too."""
+    rows = []
+    for i in range(n):
+        host = "hot" if i % 3 == 0 else None if i % 50 == 1 else f"h{i % 7}"
+        at = 5 if i % 3 == 0 and i > 60 else None if i % 40 == 2 else i * 37 % 900
+        rows.append((host, at, i, "goto" if i % 5 else "fill", f"s{i % 2}", f"u{i % 3}"))
+    return spark.createDataFrame(rows, "host string, t long, id long, action string, selector string, url string").repartition(6), rows
+
+
+def in_line(rows):
+    lines = {}
+    for r in rows:
+        lines.setdefault(r[0], []).append(r)
+    for line in lines.values():
+        line.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    return lines
+
+
+def test_scans_over_sampled_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df, rows = hot_log(spark)
+        dealt = scan.cut(df.repartition(30), ["host"], ["t", "id"])
+        sizes = sorted(r["count"] for r in dealt.groupBy("_chunk").count().collect())
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        summed = scan.running_sum(df, ["host"], ["t", "id"], None, F.col("id"), "s").collect()
+        spaced = scan.spaced_slots(df.where("t is not null"), ["host"], ["t", "id"], None, F.col("t"), 4, "slot").collect()
+        near = scan.with_neighbours(df, ["host"], ["t", "id"], None, F.col("id")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums, slots, ends = {}, {}, {}
+    for line in in_line(rows).values():
+        total, last = 0, None
+        ids = [None, *[r[2] for r in line], None]
+        for k, r in enumerate(line):
+            total += r[2]
+            sums[r[2]], ends[r[2]] = total, (ids[k], ids[k + 2])
+            if r[1] is not None:
+                last = r[1] if last is None else max(r[1], last + 4)
+                slots[r[2]] = last
+    assert {r.id: r.s for r in summed} == sums and {r.id: r.slot for r in spaced} == slots
+    assert {r.id: (r.prev, r.next) for r in near} == ends
+
+
+def test_hot_sessions_are_compacted_alike(spark):
+    from pagequarry.operators import actions
+
+    df, rows = hot_log(spark, 900)
+    got = {r.id for r in actions.compact(df, "host", ["t", "id"]).collect()}
+    want = set()
+    for line in in_line(rows).values():
+        for before, r, after in zip([None, *line], line, [*line[1:], None]):
+            lost = r[3] == "fill" and after is not None and after[3] == "fill" and after[4] == r[4]
+            again = r[3] == "goto" and before is not None and before[3] == "goto" and before[5] == r[5]
+            if not lost and not again:
+                want.add(r[2])
+    assert got == want
+
+
+def test_newest_captures_and_late_ones(spark, tmp_path):
+    land, out, state = (str(tmp_path / n) for n in ("land", "out", "state"))
+    hour = lambda h: f"timestamp_seconds({h} * 3600)"
+    runs = [
+        [(1, "a", 100), (2, "a", 99), (3, "b", 100), (4, "c", 50)],
+        [(5, "a", 100), (6, "a", 101), (0, "b", 100), (7, "b", 98), (8, "d", 100), (9, None, 100)],
+        [(10, "c", 300)],
+        [(11, "a", 200), (12, "e", 10), (13, "c", 290), (14, "a", 299), (15, None, 298), (16, "a", None)],
+        [(17, "a", 277), (18, "b", 298)],
+    ]
+    for rows in runs:
+        values = ", ".join(f"({i}L, {'null' if u is None else repr(u)}, {'null' if h is None else hour(h)})" for i, u, h in rows)
+        spark.sql(f"select * from values {values} as t(page_id, url, fetched_at)").selectExpr(
+            "page_id", "cast(url as string) url", "cast(fetched_at as timestamp) fetched_at"
+        ).coalesce(1).write.mode("append").parquet(land)
+        stream = watch.captures(spark, land, schema="page_id bigint, url string, fetched_at timestamp")
+        watch.newest(stream, out, state).awaitTermination()
+    now = {r.url: r.page_id for r in watch.newest_now(spark, out).collect()}
+    assert now == {"a": 14, "b": 18, "c": 10, "d": 8, "e": 12, None: 15}
+    # 2 and 11 were beaten in their own batches; 0 beats 3 by its smaller id
+    assert sorted(r.page_id for r in watch.late(spark, out).collect()) == [5, 7, 13, 16, 17]
+    # a capture of a URL forgotten meanwhile stands among the newest, and is late all the same
+    lost = spark.read.parquet(f"{out}/newest/batch=0").where("url = 'b'").selectExpr("url", "99L as page_id", "fetched_at - interval 1 hour as fetched_at")
+    lost.write.parquet(f"{out}/newest/batch=1000")
+    assert sorted(r.page_id for r in watch.late(spark, out).collect()) == [5, 7, 13, 16, 17, 99]
+    assert {r.url: r.page_id for r in watch.newest_now(spark, out).collect()} == now
+
+
+def test_examples_far_down_a_page(spark, pages):
+    deep = 4000
+    html = "<ul><li class=r><i class=v>1</i></li><li class=r>" + "<div>" * deep + "<i class=v>2</i>" + "</div>" * deep + "</li></ul>"
+    page = pages(html, "<ul><li class=r><b>x</b></li><li class=r><b>y</b><p><em>z</em></p></li></ul>")
+    examples = css.select(page, "i.v, b, em")
+    got = {(r.page_id, r.label): r for r in induce.induce(page, examples.where("page_id = 1")).collect()}
+    assert {r.row_selector for r in got.values()} == {"li.r"} and got[1, "em"].field_selector == "p > em"
+    found = induce.induce(page, examples).where("page_id = 0").orderBy("pre").collect()
+    assert [(r.row_selector, r.n_rows) for r in found] == [("li.r", 2), ("li.r", 2)]
+    assert found[0].field_selector == "i.v" and found[1].field_selector == " > ".join(["div"] * 8 + ["i.v"])
