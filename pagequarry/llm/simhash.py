@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of, whole_row
 from pagequarry.llm.components import components
-from pagequarry.session import semi_join, stage
+from pagequarry.session import scratch_path, semi_join, stage
 
 #: Fingerprints of one sub-trie at most; larger ones are cut by further blocks.
 GROUP = 4096
@@ -286,15 +286,29 @@ def shingle_sets(docs: DataFrame, words: int, texts: DataFrame) -> DataFrame:
     return semi_join(rows, texts, "text_hash").mapInArrow(each, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
-def may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """False only for sets that sizes or parity bitmaps prove to be less similar.
+def least_apart(a: str, b: str) -> Column:
+    """At least so many elements are in one of two sets alone, by their sizes and parity bitmaps.
 
     Every bit in which the bitmaps differ takes an element that is in one set alone.
     """
+    bits = sum((F.bit_count(F.col(f"{a}.p{w}").bitwiseXOR(F.col(f"{b}.p{w}"))) for w in range(WORDS)), F.lit(0))
+    return F.greatest(bits, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for sets that sizes or parity bitmaps prove to be less similar."""
     share = (1 - similarity) / (1 + similarity)
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.p{w}").bitwiseXOR(F.col(f"{b}.p{w}"))) for w in range(WORDS)), F.lit(0))
-    return (F.greatest(apart, F.abs(n - m)) <= (n + m) * share + 1e-6)
+    return least_apart(a, b) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * share + 1e-6
+
+
+def by_node(sets: DataFrame) -> DataFrame:
+    """``sets`` written in buckets by node under the shared folder, so that joins on it move only the other side."""
+    spark = sets.sparkSession
+    path = scratch_path(spark, "sets")
+    name, parts = "sets_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.repartition(parts, "node").write.format("parquet").bucketBy(parts, "node").sortBy("node")
+    dealt.option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -310,7 +324,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
 
     ``sets`` gives ``(node, hashes)`` for nodes. Nodes are dealt into buckets by each least
     hash; a pair shares each with its similarity. The members of a bucket are compared with
-    one pivot first. Where that leaves a bucket with several classes, all its pairs of
+    one pivot first, each node with the likeliest of its buckets' pivots. Where that leaves a bucket with several classes, all its pairs of
     different classes are compared: its members are dealt into parts, and each pair of
     parts is a key of its own, so a bucket of any size is compared whole.
     """
@@ -318,14 +332,17 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
     keys = nodes.select("node", F.posexplode("least").alias("m", "key")).select("node", F.xxhash64("m", "key").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage(keys.join(shared, "bucket"), "members")
-    held = stage(sets(members.select("node").distinct()), "sets")
+    held = by_node(sets(members.select("node").distinct()))
     rest, found = members.withColumn("root", F.col("node")), None
     for k in range(PIVOTS):
         pivots = rest.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("pivot"))
         pairs = rest.join(pivots, "bucket").filter(F.col("root") != F.col("pivot.root"))
         pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
         pairs = pairs.join(about.toDF("a", "x"), "a").join(about.toDF("b", "y"), "b").filter(may_be_similar("x", "y", similarity))
-        fresh = verified(pairs.select("a", "b"), held, similarity)
+        # a node's sets travel with each pair, so of its pivots only the likeliest is tried now
+        apart = F.struct(least_apart("x", "y") / (F.col("x.n") + F.col("y.n")), "b")
+        pairs = pairs.groupBy("a").agg(F.min_by("b", apart).alias("b"))
+        fresh = verified(pairs, held, similarity)
         found = fresh if found is None else found.union(fresh)
         reached = stage(components(found, "a", "b").withColumnRenamed("root", "_root"), "reached")
         placed = rest.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
