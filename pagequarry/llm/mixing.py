@@ -56,38 +56,37 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataFrame:
     stopped ones may end; the highest level that holds for its own source is the right one.
     """
     per = sizes.groupBy("no_source", "src").agg(F.sum("size").alias("source_size"))
-    listed = W.orderBy("no_source", "src")
+    per = running_total(per.withColumn("one", F.lit(1)), [], ["no_source", "src"], "one", "place")
     repeating = F.array(*[F.lit(float(w)) for w in weights])
     per = (
-        per.withColumn("kind", ((F.row_number().over(listed) - 1) % len(weights)).cast("int"))
+        per.withColumn("kind", (F.col("place") % len(weights)).cast("int"))
         .withColumn("weight", repeating[F.col("kind")])
         .withColumn("most", F.col("source_size") * F.lit(float(cap)))
+        .withColumn("stops", F.col("most") / F.col("weight"))
     )
-    filling = W.orderBy(F.col("most") / F.col("weight"), "no_source", "src")
-    earlier = filling.rowsBetween(W.unboundedPreceding, -1)
-    later = filling.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))) / F.sum(
-        "weight"
-    ).over(later)
-    per = per.withColumn("level", level)
-    fits = F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything)
-    return per.withColumn("level", fits).select(
+    filling = ["stops", "no_source", "src"]
+    per = running_total(per, [], filling, "most", "most_before")
+    per = stage(running_total(per, [], filling, "weight", "weight_before"), "targets")
+    # two numbers, and then one, of all sources together
+    words, weighed = per.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = (F.lit(words) - F.col("most_before")) / (F.lit(weighed) - F.col("weight_before"))
+    fits = F.max(F.when(level * F.col("weight") <= F.col("most"), level))
+    found = F.lit(per.agg(fits).first()[0]).cast("double")
+    return per.select(
         "no_source",
         "src",
         "kind",
         "source_size",
-        F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") > F.col("most")), F.col("most"))
-        .otherwise(F.col("level") * F.col("weight"))
-        .alias("target"),
+        F.when(found.isNull() | (found * F.col("weight") > F.col("most")), F.col("most")).otherwise(found * F.col("weight")).alias("target"),
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: float = 3.0) -> DataFrame:
     """A row per document: doc_id, source, text_hash, size, source_size, target, copies, taken, positions.
 
-    ``positions`` holds the training time of each copy. A copy is taken if its middle
-    lies below the target, so a source comes within half a document of its target.
+    ``positions`` holds the training time of each copy: when its source's cumulative
+    demand reaches the copy's middle. A copy is taken if that is before the end, so a
+    source comes within half a document of its target.
     """
     sized = docs.select(
         "doc_id",
@@ -102,9 +101,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: float = 3.0)
     full = placed.join(targets(placed, weights, cap), ["no_source", "src"])
     passes = F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))
     middle = lambda e: e * F.col("source_size") + F.col("offset") + F.col("size") / 2
-    taken = F.when(F.col("size") > 0, F.filter(passes, lambda e: middle(e) < F.col("target"))).otherwise(
-        F.array().cast("array<int>")
-    )
 
     def position(e: Column) -> Column:
         share = middle(e) / F.col("target")
@@ -113,19 +109,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: float = 3.0)
             at = F.when(F.col("kind") % len(schedules) == k, demand_inverse(share, schedules[k])).otherwise(at)
         return at
 
-    return full.withColumn("passes", taken).select(
+    # the demand is met at time 1: copies that would come then or later are not asked for
+    times = F.when((F.col("size") > 0) & (F.col("target") > 0), F.filter(F.transform(passes, position), lambda t: t < 1))
+    return full.withColumn("positions", F.coalesce(times, F.array().cast("array<double>"))).select(
         "doc_id",
         F.when(~F.col("no_source"), F.col("src")).alias("source"),
         "text_hash",
         "size",
         "source_size",
         "target",
-        F.size("passes").alias("copies"),
-        (F.size("passes") * F.col("size")).alias("taken"),
-        F.transform("passes", position).alias("positions"),
+        F.size("positions").alias("copies"),
+        (F.size("positions") * F.col("size")).alias("taken"),
+        "positions",
+        "draw",
     )
 
 
+def training_places(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``first_at`` and ``last_at``, a document's first and last time in billionths, and
+    ``first_place``, how many copies are read before its first; null where none is taken.
+
+    Copies are range-sorted by time; copies of one billionth stand in order of source,
+    draw, size and text.
+    """
+    rows = mixed.withColumn("_times", F.transform("positions", lambda t: F.floor(t * 1_000_000_000)))
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    order = [F.col("source").isNull().alias("_none"), "source", "draw", "size", "text_hash", "_row"]
+    copies = rows.select(F.explode("_times").alias("_at"), F.lit(1).alias("_one"), *order)
+    placed = running_total(copies, [], ["_at", "_none", "source", "draw", "size", "text_hash", "_row"], "_one", "_place")
+    first = placed.groupBy("_row").agg(F.min("_place").alias("first_place"))
+    times = F.array_min("_times").alias("first_at"), F.array_max("_times").alias("last_at")
+    return rows.join(first, "_row", "left").select(*mixed.columns, *times, "first_place")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each once per copy, range-sorted by training time."""
     columns = docs.columns

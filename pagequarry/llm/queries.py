@@ -45,25 +45,42 @@ levels AS (
   FROM per),
 fits AS (SELECT max(level) AS level FROM levels WHERE level * weight <= most),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, weight,
          CASE WHEN f.level IS NULL OR f.level * weight > most THEN most ELSE f.level * weight END AS target
   FROM levels, fits f),
 placed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, size, hash(doc_id)
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS off
-  FROM sized)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * ((off + size / 2.0 < target)::INT + (source_size + off + size / 2.0 < target)::INT
-              + (2 * source_size + off + size / 2.0 < target)::INT))::BIGINT AS taken
-FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source
+  FROM sized),
+-- weights against time: from 1.5 falling to 0.5; 1 all along; from 0.25 rising by 1.5 a unit of time
+copies AS (
+  SELECT p.*, g.source_size, g.target, g.weight, pass, (pass * g.source_size + off + size / 2.0) / g.target AS share
+  FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source, range(3) AS passes(pass)),
+timed AS (
+  SELECT *, CASE weight
+      WHEN 5 THEN 2 * share / (1.5 + sqrt(greatest(0, 1.5 * 1.5 - 2 * share)))
+      WHEN 2 THEN 2 * share / (1 + sqrt(1))
+      ELSE CASE WHEN share <= 0.3125 THEN 2 * share / (0.25 + sqrt(greatest(0, 0.0625 + 3 * share)))
+           ELSE 0.5 + 2 * (share - 0.3125) / (1 + sqrt(greatest(0, 1 + 3 * (share - 0.3125)))) END END AS t
+  FROM copies),
+asked AS (SELECT *, size > 0 AND target > 0 AND share < 1 AND t < 1 AS taken FROM timed),
+read AS (
+  SELECT *, row_number() OVER (ORDER BY floor(t * 1000000000), source NULLS LAST, draw, size, hash(doc_id), pass) - 1 AS place
+  FROM asked WHERE taken)
+SELECT a.doc_id, any_value(a.size) AS size, any_value(a.source_size)::BIGINT AS source_size, any_value(a.target) AS target,
+       (any_value(a.size) * count(r.place))::BIGINT AS taken, floor(min(r.t) * 1000000000)::BIGINT AS first_at,
+       floor(max(r.t) * 1000000000)::BIGINT AS last_at, min(r.place)::BIGINT AS first_place
+FROM asked a LEFT JOIN read r ON r.doc_id = a.doc_id AND r.pass = a.pass GROUP BY a.doc_id
 """
 
 
 @_query(MIX_SQL)
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 with targets up to three times a source."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    mixed = mixing.training_places(mixing.mix(_table(spark, sf_dir, "documents")))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_at", "last_at", "first_place"
+    )
 
 
 @_query()
