@@ -3,9 +3,10 @@
 The pieces of many texts are merged together. Each merge rank has a bucket with the
 places (in a linked list of symbols) whose pair has that rank; a bitmap of three levels
 says which buckets hold any, so find-first-set gives the next rank. A bucket's places
-that have changed meanwhile are stale and skipped; the rest merge at once, as arrays.
-The cost hardly depends on a piece's length, so a text without a space is no special
-case. Each distinct piece of a batch is merged once.
+that have changed meanwhile are stale and skipped; the rest merge at once, as arrays, up
+to the first in each piece that makes a pair of lower rank, which then comes first. So a
+text without a space is no special case: a repetitive piece of a million letters takes
+about a second. Each distinct piece of a batch is merged once.
 
 Defined results: a null text counts as empty and has no ids; a null ``doc_id`` is kept;
 repeated rows each give a row; an empty table gives none; extra columns are ignored.
@@ -32,9 +33,10 @@ from pagequarry.llm.common import text_of
 
 #: White space by its Unicode property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bytes of new pieces merged together, and remembered pieces, at most.
-TOGETHER = 8 << 20
-REMEMBERED = 1_000_000
+#: Bytes of new pieces merged together, and bytes of remembered pieces, tested between chunks of text.
+TOGETHER, REMEMBERED = 8 << 20, 160 << 20
+#: What a remembered piece takes besides its characters and ids.
+OVERHEAD = 160
 
 
 #: What the classes of a rank file's pattern become. Runs of Latin letters, and of ASCII signs,
@@ -134,6 +136,7 @@ class Encoder:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.known: list[bytes] = []
+        self.held = 0
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each two symbols' join, -1 if there is none."""
@@ -170,17 +173,19 @@ class Encoder:
                 places = np.unique(places)
             if not len(places):
                 continue
-            if self.at_once[r]:
-                chained = after[places[:-1]] == places[1:]
-                if chained.any():  # of places that overlap, every other one from the left
-                    index = np.arange(len(places))
-                    start = np.maximum.accumulate(np.where(np.append(True, ~chained), index, 0))
-                    places = places[(index - start) % 2 == 0]
-            else:
-                _, leftmost = np.unique(piece[places], return_index=True)
-                if len(leftmost) < len(places):
-                    queue.push(r, np.delete(places, leftmost))
-                places = places[leftmost]
+            found = places
+            chained = after[places[:-1]] == places[1:]
+            if chained.any():  # of places that overlap, every other one from the left
+                index = np.arange(len(places))
+                start = np.maximum.accumulate(np.where(np.append(True, ~chained), index, 0))
+                places = places[(index - start) % 2 == 0]
+            if not self.at_once[r]:
+                # from the left, up to the first join of each piece that makes a pair of lower rank:
+                # that pair comes before the piece's other places, which wait
+                kept = places[self._before_lower(r, places, symbol, before, after, piece, n)]
+                if len(kept) < len(places):
+                    queue.push(r, found[~np.isin(found, kept, assume_unique=True)])
+                places = kept
             gone = after[places]
             follow = after[gone]
             alive[gone] = False
@@ -199,6 +204,22 @@ class Encoder:
         cuts = cuts.tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _before_lower(self, r: int, places: np.ndarray, symbol, before, after, piece, n: int) -> np.ndarray:
+        """Which joins of rank ``r``, done from the left, come before or make their piece's first pair of lower rank."""
+        lead, follow = before[places], after[after[places]]
+        left = np.where(lead < n, symbol[lead], 0)
+        # the place before may have been joined just now, up to this one
+        joined = np.append(False, lead[1:] == after[places[:-1]]) & (lead < n)
+        left[joined] = r
+        low = np.zeros(len(places), bool)
+        for has, a, b in ((lead < n, left, r), (follow < n, r, symbol[follow])):
+            rank = self.pair_ranks(np.broadcast_to(a, len(places))[has], np.broadcast_to(b, len(places))[has])
+            low[has] |= (rank >= 0) & (rank < r)
+        earlier = np.cumsum(low) - low
+        own = piece[places]
+        first = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), np.arange(len(places)), 0))
+        return earlier == earlier[first]
+
     @staticmethod
     def _push(queue: RankQueue, rank: np.ndarray, places: np.ndarray) -> None:
         found = rank[places]
@@ -215,9 +236,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.number.clear()
             self.known.clear()
+            self.held = 0
         numbers = []
         for text in texts:
             pieces = self.pattern.findall(text)
@@ -248,6 +270,7 @@ class Encoder:
                     together, places, held = [], [], 0
         merge()
         self.known += found
+        self.held += sum(map(len, pieces)) + sum(map(len, found)) + OVERHEAD * len(pieces)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as little-endian 32-bit integers."""

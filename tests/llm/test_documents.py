@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -252,6 +253,22 @@ def test_encoder_agrees_with_the_library():
         assert encoder.decode(ids) == text.encode()
 
 
+def test_long_repetitive_pieces_are_merged_in_time():
+    encoder = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = random.Random(12)
+    for part in ("ab", "x", "éa", "ingtion", "thethe", "aabab"):
+        text = part * (4000 // len(part))
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == library.encode_ordinary(text)
+    for _ in range(1500):
+        text = "".join(rng.choices(["a", "b", "t", "i", "o", "n", "ing", "er", "é", "s", "ch", "de"], k=rng.randrange(1, 40)))
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == library.encode_ordinary(text)
+    began = time.process_time()
+    for part in ("ab", "x", "schen"):
+        assert encoder.decode(next(encoder.encode([part * (1_000_000 // len(part))])))[:5] == (part * 5).encode()[:5]
+    assert time.process_time() - began < 20  # the square of the length would take days
+
+
 def test_rank_queue_gives_the_lowest_rank():
     rng, queue, held = random.Random(4), bpe.RankQueue(50_257), []
     for _ in range(3000):
