@@ -1,14 +1,17 @@
 """Queries H and I: streams, action logs, specs, jobs and induction."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import values
-from ..operators import actions, induce, paginate
+from ..operators import actions, induce, paginate, sinks, versions
 from ..operators import selectors as css
-from ..plans import job, pipeline, sites
+from ..plans import job, pipeline, registry, sites
 from ..plans.spec import ExtractSpec
 from ..session import scratch_path
-from ..sources.pages import pages_for
+from ..sources.pages import pages_for, read_pages
 from ..sources.store import CaptureStore
 from ..streaming import watch
 from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table, unescaped
@@ -407,6 +410,135 @@ def c13_long(spark, sf):
     return found.where("value like 'Customer#%'").select("page_id", big("row_idx"), "value")
 
 
+class HeadingTable:
+    """A table function over one page: its title and heading, found in the markup."""
+
+    @staticmethod
+    def analyze(pages):
+        from pyspark.sql.types import LongType, StringType, StructType
+        from pyspark.sql.udtf import AnalyzeResult
+
+        schema = StructType().add("page_id", LongType()).add("row_idx", LongType()).add("col", StringType())
+        return AnalyzeResult(schema.add("col_ord", LongType()).add("value", StringType()))
+
+    def eval(self, page):
+        import html
+        import re
+
+        for at, (name, tag) in enumerate((("title", "title"), ("heading", "h1"))):
+            found = re.search(f"<{tag}>([^<]*)", page["html"] or "")
+            if found and found[1].strip():
+                yield page["page_id"], 0, name, at, html.unescape(found[1].strip())
+
+
+@query(
+    "i7_registered",
+    f"""WITH {TEXTS} SELECT page_id, max(CASE WHEN tag = 'title' THEN stripped END) AS title,
+          max(CASE WHEN tag = 'h1' THEN stripped END) AS heading FROM texts WHERE tag IN ('title', 'h1') GROUP BY page_id""",
+)
+def i7(spark, sf):
+    registry.register_table_function("headings", udtf(HeadingTable))
+    result = pipeline.run(table(spark, sf, "pages"), ExtractSpec(extractor="headings", trim_cells=False))
+    return result.table.select(F.col("__page_id").alias("page_id"), "title", "heading")
+
+
+def _orders_of(spark, sf, status):
+    rows = table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
+    return rows.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price"))
+
+
+@query(
+    "g10_replace",
+    """SELECT * FROM (SELECT 'first' AS step, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 1 AS version FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT 'broken', count(*), sum(o_orderkey)::BIGINT, 1 FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT 'second', count(*), sum(o_orderkey)::BIGINT, 2 FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT 'empty', count(*), sum(o_orderkey)::BIGINT, 2 FROM orders WHERE o_orderstatus = 'O')""",
+)
+def g10(spark, sf):
+    # One output, replaced by runs of which one breaks off after its rows and one has none.
+    path = scratch_path(spark, "published")
+
+    def broken(folder):
+        raise RuntimeError("broken off")
+
+    def publish(rows, **parts):
+        wrote = {"rows": lambda to: sinks.write_csv(rows, to, keys=())} | parts
+        try:
+            versions.publish(spark, path, "csv", wrote)
+        except (RuntimeError, sinks.EmptyTable):
+            pass
+
+    def now(step):
+        rows = versions.read_part(spark, path).select(F.col("key").cast("bigint").alias("key"))
+        number = versions.current(spark, path).number
+        return rows.agg(F.count("*").alias("n"), F.sum("key").alias("keys")).select(
+            F.lit(step).alias("step"), "n", "keys", F.lit(number).alias("version")
+        )
+
+    steps = [("first", "F", {}), ("broken", "P", {"quality": broken}), ("second", "O", {}), ("empty", "none", {})]
+    seen = []
+    for step, status, parts in steps:
+        publish(_orders_of(spark, sf, status), **parts)
+        seen.append(now(step))
+    return reduce(lambda a, b: a.unionByName(b), seen)
+
+
+@query(
+    "g9_empty_rule",
+    """SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal > 9000) AS "rows",
+         count(*) FILTER (c_acctbal > 9000) > 0 AS written FROM customer GROUP BY 1
+       UNION ALL SELECT 'none', 0, false""",
+)
+def g9(spark, sf):
+    # A table a segment, of rich customers; a segment without any writes nothing and stops nothing.
+    rich = table(spark, sf, "customer").where("c_acctbal > 9000").selectExpr("c_name as name", "c_mktsegment as segment")
+    segments = [r.s for r in table(spark, sf, "customer").selectExpr("c_mktsegment s").distinct().collect()]
+    out = []
+    for segment in sorted(segments) + ["none"]:
+        rows = rich.where(F.col("segment") == segment).select("name")
+        path = scratch_path(spark, "segment")
+        try:
+            sinks.write_json(rows, path, keys=())
+            count = spark.read.json(path).count()
+        except sinks.EmptyTable:
+            count = 0
+        out.append((segment, count, count > 0))
+    return spark.createDataFrame(out, "segment string, rows bigint, written boolean")
+
+
+@query(
+    "i6_picker",
+    f"""SELECT 'li.card' AS row_selector, f AS col, s AS selector, n AS row_count FROM (
+          SELECT count(*) AS n FROM customer WHERE c_custkey // {PER_PAGE} = 1),
+        (SELECT unnest(['segment', 'balance', 'card_link']) AS f,
+                unnest(['div > span.segment', 'div > span.balance', 'a.card-link']) AS s)""",
+)
+def i6(spark, sf):
+    # What a user gets who points at three elements of one page's first card.
+    pages, examples = _examples(spark, sf)
+    page = pages.where("page_id = 1")
+    firsts = examples.where("page_id = 1").orderBy("pre").limit(3)
+    found = induce.pick(page, firsts)
+    rows = [(found["row_selector"], c, s, found["row_count"]) for c, s in found["selectors"].items()]
+    return spark.createDataFrame(rows, "row_selector string, col string, selector string, row_count bigint")
+
+
+@query(
+    "a1_page_formats",
+    "SELECT format, page_id, url, length(html) AS chars FROM pages, (SELECT unnest(['parquet', 'orc', 'json']) AS format)",
+)
+def a1(spark, sf):
+    # Captures with columns of their own, in each format; only the three of a page are read.
+    pages = table(spark, sf, "pages").withColumn("status", F.lit(200))
+    read = []
+    for fmt in ("parquet", "orc", "json"):
+        path = scratch_path(spark, "crawl")
+        pages.write.format(fmt).save(path)
+        found = read_pages(spark, path, fmt).select("page_id", "url", F.char_length("html").cast("bigint").alias("chars"))
+        read.append(found.withColumn("format", F.lit(fmt)))
+    return reduce(lambda a, b: a.unionByName(b), read)
+
+
 @query("g11_all_urls", "SELECT DISTINCT url FROM pages")
 def g11_urls(spark, sf):
     spec = ExtractSpec(extractor="selector", selectors={"title": "title"}, provenance=True, quality_report=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import cells as long
 from ..operators import follow as details
-from ..operators import profile, selectors, shape, sinks
+from ..operators import profile, selectors, shape, sinks, versions
 from ..operators.heuristic import heuristic_cells
 from ..operators.paginate import walk_pages
 from ..session import stage
@@ -28,7 +28,7 @@ KEYS = ("__page_ord", "__page_id", "__row_idx", "__url")
 class ExtractResult:
     """A lazy table plus its profile. Rows are ordered by the key columns.
 
-    ``failed`` has the ``page_id`` and ``error`` of pages that could not be parsed.
+    ``failed`` has the ``page_id``, ``url`` and ``error`` of pages that could not be parsed.
     """
 
     table: DataFrame
@@ -53,22 +53,58 @@ class ExtractResult:
     def preview(self, n: int = 5) -> DataFrame:
         return profile.preview(self.table, n, KEYS).select(*map(text.named, self.columns))
 
-    def write(self, fmt: str, path: str, **options) -> None:
+    def _shaped(self, fmt: str, options: dict) -> tuple[DataFrame, dict]:
         table = self.typed() if self.spec.typed else self.table
         if fmt == "csv":
             options.setdefault("safe", self.spec.csv_safe)
         if fmt in ("json", "jsonl"):
             options.setdefault("policy", self.spec.null_policy)
             options.setdefault("normalise", self.spec.normalize_keys)
-        options = {"drop_empty": self.spec.drop_empty, "sort": self.spec.sort_columns, **options}
-        registry.sink(fmt)(table, path, keys=KEYS, **options)
+        return table, {"drop_empty": self.spec.drop_empty, "sort": self.spec.sort_columns, **options}
+
+    def _provenance(self) -> DataFrame:
+        now = datetime.now(timezone.utc).isoformat()
+        how = {"started": self.started, "finished": now, "extractor": self.spec.extractor}
+        return sinks.provenance(self.visited, **how, selectors=self.spec.selectors, sample=0)
+
+    def write(self, fmt: str, path: str, on_empty: str = "raise", **options) -> bool:
+        """Write the table and the reports asked for. Whether there was a table to write:
+        an empty one raises ``EmptyTable``, or writes nothing with ``on_empty="skip"``."""
+        table, options = self._shaped(fmt, options)
+        try:
+            registry.sink(fmt)(table, path, keys=KEYS, **options)
+        except sinks.EmptyTable:
+            if on_empty != "skip":
+                raise
+            return False
         if self.spec.quality_report:
             sinks.write_quality(self.stats(), path)
         if self.spec.provenance:
-            now = datetime.now(timezone.utc).isoformat()
-            how = {"started": self.started, "finished": now, "extractor": self.spec.extractor}
-            row = sinks.provenance(self.visited, **how, selectors=self.spec.selectors, sample=0)
-            sinks.write_provenance(row, path, self.visited)
+            sinks.write_provenance(self._provenance(), path, self.visited)
+        return True
+
+    def publish(self, fmt: str, path: str, on_empty: str = "raise", **options) -> int | None:
+        """Write the table, its reports, the visited URLs and the failed pages as one version.
+
+        The version counts once all of it stands; ``versions.read_part`` reads it. Returns
+        its number, or None for an empty table under ``on_empty="skip"``, when the version
+        before stays.
+        """
+        table, options = self._shaped(fmt, options)
+        parts = {"rows": lambda to: registry.sink(fmt)(table, to, keys=KEYS, **options)}
+        if self.spec.quality_report:
+            parts["quality"] = lambda to: self.stats().coalesce(1).write.json(to)
+        if self.spec.provenance:
+            parts["provenance"] = lambda to: self._provenance().coalesce(1).write.json(to)
+            parts["urls"] = lambda to: self.visited.select("url").distinct().write.parquet(to)
+        if self.failed is not None:
+            parts["failed"] = lambda to: self.failed.write.parquet(to)
+        try:
+            return versions.publish(table.sparkSession, path, fmt, parts)
+        except sinks.EmptyTable:
+            if on_empty != "skip":
+                raise
+            return None
 
 
 def extract_cells(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
@@ -130,6 +166,11 @@ def _chosen_pages(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None)
     return pages_for(pages, order).join(order, "url")
 
 
+def failed_pages(chosen: DataFrame) -> DataFrame:
+    """``page_id, url, error`` of the pages that could not be parsed."""
+    return failures(chosen).join(chosen.select("page_id", "url"), "page_id").select("page_id", "url", "error")
+
+
 def run(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None = None) -> ExtractResult:
     """Extract, follow, shape. Only the pages the job names are parsed, and once: the
     table is written out before shaping, profiling and export go over it. With the
@@ -147,7 +188,7 @@ def run(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None = None) ->
             row_selector=spec.follow_row_selector,
             on_miss="skip" if spec.follow_skip_on_error else "fail",
         )
-    return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec, failures(chosen))
+    return ExtractResult(finish(stage(table, "table"), spec), chosen.select("url"), spec, failed_pages(chosen))
 
 
 def run_long(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,9 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         raw = spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")
         )
-        url = F.url_decode(F.regexp_replace("name", r"\.html?$", ""))
+        # Spark escapes the name once more; a plus sign is itself in both
+        decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+        url = decode(F.regexp_replace(decode(F.col("name")), r"\.html?$", ""))
         return raw.select(F.xxhash64("path").alias("page_id"), url.alias("url"), "html")
     return spark.read.format(fmt).load(path).select("page_id", "url", "html")
 
