@@ -206,6 +206,26 @@ def a9(spark, sf):
     return gated.select("page_id", "allowed", "crawl_delay")
 
 
+@query(
+    "a9_encoded_paths",
+    """WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/?#]+', '') AS p FROM pages)
+       SELECT page_id, NOT (p LIKE '/en/1%' OR p LIKE '/fr/%') AS allowed FROM u""",
+)
+def a9_encoded(spark, sf):
+    # Paths escaped in one way in the rules, and in three ways, or not at all, in the URLs.
+    pages = table(spark, sf, "pages")
+    forms = [("/", "/"), ("/en/", "/%65n/"), ("/en/1", "/e%6E/%31"), ("/fr/", "/f%72%2f")]
+    url = F.col("url")
+    for k, (plain, escaped) in enumerate(forms):
+        url = F.when(F.col("page_id") % len(forms) == k, F.replace("url", F.lit(plain), F.lit(escaped))).otherwise(url)
+    columns = "origin string, ord int, agent string, allow boolean, path string, crawl_delay double"
+    origins = pages.select(urls.origin(F.col("url")).alias("origin")).distinct()
+    rules = spark.createDataFrame([(1, "*", False, "/%65%6e/1"), (2, "*", False, "/%66r/")], "ord int, agent string, allow boolean, path string")
+    every = origins.select("origin", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord")).join(rules, "ord")
+    every = every.withColumn("crawl_delay", F.lit(None).cast("double")).select(*[c.split()[0] for c in columns.split(", ")])
+    return frontier.robots_gate(pages.select("page_id", url.alias("url")), every).select("page_id", "allowed")
+
+
 @query(
     "a10_fetch_slots",
     """WITH RECURSIVE e AS (

@@ -88,6 +88,13 @@ def with_cache(
     )
 
 
+def decoded(path: Column) -> Column:
+    """A path with its percent escapes read, so that ``/%7Ea`` and ``/~a`` are one; what is no
+    escape stays as it is, and so does a plus sign."""
+    path = F.regexp_replace(path, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def robots_gate(
     wanted: DataFrame,
     rules: DataFrame,
@@ -99,10 +106,11 @@ def robots_gate(
 
     ``rules(origin, ord, agent, allow, path, crawl_delay)``: the first group naming a
     part of our agent applies, else the ``*`` group; in it the first rule whose path
-    starts the URL's path decides. A rule list is bounded by one robots file, so it
+    starts the URL's path decides, both with their escapes read. A rule list is bounded by one robots file, so it
     travels as an array and each URL meets one row, whatever its origin's share.
     """
     agent = agent.split("/")[0].lower()
+    rules = rules.withColumn("path", decoded(F.col("path")))
     per_origin = rules.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("ord", "agent", "allow", "path", "crawl_delay"))).alias("r")
     )
@@ -120,7 +128,7 @@ def robots_gate(
     else:
         per_origin = per_origin.withColumn("lost", F.lit(None).cast("boolean"))
     tail = F.regexp_extract("url", r"(?s)^[^:/?#]+://[^/?#]*(.*)$", 1)
-    path = F.when(tail == "", F.lit("/")).otherwise(tail)
+    path = F.when(tail == "", F.lit("/")).otherwise(decoded(tail))
     first = F.try_element_at(
         F.filter("ours", lambda x: (x["path"] == "*") | path.startswith(x["path"])), F.lit(1)
     )

@@ -295,3 +295,14 @@ def test_examples_far_down_a_page(spark, pages):
     found = induce.induce(page, examples).where("page_id = 0").orderBy("pre").collect()
     assert [(r.row_selector, r.n_rows) for r in found] == [("li.r", 2), ("li.r", 2)]
     assert found[0].field_selector == "i.v" and found[1].field_selector == " > ".join(["div"] * 8 + ["i.v"])
+
+
+def test_escaped_paths_meet_escaped_rules(spark):
+    rules = [("/%7Eme/", False), ("/a%2Fb", False), ("/50%", False), ("/x+y", False), ("/%C3%A9t%C3%A9", False), ("/ok", True)]
+    df = spark.createDataFrame([("http://h", i, "*", allow, p, None) for i, (p, allow) in enumerate(rules)],
+                               "origin string, ord int, agent string, allow boolean, path string, crawl_delay double")
+    cases = {"/~me/x": False, "/%7eme/": False, "/~m": True, "/a/b/c": False, "/a%2fb": False, "/50%25": False, "/50%zz": False,
+             "/x+y": False, "/x%2By": False, "/x y": True, "/x%20y": True, "/été/1": False, "/%c3%a9t%C3%A9": False, "/ok%": True, "": True}
+    wanted = spark.createDataFrame([(f"http://h{p}",) for p in cases], "url string")
+    got = {r.url[8:]: r.allowed for r in frontier.robots_gate(wanted, df).collect()}
+    assert got == cases
