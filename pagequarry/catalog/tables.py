@@ -242,6 +242,24 @@ def f7(spark, sf):
     return out.select("name", "non_empty", "empty", "unique", F.array_join("sample", "|").alias("sample"))
 
 
+@query(
+    "f7_merged_profile",
+    f"""SELECT name, non_empty, empty, true AS close FROM ({_PROFILE})""",
+)
+def f7_merged(spark, sf):
+    # Four runs, each profiled and stored on its own; the estimate is held against the exact count.
+    df = listing(spark, sf).drop("mostly", "mixed")
+    path = scratch_path(spark, "profiles")
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(4))
+    for run in range(4):
+        profile.profile_state(df.where(part == run), LISTING).write.mode("append").parquet(path)
+    merged = profile.merged_profile(spark.read.parquet(path))
+    exact = profile.profile(df, LISTING).select("name", F.col("unique").alias("_exact"), F.col("inferred_type").alias("_type"))
+    near = F.abs(F.col("unique") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.06 * F.col("_exact"))
+    close = (near & (F.col("inferred_type") == F.col("_type"))).alias("close")
+    return merged.join(exact, "name").select("name", "non_empty", "empty", close)
+
+
 @query(
     "f8_quality",
     f"SELECT name, non_empty + empty AS \"rows\", round(null_ratio, 9) AS null_ratio FROM ({_PROFILE})",

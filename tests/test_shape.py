@@ -120,3 +120,20 @@ def test_positional_concat_shifts_and_align_does_not(spark):
     assert [(r.col, r.pos, r.value) for r in got] == [("a", 0, "1"), ("a", 1, "2"), ("a", 2, "3"), ("b", 0, "9")]
     wide = long.to_wide(cells, ["a", "b"]).orderBy("page_id", "row_idx").collect()
     assert [(r.a, r.b) for r in wide] == [("1", ""), ("2", ""), ("3", "9")]
+
+
+def test_profiles_of_runs_merge(spark):
+    from pagequarry.operators import profile
+
+    runs = [
+        [(str(i), f"{i % 7}.5", "x" if i % 2 else "") for i in range(400)],
+        [(str(i), "n/a", " ") for i in range(300, 500)],
+    ]
+    parts = [spark.createDataFrame(r, "a string, b string, c string") for r in runs]
+    parts[1] = parts[1].drop("c").withColumn("d", parts[1]["a"])
+    states = profile.profile_state(parts[0], ()).unionByName(profile.profile_state(parts[1], ()))
+    got = {r.name: r for r in profile.merged_profile(states).collect()}
+    assert (got["a"].non_empty, got["a"].empty, got["a"].inferred_type) == (600, 0, "integer")
+    assert abs(got["a"].unique - 500) <= 25 and got["b"].unique == 8 and got["b"].inferred_type == "string"
+    assert (got["c"].non_empty, got["c"].empty) == (200, 400) and (got["d"].non_empty, got["d"].empty) == (200, 400)
+    assert profile.merged_profile(states.limit(0)).collect() == []
