@@ -45,7 +45,7 @@ LATIN = r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?![^\x00-\xff])"
 SIGNS = r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]++(?![^\x00-\x7f])"
 
 
-def _other_numbers() -> str:
+def other_numbers() -> str:
     """Characters that count as numbers but not as decimal digits, as ranges of a class."""
     found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
     starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
@@ -58,7 +58,7 @@ def compile_pattern(pattern: str) -> re.Pattern:
 
     It knows no ``\\p{L}`` and ``\\p{N}`` and has a wider ``\\s``, so these are spelled out.
     """
-    numbers = _other_numbers()
+    numbers = other_numbers()
     letter, number = rf"[^\W\d_{numbers}]", rf"[\d{numbers}]"
     parts = [
         (r" ?\p{L}+", rf" ?{LATIN}| ?{letter}+"),

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.bpe import other_numbers
 from pagequarry.llm.common import text_of
 from pagequarry.session import stage
 
@@ -30,7 +31,8 @@ WINDOW, PAD, STATES = 64, 256, 8
 #: Windows run through the network together, and languages from which on they are fewer and training is longer.
 TOGETHER, MANY = 2048, 64
 PER_LANG = 1500
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters alone: the engine's word characters without digits, other numbers and the underscore.
+LETTER = re.compile(rf"[^\W\d_{other_numbers()}]")
 #: Bytes of letters: ASCII letters and all bytes of longer code points.
 IS_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)] + [False])
 
@@ -173,18 +175,22 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, learns: Column, per_lang: int = PER_LANG) -> Network | None:
     """A network trained on windows of the rows for which ``learns`` holds; None without any."""
     rows = docs.filter(learns & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
-    counts = stage(rows.groupBy("lang").count(), "langs")
+    # a row is drawn if its hash lies below its language's share: no language is gathered in one
+    # place; the least hash is drawn anyway, so rows that are all alike teach their language, too
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    counts = stage(rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("_least")), "langs")
     names = sorted(r.lang for r in counts.select("lang").collect())
     if not names:
         return None
-    # a row is drawn if its hash lies below its language's share: no language is gathered in one place
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.broadcast(counts.select("lang", (per_lang / F.col("count")).alias("_share")))
+    shares = counts.select("lang", (per_lang / F.col("count")).alias("_share"), "_least")
     octets = F.col("text").cast("binary")
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1))
     parts = F.array(*[F.substring(octets, (place(k) + 1).cast("int"), F.lit(WINDOW)) for k in range(3)])
-    picked = rows.select("doc_id", "text", "lang").join(shares, "lang").filter(draw < F.col("_share")).limit(2 * per_lang * len(names))
-    picked = picked.select("lang", F.explode(F.array_distinct(parts)).alias("part"))
+    drawn = (draw < F.col("_share")) | (draw == F.col("_least"))
+    picked = rows.select("doc_id", "text", "lang").join(shares, "lang").filter(drawn)
+    picked = picked.select("lang", F.explode(F.array_distinct(parts)).alias("part")).distinct()
+    # by hash, so that reruns learn from the same windows should there be too many
+    picked = picked.orderBy(F.xxhash64("lang", "part"), "lang", "part").limit(6 * per_lang * len(names))
     places = {name: k for k, name in enumerate(names)}
     found = sorted((places[r.lang], bytes(r.part)) for r in picked.collect() if r.part)
     x, owner = windows([part for _, part in found])

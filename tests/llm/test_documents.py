@@ -448,3 +448,41 @@ def test_every_language_has_an_output(spark):
     assert network.langs == [f"l{k:02}" for k in range(70)] and network.p["out"].shape[0] == 70
     found = {r.doc_id: r.lang_pred for r in langid.identify(df, network).collect()}
     assert {found[100 * k] for k in range(64, 70)} & {f"l{k:02}" for k in range(64, 70)}
+
+
+def test_numbers_are_no_letters_and_rows_alike_teach(spark):
+    rows = [(k, f"{'ka to mi' if k % 2 else 'sch ung ein'} {k} wort", "aa" if k % 2 else "bb") for k in range(40)]
+    alike = [(1000 + lang, f"qx{lang} zz{lang} " * 9, f"l{lang}") for lang in range(6) for _ in range(50)]
+    docs = spark.createDataFrame(rows + alike, "doc_id long, text string, lang string").repartition(4)
+    network = langid.learn(docs, F.lit(True), per_lang=5)
+    assert network.langs == ["aa", "bb", *[f"l{k}" for k in range(6)]]
+    odd = spark.createDataFrame([(1, "\u00b2 \u00bd \u2460 \u2167"), (2, "12 _ 3"), (3, "\u00e9")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd, network).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
+    again = langid.learn(docs.repartition(7), F.lit(True), per_lang=5)
+    assert all(np.array_equal(network.p[k], again.p[k]) for k in network.p)
+
+
+def plain_states(p, d, x):
+    """A gated unit read off its definition, one byte after the other."""
+    h = langid.STATES
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+    state, out = np.zeros(h), {}
+    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        gates, inner = p[f"{d}x"][:, x[t]].astype(float), p[f"{d}h"].astype(float) @ state
+        update, reset = sigma(gates[:h] + inner[:h]), sigma(gates[h : 2 * h] + inner[h : 2 * h])
+        new = np.tanh(gates[2 * h :] + reset * inner[2 * h :])
+        state = (1 - update) * new + update * state
+        out[t] = state
+    return np.array([out[t] for t in range(len(x))])
+
+
+def test_network_is_the_plain_recurrent_one():
+    net = langid.Network(["a", "b", "c"], seed=3)
+    x = np.random.default_rng(1).integers(0, 257, 20)
+    both = np.concatenate([plain_states(net.p, "f", x), plain_states(net.p, "b", x)], axis=1)
+    scores = both @ net.p["out"].astype(float).T + net.p["bias"][:, 0]
+    want = np.exp(scores - scores.max(axis=1, keepdims=True))
+    want /= want.sum(axis=1, keepdims=True)
+    got = net.probabilities(x.astype(np.uint16)[:, None])[:, :, 0]
+    assert np.allclose(got.T if got.shape[0] == 3 else got, want, atol=1e-4)
