@@ -238,38 +238,41 @@ def _classes(marked: DataFrame, fps: DataFrame, reached: DataFrame) -> DataFrame
 
 #: For similarity on shingle sets: least hashes, words of a parity bitmap, and members of a bucket compared at once.
 LEAST, WORDS, CLOSE = 12, 8, 1024
+#: Words of a second parity bitmap, for pairs of sets too large for the first to tell apart.
+WIDE = 64
 #: Rounds of pivots at most before all open pairs are taken; the links found span the same classes after any number.
 PIVOTS = 4
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
+def parity(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """A bit per residue of the hashes: whether an odd number of them has it."""
-    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, text_hash, fp, n, p0.., least)`` of the shingle set: hash, size, parity bitmap, least hashes."""
+    """``(doc_id, text_hash, fp, n, p0.., least, wide)`` of the shingle set: hash, size, parity bitmap, least hashes, wide bitmap."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, n = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
-            bits, least = np.zeros((WORDS, batch.num_rows), np.uint64), []
+            bits, least, wide = np.zeros((WORDS, batch.num_rows), np.uint64), [], []
             for k, x in enumerate(batch.column(2)):
                 hashes = np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words))
                 fp[k], n[k] = xxhash.xxh64_intdigest(hashes.tobytes(), 42), len(hashes)
                 bits[:, k] = parity(hashes)
+                wide.append(parity(hashes, WIDE).view(np.int64))
                 least.append(np.array([mixed(hashes, m).min() for m in range(LEAST * bool(len(hashes)))], np.uint64).view(np.int64))
             columns = [*batch.columns[:2], pa.array(fp.view(np.int64)), pa.array(n), *[pa.array(w.view(np.int64)) for w in bits]]
-            columns.append(pa.array(least, pa.list_(pa.int64())))
-            names = ["doc_id", "text_hash", "fp", "n", *[f"p{w}" for w in range(WORDS)], "least"]
+            columns += [pa.array(least, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
+            names = ["doc_id", "text_hash", "fp", "n", *[f"p{w}" for w in range(WORDS)], "least", "wide"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     text = text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("octets"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = ", ".join(f"p{w} long" for w in range(WORDS))
-    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, fp long, n long, {out}, least array<long>")
+    return rows.mapInArrow(each, f"doc_id {kind}, text_hash long, fp long, n long, {out}, least array<long>, wide array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, texts: DataFrame) -> DataFrame:
@@ -301,6 +304,16 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
     return least_apart(a, b) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * share + 1e-6
 
 
+def still_similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` ``(a, b)`` that the wide bitmaps don't prove to be less similar, before any set is moved."""
+    share = (1 - similarity) / (1 + similarity)
+    wide = lambda end, out: nodes.select(F.col("node").alias(end), F.struct("n", "wide").alias(out))
+    both = pairs.select("a", "b").join(wide("a", "x"), "a").join(wide("b", "y"), "b")
+    bits = F.zip_with("x.wide", "y.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    return both.filter(apart <= (F.col("x.n") + F.col("y.n")) * share + 1e-6).select("a", "b")
+
+
 def by_node(sets: DataFrame) -> DataFrame:
     """``sets`` written in buckets by node under the shared folder, so that joins on it move only the other side."""
     spark = sets.sparkSession
@@ -342,7 +355,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
         # a node's sets travel with each pair, so of its pivots only the likeliest is tried now
         apart = F.struct(least_apart("x", "y") / (F.col("x.n") + F.col("y.n")), "b")
         pairs = pairs.groupBy("a").agg(F.min_by("b", apart).alias("b"))
-        fresh = verified(pairs, held, similarity)
+        fresh = verified(still_similar(pairs, nodes, similarity), held, similarity)
         found = fresh if found is None else found.union(fresh)
         reached = stage(components(found, "a", "b").withColumnRenamed("root", "_root"), "reached")
         placed = rest.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
@@ -357,7 +370,8 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
     both = low.join(high, ["bucket", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x.own.node") < F.col("y.own.node")))
     both = both.filter((F.col("x.root") != F.col("y.root")) & may_be_similar("x.own", "y.own", similarity))
     ends = F.least("x.own.node", "y.own.node").alias("a"), F.greatest("x.own.node", "y.own.node").alias("b")
-    return found.union(verified(stage(both.select(*ends).distinct(), "pairs"), held, similarity))
+    pairs = stage(still_similar(both.select(*ends).distinct(), nodes, similarity), "pairs")
+    return found.union(verified(pairs, held, similarity))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -368,7 +382,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     """
     bits = [f"p{w}" for w in range(WORDS)]
     marked = stage(sketches(docs, words), "sketches")
-    same = [F.first(c).alias(c) for c in ("n", *bits, "least")]
+    same = [F.first(c).alias(c) for c in ("n", *bits, "least", "wide")]
     nodes = marked.groupBy("fp").agg(*same, F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first"))
     nodes = stage(nodes, "distinct")
 
