@@ -16,6 +16,7 @@ from ..sources.store import CaptureStore
 from ..streaming import watch
 from .base import PER_PAGE, TEXTS, big, card_pages, order_details, order_lists, query, table, unescaped
 from .combine import _HIT, _WALK, _starts
+from .extract import _CARDS
 
 _TITLES = f"""WITH {TEXTS} SELECT page_id, max(CASE WHEN tag = 'title' THEN stripped END) AS title,
    max(CASE WHEN tag = 'h1' THEN stripped END) AS h1 FROM texts GROUP BY page_id"""
@@ -296,19 +297,18 @@ def i5_narrow(spark, sf):
 @query(
     "i8_absolute_selectors",
     f"""SELECT page_id, s AS selector, count(*) AS n FROM (
-          SELECT c_custkey // {PER_PAGE} AS page_id, unnest(['ul.cards > li.card > a.card-link > h3.card-title.name',
+          SELECT c_custkey // {PER_PAGE} AS page_id, unnest(['ul.cards > li.card', 'ul.cards > li.card > a.card-link',
+              'ul.cards > li.card > a.card-link > h3.card-title.name', 'ul.cards > li.card > div',
               'ul.cards > li.card > div > span.segment', 'ul.cards > li.card > div > span.balance']) AS s FROM customer
-          UNION ALL SELECT page_id, unnest(['#cookie-box', 'div#x']) FROM ({_BIG})
-          UNION ALL SELECT page_id, unnest(['div.site-nav > a.nav-link', 'div.site-nav > a.nav-link',
-              'div.site-nav > a.nav-link', 'div.site-nav > a.nav-link', 'aside > p:nth-of-type(1)',
-              'aside > p:nth-of-type(2)', 'nav.pager > a.next']) FROM ({_BIG}))
-        WHERE s <> 'div#x' GROUP BY 1, 2""",
+          UNION ALL SELECT page_id, unnest(['html', 'html > head', 'html > head > title', '', 'header', 'header > a',
+              'div.site-nav', 'div.site-nav > a.nav-link', 'div.site-nav > a.nav-link', 'div.site-nav > a.nav-link',
+              'div.site-nav > a.nav-link', 'aside', 'aside > p:nth-of-type(1)', 'aside > p:nth-of-type(2)', 'ul.cards',
+              '#cookie-box', 'div:nth-of-type(2) > p', 'nav.pager', 'nav.pager > a.next', 'footer']) FROM ({_BIG}))
+        GROUP BY 1, 2""",
 )
 def i8(spark, sf):
     all_paths = induce.node_selectors(card_pages(spark, sf))
-    # The oracle lists the leaves; what stands around them is left to the unit test.
-    wanted = F.col("selector").rlike("span|h3|^#|nav-link|aside > p|pager > a")
-    return all_paths.where(wanted).groupBy("page_id", "selector").agg(F.count("*").alias("n"))
+    return all_paths.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -401,13 +401,16 @@ def f3_bad(spark, sf):
 
 @query(
     "c13_long_output",
-    f"""SELECT c_custkey // {PER_PAGE} AS page_id, c_custkey % {PER_PAGE} AS row_idx, c_name AS value FROM customer
-        WHERE c_custkey // {PER_PAGE} IN (SELECT c_custkey // {PER_PAGE} FROM customer GROUP BY 1 HAVING count(*) >= 10)""",
+    f"""SELECT page_id, url, row_idx, col, col_ord, value FROM (
+          SELECT page_id, 'https://shop.example.com/list/' || page_id AS url, row_idx,
+                 unnest(['card-title', 'segment', 'balance']) AS col, unnest([0, 1, 2]) AS col_ord,
+                 unnest(["card-title", segment, balance]) AS value FROM ({_CARDS}))
+        WHERE page_id IN (SELECT page_id FROM ({_CARDS}) GROUP BY 1 HAVING count(*) >= 10)""",
 )
 def c13_long(spark, sf):
-    # Discovered columns without a wide table; the name is the first column of a card.
+    # Discovered columns without a wide table.
     found = pipeline.run_long(card_pages(spark, sf), ExtractSpec(threshold=10))
-    return found.where("value like 'Customer#%'").select("page_id", big("row_idx"), "value")
+    return found.select("page_id", "url", big("row_idx"), "col", big("col_ord"), "value")
 
 
 class HeadingTable:

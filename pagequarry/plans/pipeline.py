@@ -131,14 +131,15 @@ def selected(pages: DataFrame, selectors_: dict[str, str], row_selector=None, at
     return keyed(rows.select("page_id", "row_idx", *inner), list(selectors_))
 
 
-def discovered(cells: DataFrame) -> DataFrame:
+def discovered(cells: DataFrame, most: int = 2000) -> DataFrame:
     """Long cells as a wide table under reserved keys.
 
     The cells are written out first, so that pages are parsed once and not once for the
-    names and once for the rows.
+    names and once for the rows. Of more than ``most`` names none is gathered, and
+    ``ValueError`` is raised: name the columns to keep, or take ``run_long``.
     """
     cells = stage(cells, "cells")
-    names = long.discover_columns(cells)
+    names = long.discover_columns(cells, most)
     inner = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, f"f{i}")]) if names else None
     found = cells.withColumn("col", inner[F.col("col")]) if names else cells
     return keyed(long.to_wide(found, [f"f{i}" for i in range(len(names))]), names)
@@ -148,7 +149,7 @@ def extract_wide(pages: DataFrame, spec: ExtractSpec) -> DataFrame:
     """``__page_id, __row_idx`` and one string column per field."""
     if spec.extractor == "selector":
         return selected(pages, spec.selectors, spec.row_selector, spec.attribute)
-    return discovered(extract_cells(pages, spec))
+    return discovered(extract_cells(pages, spec), spec.max_columns)
 
 
 def _chosen_pages(pages: DataFrame, spec: ExtractSpec, index: DataFrame | None) -> DataFrame:

@@ -26,6 +26,7 @@ class ExtractSpec:
     near_dup_ratio: float = 0.85
     prefer_records: bool = True
     max_fields_per_record: int = 30
+    max_columns: int = 2000
     auto_paginate: bool = False
     max_auto_pages: int = 100
     follow_field: str | None = None

@@ -144,7 +144,6 @@ def watch(
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows, error = None, None
-        batch = batch.persist()  # read by the extraction and by the count
         try:
             if store:
                 store.add(batch)
@@ -158,8 +157,8 @@ def watch(
             error = "".join(traceback.format_exception_only(exc)).strip()
             kept = f"{out}/retry/batch={number}"
             batch.write.mode("overwrite").parquet(kept)
-        record = [(number, batch.count(), rows, error)]
-        batch.unpersist()
+        # the ids are read again rather than whole pages kept
+        record = [(number, batch.select("page_id").count(), rows, error)]
         spark.createDataFrame(
             record, "batch_id bigint, pages bigint, rows bigint, error string"
         ).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")

@@ -96,3 +96,15 @@ def test_pages_of_html_files(spark, tmp_path):
     found = read_pages(spark, str(tmp_path / "*"), "html").collect()
     assert {r.url for r in found} == {"https://x.test/p?q=1+2"} and len({r.page_id for r in found}) == 2
     assert sorted(r.html for r in found) == ["<p>a\nsecond line</p>", "<p>b\nsecond line</p>"]
+
+
+def test_too_many_columns_are_refused(pages):
+    def many(pages, spec):
+        return pages.selectExpr("page_id", "0 as row_idx", "posexplode(array('a', 'b', 'c', 'd')) as (col_ord, col)", "'x' as value")
+
+    registry.register_extractor("many", many)
+    spec = ExtractSpec(extractor="many", max_columns=3)
+    assert pipeline.run_long(pages("a"), spec).count() == 4
+    with pytest.raises(ValueError, match="more than 3 distinct columns"):
+        pipeline.run(pages("a"), spec)
+    assert pipeline.run(pages("a"), ExtractSpec(extractor="many", max_columns=4)).columns == ["a", "b", "c", "d"]
