@@ -21,6 +21,8 @@ HEADLINE = [
     "c15_css_descendant", "c16_flat_selector", "c17_row_scoped", "c18_single_record", "d1_positional_concat",
     "d4_next_link", "d5_walk", "d7_follow_urls", "d8_follow_join", "e7_shape", "f1_classify", "f2_infer",
     "f7_profile", "g2_csv_roundtrip", "h1_stream_extract", "h3_compact_actions", "i4_induce_selectors",
+    "c12_merge_identical_cols", "d5_indexed_walk", "d6_paginated_extract", "i2_site_routing", "i2_many_sites",
+    "i3_job_spec", "i3_pipeline", "i5_broaden",
 ]
 
 
