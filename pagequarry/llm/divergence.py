@@ -29,7 +29,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ SLOTS, CELLS = 8192, 1 << 21
 #: Bytes of hashes that are sent to all tasks at most.
 FITS = 32 << 20
 #: Distinct terms counted, and bytes of dense arrays held, before a task gives them off.
-COUNTED, DENSE = 400_000, 96 << 20
+COUNTED, DENSE = 400_000, 64 << 20
 #: Parts are merged in several tasks if more tasks than this have counted for them.
 TOGETHER = 256
 SEED = 42
@@ -178,6 +178,13 @@ def _packed(slots: np.ndarray, counts: np.ndarray) -> dict:
     return {"slots": slots.astype("<u4").tobytes(), "counts": counts.astype("<i8").tobytes(), "total": int(counts.sum())}
 
 
+def _count_batches(rows: Iterator[dict], together: int = 256) -> Iterator[pa.RecordBatch]:
+    """The packed counts in batches of a few rows, so that no task holds all of them twice."""
+    rows = iter(rows)
+    while part := list(islice(rows, together)):
+        yield _count_batch(part)
+
+
 def _count_batch(rows: list[dict]) -> pa.RecordBatch:
     kinds = [("lang", pa.string()), ("part", pa.int32()), ("source", pa.string()), ("terms", pa.binary()), ("slots", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())]
     return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
@@ -244,7 +251,7 @@ class Recount:
 
 
 #: Bytes of text whose terms are looked up together.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str, list[bytes]]]]:
@@ -279,10 +286,8 @@ def recount(docs: DataFrame, hashes: DataFrame, langs: DataFrame, fits: int = FI
             _unpacked[run] = tables
         count = Recount(_unpacked[run], parts, dense)
         for rows in _chunks(batches):
-            given = list(count.add(rows))
-            if given:
-                yield _count_batch(given)
-        yield _count_batch(list(count.give()))
+            yield from _count_batches(count.add(rows))
+        yield from _count_batches(count.give())
 
     def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, _ = sent.value
