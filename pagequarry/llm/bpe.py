@@ -34,7 +34,7 @@ from pagequarry.llm.common import text_of
 #: White space by its Unicode property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of new pieces merged together, and bytes of remembered pieces, tested between chunks of text.
-TOGETHER, REMEMBERED = 8 << 20, 160 << 20
+TOGETHER, REMEMBERED = 4 << 20, 64 << 20
 #: What a remembered piece takes besides its characters and ids.
 OVERHEAD = 160
 
@@ -278,7 +278,7 @@ class Encoder:
 
 
 #: Characters of text whose pieces are learnt together.
-CHUNK = 24 << 20
+CHUNK = 8 << 20
 _encoders: dict[int, Encoder] = {}
 
 
