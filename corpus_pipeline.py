@@ -26,8 +26,8 @@ def drop_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 similarity of five-word shingles."""
-    return simhash.keep_one(docs, simhash.similar(docs))
+    """One document of each group linked by the SimHash trie, or at 0.8 similarity of five-word shingles."""
+    return simhash.keep_one(docs, simhash.similar(docs, classes=simhash.trie_classes(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of, whole_row
 from pagequarry.llm.components import components
-from pagequarry.session import scratch_path, semi_join, stage
+from pagequarry.session import scratch_path, semi_join, shuffles_dropped, stage
 
 #: Fingerprints of one sub-trie at most; larger ones are cut by further blocks.
 GROUP = 4096
@@ -320,7 +320,8 @@ def by_node(sets: DataFrame) -> DataFrame:
     path = scratch_path(spark, "sets")
     name, parts = "sets_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(parts, "node").write.format("parquet").bucketBy(parts, "node").sortBy("node")
-    dealt.option("path", path).saveAsTable(name)
+    with shuffles_dropped(spark):
+        dealt.option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -332,10 +333,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return stage(both.filter((1 + similarity) * common >= similarity * size - 1e-6).select("a", "b"), "verified")
 
 
-def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """The ``members`` ``(bucket, node, root, ..)`` with the roots of ``reached``, of the buckets that still hold several."""
+    reached = stage(reached.withColumnRenamed("root", "_root"), "reached")
+    placed = members.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return placed.join(several.select("bucket"), "bucket")
+
+
+def similar_links(
+    nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, linked: DataFrame | None = None
+) -> DataFrame:
     """Links ``(a, b)`` that hold the nodes ``(node, n, p0.., least)`` at this similarity together.
 
-    ``sets`` gives ``(node, hashes)`` for nodes. Nodes are dealt into buckets by each least
+    ``sets`` gives ``(node, hashes)`` for nodes. Links found otherwise, ``linked``, come along; nodes
+    that they hold together are not compared any more. Nodes are dealt into buckets by each least
     hash; a pair shares each with its similarity. The members of a bucket are compared with
     one pivot first, each node with the likeliest of its buckets' pivots. Where that leaves a bucket with several classes, all its pairs of
     different classes are compared: its members are dealt into parts, and each pair of
@@ -344,9 +356,9 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
     about = nodes.select("node", F.struct("node", "n", *[f"p{w}" for w in range(WORDS)]).alias("own"))
     keys = nodes.select("node", F.posexplode("least").alias("m", "key")).select("node", F.xxhash64("m", "key").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stage(keys.join(shared, "bucket"), "members")
-    held = by_node(sets(members.select("node").distinct()))
-    rest, found = members.withColumn("root", F.col("node")), None
+    members, found = keys.join(shared, "bucket").withColumn("root", F.col("node")), linked
+    rest = stage(members if linked is None else _open(members, components(linked, "a", "b")), "members")
+    held = by_node(sets(rest.select("node").distinct()))
     for k in range(PIVOTS):
         pivots = rest.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("pivot"))
         pairs = rest.join(pivots, "bucket").filter(F.col("root") != F.col("pivot.root"))
@@ -357,10 +369,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
         pairs = pairs.groupBy("a").agg(F.min_by("b", apart).alias("b"))
         fresh = verified(still_similar(pairs, nodes, similarity), held, similarity)
         found = fresh if found is None else found.union(fresh)
-        reached = stage(components(found, "a", "b").withColumnRenamed("root", "_root"), "reached")
-        placed = rest.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
-        several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        rest = stage(placed.join(several.select("bucket"), "bucket"), "open")
+        rest = stage(_open(rest, components(found, "a", "b")), "open")
         if rest.filter(F.col("size") > CLOSE).isEmpty():
             break
     parts = F.ceil(F.col("size") / CLOSE).cast("int")
@@ -374,11 +383,20 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
     return found.union(verified(pairs, held, similarity))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def trie_classes(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+    """``(text_hash, root)`` of every text: the smallest fingerprint that its own reaches over the trie's links."""
+    marked = stage(fingerprints(docs, words).select("text_hash", "fp").distinct(), "fingerprints")
+    reached = components(links(marked.select("fp").distinct(), budget), "a", "b")
+    found = marked.join(reached.withColumnRenamed("node", "fp"), "fp", "left")
+    return found.select("text_hash", F.coalesce("root", "fp").alias("root"))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, classes: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_hash, fp, component_id)`` with links at this Jaccard similarity of the shingle sets.
 
     Each link is checked on the sets themselves; ``fp`` is a hash of the set. A pair at 0.8
-    is missed if it shares none of the least hashes: one in 240 million.
+    is missed if it shares none of the least hashes: one in 240 million. Texts of one root in
+    ``classes`` ``(text_hash, root)``, such as :func:`trie_classes`, are linked as well.
     """
     bits = [f"p{w}" for w in range(WORDS)]
     marked = stage(sketches(docs, words), "sketches")
@@ -390,7 +408,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
         texts = nodes.withColumnRenamed("fp", "node").join(wanted, "node", "left_semi").select("text_hash")
         return shingle_sets(docs, words, texts)
 
-    found = similar_links(nodes.withColumnRenamed("fp", "node"), sets, similarity)
+    linked = None
+    if classes is not None:
+        ends = marked.join(classes, "text_hash").select("root", F.col("fp").alias("a")).distinct()
+        least = ends.groupBy("root").agg(F.min("a").alias("b"), F.max("a").alias("hi")).filter("b < hi")
+        linked = stage(ends.join(least, "root").filter("a > b").select("a", "b"), "linked")
+    found = similar_links(nodes.withColumnRenamed("fp", "node"), sets, similarity, linked)
     return _classes(marked.select("doc_id", "text_hash", "fp"), nodes.select("fp", "first"), components(found, "a", "b"))
 
 

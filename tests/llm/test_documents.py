@@ -486,3 +486,27 @@ def test_network_is_the_plain_recurrent_one():
     want /= want.sum(axis=1, keepdims=True)
     got = net.probabilities(x.astype(np.uint16)[:, None])[:, :, 0]
     assert np.allclose(got.T if got.shape[0] == 3 else got, want, atol=1e-4)
+
+
+def test_pipeline_keeps_one_of_what_the_trie_links(spark):
+    """Texts of one much repeated phrase differ in no bit, though hardly any of their shingles is shared."""
+    from corpus_pipeline import drop_near_copies
+
+    tails = [" ".join(f"{w}{i}" for i in range(40)) for w in ("left", "right")]
+    texts = ["spam and eggs " * 400 + t for t in tails] + [" ".join(f"alone{i}" for i in range(60))]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    apart = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    trie = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert apart == {0: 0, 1: 1, 2: 2} and trie == {0: 0, 1: 0, 2: 2}
+    assert {r.doc_id for r in drop_near_copies(spark, df, "").collect()} == {0, 2}
+
+
+def test_links_of_both_kinds_make_one_class(spark):
+    """What the trie links and what is similar join up, over texts that both know."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:-4], "a", "b", "c", "d"]), "other text of a few words here", "and one more that is alone too"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = df.selectExpr("doc_id", "xxhash64(text) as text_hash")
+    classes = hashed.selectExpr("text_hash", "if(doc_id in (1, 2), 7L, doc_id) as root")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.doc_id: r.component_id for r in simhash.similar(df, classes=classes).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
