@@ -89,12 +89,16 @@ def stage_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
 
 
 def scatter(df: DataFrame) -> DataFrame:
-    """``df`` dealt over the partitions asked for in ``spark.pagequarry.partitions``.
+    """Narrow ``df`` dealt over the partitions asked for in ``spark.pagequarry.partitions``.
 
-    Unset, as on a cluster whose input comes in enough splits, nothing is shuffled.
+    Unset, over as many as node rows go to: a file of one row group, or a few splits of
+    megabytes, would else be parsed by as few tasks. 0 leaves the rows where they are.
     """
-    n = df.sparkSession.conf.get("spark.pagequarry.partitions", None)
-    return df.repartition(int(n)) if n else df
+    spark = df.sparkSession
+    fixed = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = int(spark.conf.get("spark.pagequarry.partitions", None) or fixed)
+    # By a hash of all that a row holds: nothing is sorted, and rows without an id don't meet.
+    return df.repartition(n, F.xxhash64(*df.columns)) if n else df
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, on: str | list[str], fits: int | None = None) -> DataFrame:
