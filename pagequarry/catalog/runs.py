@@ -80,7 +80,7 @@ def h1_late(spark, sf):
     second = pages.where("page_id % 2 = 0").select(F.col("page_id") + 10_000_000, "url", at(F.expr("if(page_id % 4 = 0, 13, 11)")))
     third = pages.select(F.col("page_id") + 20_000_000, "url", at(F.expr("if(page_id % 5 = 0, 1, 12)")))
     for landing in (first, second, third):
-        landing.toDF("page_id", "url", "fetched_at").coalesce(1).write.mode("append").parquet(land)
+        landing.toDF("page_id", "url", "fetched_at").write.mode("append").parquet(land)
         stream = watch.captures(spark, land, schema="page_id bigint, url string, fetched_at timestamp")
         watch.newest(stream, out, state).awaitTermination()
     lost = watch.late(spark, out).groupBy("url").agg(F.count("*").alias("late"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import traceback
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import stage
 from ..sources.store import CaptureStore
@@ -31,39 +30,30 @@ def fresh(stream: DataFrame, fetched_at: str = "fetched_at", keep: str = "1 day"
     return stream.withWatermark(fetched_at, keep).dropDuplicatesWithinWatermark(["url", fetched_at])
 
 
-STATE = "newest timestamp, page_id long"
-FOUND = "url string, page_id long, fetched_at timestamp, kind string"
+FOUND = "url string, page_id long, fetched_at timestamp, batch long"
 
 
-def _newest_of_url(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The batch's newest capture of one URL, and those later than a newer one of an earlier batch."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["fetched_at", "page_id"], ascending=[False, True])
-    late = pd.Series(False, index=rows.index)
-    if state.exists:
-        newest, page_id = pd.Timestamp(state.get[0]), state.get[1]
-        late = (rows["fetched_at"] < newest) | ((rows["fetched_at"] == newest) & (rows["page_id"] >= page_id))
-    kept = rows[~late].head(1)
-    if len(kept):
-        state.update((kept["fetched_at"].iloc[0].to_pydatetime(), int(kept["page_id"].iloc[0])))
-    # the clock of the stream stands where its batch began; forgotten after ``keep`` without captures
-    state.setTimeoutTimestamp(int(rows["_forget"].iloc[0].timestamp() * 1000))
-    for found, kind in ((kept, "newest"), (rows[late], "late")):
-        if len(found):
-            yield pd.DataFrame({"url": key[0], "page_id": found["page_id"], "fetched_at": found["fetched_at"], "kind": kind})
+def _known(spark: SparkSession, out: str, number: int, keep: str) -> DataFrame | None:
+    """``_url, _best``: the newest capture of each URL that the batches before ``number`` wrote within ``keep``."""
+    try:
+        found = spark.read.schema(FOUND).parquet(f"{out}/newest")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    lately = F.col("_metadata.file_modification_time") >= F.current_timestamp() - F.expr(f"interval {keep}")
+    return found.where((F.col("batch") < number) & lately).groupBy(F.col("url").alias("_url")).agg(F.max(_age()).alias("_best"))
 
 
 def newest(stream: DataFrame, out: str, checkpoint: str, keep: str = "1 day") -> StreamingQuery:
     """The streaming form of ``latest_snapshots``: what is new and what is late, batch by batch.
 
-    ``stream`` holds ``page_id, url, fetched_at``; only these pass through the state, one
-    small row per URL, which is forgotten when no capture came for ``keep`` of wall time.
-    ``out/newest/batch=N`` gets the captures that are the newest known of their URL when they
-    come in, ``out/late/batch=N`` those that came after a newer one; :func:`newest_now` and
-    :func:`late` read both, and what was forgotten changes neither. No capture is dropped
-    for its time: the state's clock is that of the batches, not of the captures. Captures
+    ``stream`` holds ``page_id, url, fetched_at``; only these are kept. ``out/newest/batch=N``
+    gets the captures that are the newest known of their URL when they come in,
+    ``out/late/batch=N`` those that came after a newer one; :func:`newest_now` and
+    :func:`late` read both. What is known is what earlier batches wrote to ``newest``, joined
+    with each batch by URL; files written over ``keep`` of wall time ago are forgotten, which
+    changes neither. No capture is dropped for its time. Captures
     beaten within their own batch are in neither table. A capture without a time is older
     than any other; those without a URL are captures of one URL. Pages are fetched by id,
     with ``pages_for``.
@@ -71,19 +61,22 @@ def newest(stream: DataFrame, out: str, checkpoint: str, keep: str = "1 day") ->
     narrow = stream.select(
         F.col("page_id").cast("long").alias("page_id"), "url",
         F.coalesce(F.col("fetched_at").cast("timestamp"), F.lit(0).cast("timestamp")).alias("fetched_at"),
-        F.current_timestamp().alias("_clock"), (F.current_timestamp() + F.expr(f"interval {keep}")).alias("_forget"),
     )
-    found = narrow.withWatermark("_clock", "0 seconds").groupBy("url").applyInPandasWithState(
-        _newest_of_url, FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = stage(batch, "newest")
-        for kind in ("newest", "late"):
-            rows = batch.where(F.col("kind") == kind).drop("kind")
+        spark = batch.sparkSession
+        known = _known(spark, out, number, keep)
+        if known is None:
+            marked = batch.withColumn("_late", F.lit(False))
+        else:
+            marked = batch.join(known, F.col("url").eqNullSafe(F.col("_url")), "left")
+            marked = marked.withColumn("_late", F.coalesce(_age() <= F.col("_best"), F.lit(False))).drop("_url", "_best")
+        marked = stage(marked, "captures")
+        kept = marked.where(~F.col("_late")).groupBy("url").agg(F.max_by(F.struct("page_id", "fetched_at"), _age()).alias("b"))
+        for kind, rows in (("newest", kept.select("url", "b.*")), ("late", marked.where("_late").select("url", "page_id", "fetched_at"))):
             rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch={number}")
 
-    writer = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = narrow.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 

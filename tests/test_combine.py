@@ -306,3 +306,15 @@ def test_escaped_paths_meet_escaped_rules(spark):
     wanted = spark.createDataFrame([(f"http://h{p}",) for p in cases], "url string")
     got = {r.url[8:]: r.allowed for r in frontier.robots_gate(wanted, df).collect()}
     assert got == cases
+
+
+def test_newest_keeps_no_state_and_forgets(spark, tmp_path):
+    land, out, state = (str(tmp_path / n) for n in ("land", "out", "state"))
+    for run, keep in enumerate(("1 day", "1 day", "0 seconds")):
+        spark.sql(f"select {run}L as page_id, 'a' as url, timestamp_seconds({100 - run}) as fetched_at").write.mode("append").parquet(land)
+        stream = watch.captures(spark, land, schema="page_id bigint, url string, fetched_at timestamp")
+        watch.newest(stream, out, state, keep).awaitTermination()
+    assert not (tmp_path / "state" / "state").exists()
+    assert [r.page_id for r in spark.read.parquet(f"{out}/late").collect()] == [1]
+    assert sorted(r.page_id for r in watch.late(spark, out).collect()) == [1, 2]
+    assert [r.page_id for r in watch.newest_now(spark, out).collect()] == [0]
