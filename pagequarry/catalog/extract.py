@@ -6,6 +6,7 @@ from ..functions import text
 from ..operators import cells as long
 from ..operators import dom, heuristic, selectors
 from ..operators.heuristic import HeuristicSpec
+from ..session import stage
 from ..sources.shred import shred
 from .base import (
     LEAVES, PER_PAGE, TEXTS, big, card_pages, html, part_tables, query, table, unescaped,
@@ -251,7 +252,7 @@ def c9(spark, sf):
 def c10(spark, sf):
     # The column under the blank header gets cells of blanks first; the cleaning takes them out,
     # and with them the columns of one value.
-    found = heuristic.table_cells(part_tables(spark, sf), SMALL)
+    found = stage(heuristic.table_cells(part_tables(spark, sf), SMALL), "cells")
     rows = found.select("page_id", "row_idx", "mode").distinct()
     blank = rows.select("page_id", "row_idx", "mode", F.lit("column").alias("col"), F.lit(3).alias("col_ord"),
                         F.when(F.col("row_idx") % 2 == 0, " ").otherwise("\t").alias("value"))
