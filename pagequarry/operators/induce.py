@@ -102,8 +102,8 @@ def induce(pages: DataFrame, examples: DataFrame) -> DataFrame:
     sibling of the same tag and classes. The field path leads from the row down.
     Examples without such a row are left out.
     """
-    wanted = examples.select("page_id", "pre").distinct().withColumn("_picked", F.lit(True))
-    # Only pages with an example are parsed.
+    # Written once: they are counted, sent out and joined. Only pages with an example are parsed.
+    wanted = stage(examples.select("page_id", "pre").distinct(), "examples").withColumn("_picked", F.lit(True))
     pages = semi_join(pages, wanted, "page_id")
     nodes = _nodes(pages, ancestors=0).join(wanted, ["page_id", "pre"], "left")
     nodes = nodes.withColumn("_picked", F.coalesce("_picked", F.lit(False)))
@@ -154,13 +154,12 @@ def node_selectors(pages: DataFrame, picked: Column | None = None) -> DataFrame:
 
 def broaden(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """One level up from ``rows(page_id, row_pre)`` where the parent repeats too."""
+    rows = stage(rows.select("page_id", "row_pre").distinct(), "rows")
     pages = semi_join(pages, rows, "page_id")
     nodes = stage(_nodes(pages, ancestors=1).select("page_id", "pre", "parent", "selector", "n_same"), "nodes")
     up = nodes.select("page_id", F.col("pre").alias("row_pre"), F.col("parent").alias("pre"))
     return (
-        rows.select("page_id", "row_pre")
-        .distinct()
-        .join(up, ["page_id", "row_pre"])
+        rows.join(up, ["page_id", "row_pre"])
         .join(nodes.where("parent > 0"), ["page_id", "pre"])
         .where("n_same >= 2")
         .select(
@@ -179,6 +178,7 @@ def narrow(pages: DataFrame, rows: DataFrame) -> DataFrame:
     The element inside the row at hand must have a class; the new rows are the
     elements inside all of them, the first standing for the set.
     """
+    rows = stage(rows.select("page_id", "row_pre").distinct(), "rows")
     nodes = _nodes(semi_join(pages, rows, "page_id"), ancestors=1)
     nodes = nodes.withColumn("single", F.min(F.col("n_children") == 1).over(_group())).withColumn(
         "first", F.min("pre").over(_group())
@@ -198,9 +198,7 @@ def narrow(pages: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("selector").alias("row_selector"),
     )
     return (
-        rows.select("page_id", "row_pre")
-        .distinct()
-        .join(current, ["page_id", "row_pre"])
+        rows.join(current, ["page_id", "row_pre"])
         .join(inner, ["page_id", "row_pre"], "left_semi")
         .join(head, ["page_id", "first"])
         .select("page_id", "row_pre", "new_row_pre", "row_selector", "n_rows")

@@ -308,6 +308,21 @@ def test_escaped_paths_meet_escaped_rules(spark):
     assert got == cases
 
 
+def test_rows_and_examples_are_found_once(spark, pages):
+    df = pages("<ul>" + "<li class=box><div class=card><b class=n>x</b></div></li>" * 4 + "</ul>")
+    for step, selector, name in ((induce.broaden, "div.card", "row_pre"), (induce.narrow, "li.box", "row_pre"), (induce.induce, "b.n", "pre")):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = css.select(df, selector).withColumnRenamed("pre", name)
+        assert len(step(df, rows.mapInArrow(counted, rows.schema)).collect()) == 4
+        assert seen.value == 4
+
+
 def test_newest_keeps_no_state_and_forgets(spark, tmp_path):
     land, out, state = (str(tmp_path / n) for n in ("land", "out", "state"))
     for run, keep in enumerate(("1 day", "1 day", "0 seconds")):
