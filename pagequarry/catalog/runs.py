@@ -24,15 +24,16 @@ _FIELDS = {"title": "title", "h1": "article h1"}
 
 
 def _landed(spark, sf):
-    """The captured pages in four files, as a crawler would drop them."""
+    """The captured pages as a crawler would drop them: their folder, and the files of a quarter of them."""
     path = scratch_path(spark, "landing")
-    table(spark, sf, "pages").repartition(4, "page_id").write.parquet(path)
-    return path
+    table(spark, sf, "pages").repartition(4 * spark.sparkContext.defaultParallelism, "page_id").write.parquet(path)
+    return path, -(-len(spark.read.parquet(path).inputFiles()) // 4)
 
 
 def _streamed(spark, sf):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    stream = watch.captures(spark, _landed(spark, sf), maxFilesPerTrigger=1)
+    land, files = _landed(spark, sf)
+    stream = watch.captures(spark, land, maxFilesPerTrigger=max(files, 1))
     watch.watch(stream, lambda p: css.extract_one(p, _FIELDS), out, state).awaitTermination()
     return out
 
@@ -334,7 +335,7 @@ def h1_failed(spark, sf):
     # Every batch with an odd page fails; its pages are kept for the retry.
     out, state, land = (scratch_path(spark, n) for n in ("out", "state", "land"))
     for odd in (0, 1):
-        table(spark, sf, "pages").where(f"page_id % 2 = {odd}").coalesce(1).write.mode("append").parquet(land)
+        table(spark, sf, "pages").where(f"page_id % 2 = {odd}").write.mode("append").parquet(land)
         stream = watch.captures(spark, land)
         taken = lambda p, odd=odd: p.select("page_id", F.assert_true(F.lit(odd == 0)).alias("ok"))
         watch.watch(stream, taken, out, state, fail_fast=False).awaitTermination()

@@ -333,3 +333,17 @@ def test_newest_keeps_no_state_and_forgets(spark, tmp_path):
     assert [r.page_id for r in spark.read.parquet(f"{out}/late").collect()] == [1]
     assert sorted(r.page_id for r in watch.late(spark, out).collect()) == [1, 2]
     assert [r.page_id for r in watch.newest_now(spark, out).collect()] == [0]
+
+
+def test_landings_take_no_single_task(spark, tmp_path, monkeypatch):
+    from pagequarry.catalog import runs
+
+    sf = str(tmp_path / "sf")
+    crawl = spark.range(64).selectExpr("id as page_id", "concat('https://x.example/', id) as url", "'<title>t</title><article><h1>h</h1></article>' as html")
+    crawl.repartition(8).write.parquet(f"{sf}/pages.parquet")
+    monkeypatch.setattr(runs, "scratch_path", lambda spark, name: str(tmp_path / name))
+    assert runs.h4(spark, sf).first().pages == 64
+    assert len(list((tmp_path / "landing").glob("part-*"))) > 8
+    assert len(list((tmp_path / "stream" / "rows").glob("batch=*"))) == 4
+    assert runs.h1_failed(spark, sf).count() == 64
+    assert len(list((tmp_path / "land").glob("part-*"))) > 2
