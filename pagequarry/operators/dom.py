@@ -75,6 +75,14 @@ def is_noise(skip_tags: Iterable[str] = SKIP_TAGS, keywords: Iterable[str] = ALL
     return F.coalesce(noise, F.lit(False))
 
 
+def by_page(rows: DataFrame, *more: str) -> DataFrame:
+    """``rows`` exchanged on page_id, and ``more``, over a fixed number of partitions: the windows to come
+    cost far more per byte than the merging of small shuffle partitions assumes."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "page_id", *more)
+
+
 def narrow(dom: DataFrame, noise: Column | None = None) -> DataFrame:
     """The columns the heuristic reads, exchanged on page_id and sorted once.
 
@@ -87,11 +95,7 @@ def narrow(dom: DataFrame, noise: Column | None = None) -> DataFrame:
         field_key().alias("key"),
         (is_noise() if noise is None else noise).alias("noise"),
     )
-    # A fixed number of partitions: the windows to come cost far more per byte than the
-    # merging of small shuffle partitions assumes.
-    spark = dom.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return reduced.repartition(parts, "page_id").sortWithinPartitions("page_id", "pre")
+    return by_page(reduced).sortWithinPartitions("page_id", "pre")
 
 
 def in_scope(nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text
 from ..session import semi_join, stage
 from ..sources.shred import shred
 from . import selectors as css
+from .dom import by_page
 
 # How long paths may get, and how many classes name a path part.
 FIELD_PATH, NODE_PATH, NODE_CLASSES = 9, 7, 3
@@ -42,9 +43,10 @@ def _group():
     return Window.partitionBy("page_id", "parent", "tag", "class_sig")
 
 
-def _nodes(pages: DataFrame, ancestors: int) -> DataFrame:
+def _nodes(pages: DataFrame, ancestors: int, picked: DataFrame | None = None) -> DataFrame:
+    """The elements of ``pages``; with ``picked`` ``(page_id, pre)`` also whether they are among these, ``_picked``."""
     attr = lambda a: F.try_element_at("attrs", F.lit(a))
-    return shred(pages, ancestors=ancestors).where("pre > 0").select(
+    nodes = shred(pages, ancestors=ancestors).where("pre > 0").select(
         "page_id", "pre", "end", "depth", "parent", "tag", "classes", "n_children", "up",
         F.array_join(F.array_sort("classes"), ".").alias("class_sig"),
         class_selector().alias("selector"),
@@ -52,7 +54,16 @@ def _nodes(pages: DataFrame, ancestors: int) -> DataFrame:
         path_part(NODE_CLASSES).alias("node_part"),
         F.coalesce(attr("id"), F.lit("")).alias("id"),
         F.coalesce(attr("aria-label"), F.lit("")).alias("aria"),
-    ).withColumn("n_same", F.count("*").over(_group()))
+    )
+    if picked is None:
+        nodes = by_page(nodes)
+    else:
+        # Picks travel as rows of their page, so that all that follows shares its exchange.
+        picks = picked.select("page_id", "pre", F.lit(True).alias("_picked"))
+        nodes = by_page(nodes.withColumn("_picked", F.lit(False)).unionByName(picks, allowMissingColumns=True))
+        at = Window.partitionBy("page_id", "pre")
+        nodes = nodes.withColumn("_picked", F.max("_picked").over(at)).where("tag is not null")
+    return nodes.withColumn("n_same", F.count("*").over(_group()))
 
 
 def _lines(nodes: DataFrame, picked: Column, info: list[str]) -> DataFrame:
@@ -84,6 +95,7 @@ def _lines_by_sweep(nodes: DataFrame, info: list[str], useful: Column) -> DataFr
     swept = swept.withColumn("_n", F.count(F.when(opens, 1)).over(order))
     facts = F.max(F.when(F.col("side") == 0, F.struct("depth", "_picked", "_useful", *info)))
     spans = swept.groupBy("page_id", "pre").agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"), facts.alias("f"))
+    spans = stage(spans, "spans")  # both sides of the join below read them
     # a picked node's own number is the count at its opening, which holds itself
     first = F.col("_first") + F.when(F.col("f._picked"), 0).otherwise(1)
     above = spans.where(F.col("_last") >= first).select(
@@ -103,13 +115,12 @@ def induce(pages: DataFrame, examples: DataFrame) -> DataFrame:
     Examples without such a row are left out.
     """
     # Written once: they are counted, sent out and joined. Only pages with an example are parsed.
-    wanted = stage(examples.select("page_id", "pre").distinct(), "examples").withColumn("_picked", F.lit(True))
+    wanted = stage(examples.select("page_id", "pre").distinct(), "examples")
     pages = semi_join(pages, wanted, "page_id")
-    nodes = _nodes(pages, ancestors=0).join(wanted, ["page_id", "pre"], "left")
-    nodes = nodes.withColumn("_picked", F.coalesce("_picked", F.lit(False)))
+    nodes = _nodes(pages, ancestors=0, picked=wanted)
     info = ["tag", "classes", "class_sig", "selector", "part", "aria", "n_same"]
     is_row = ~F.col("tag").isin("html", "body") & (F.col("class_sig") != "") & (F.col("n_same") >= 2)
-    lines = _lines_by_sweep(nodes, info, is_row)
+    lines = by_page(_lines_by_sweep(nodes, info, is_row), "target")
     line = Window.partitionBy("page_id", "target")
     lines = lines.withColumn("row_lvl", F.min(F.when(is_row, F.col("lvl"))).over(line)).where(
         F.col("lvl") <= F.col("row_lvl")

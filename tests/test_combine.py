@@ -347,3 +347,12 @@ def test_landings_take_no_single_task(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "stream" / "rows").glob("batch=*"))) == 4
     assert runs.h1_failed(spark, sf).count() == 64
     assert len(list((tmp_path / "land").glob("part-*"))) > 2
+
+
+def test_pages_are_dealt_once_for_induction(spark, pages):
+    df = pages("<ul>" + "<li class=box><b class=n>x</b></li>" * 4 + "</ul>")
+    nodes = induce._nodes(df, 0, css.select(df, "b.n").distinct().cache())
+    assert [(r._picked, r.n) for r in nodes.groupBy("_picked").agg(F.count("*").alias("n")).orderBy("_picked").collect()] == [(False, 7), (True, 4)]
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    # merged partitions would grow with the input: the node rows are exchanged by number, once
+    assert "hashpartitioning(page_id" in plan and "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
