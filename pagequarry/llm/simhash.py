@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import text_of, whole_row
-from pagequarry.llm.components import components
+from pagequarry.llm.components import components, reach
 from pagequarry.session import scratch_path, semi_join, shuffles_dropped, stage
 
 #: Fingerprints of one sub-trie at most; larger ones are cut by further blocks.
@@ -128,22 +128,6 @@ def trie_pairs(fps: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.nda
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _walk(batches: Iterator[pa.RecordBatch], budget: int, spanning: bool, batch_rows: int) -> Iterator[pa.RecordBatch]:
     """Links within the groups of a sorted stream of (mask, part, node, fingerprint words)."""
 
@@ -155,7 +139,7 @@ def _walk(batches: Iterator[pa.RecordBatch], budget: int, spanning: bool, batch_
         starts = np.concatenate([np.flatnonzero(new), [len(node)]])
         i, j = trie_pairs(np.column_stack(words)[order], starts, budget)
         if spanning:
-            root = _roots(len(node), i, j)
+            root = reach(len(node), i, j)
             i = np.flatnonzero(root != np.arange(len(node)))
             j = root[i]
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
@@ -335,8 +319,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
     """The ``members`` ``(bucket, node, root, ..)`` with the roots of ``reached``, of the buckets that still hold several."""
-    reached = stage(reached.withColumnRenamed("root", "_root"), "reached")
-    placed = members.join(reached, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+    placed = members.join(reached.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     return placed.join(several.select("bucket"), "bucket")
 

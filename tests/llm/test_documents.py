@@ -7,6 +7,7 @@ import re
 import struct
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -75,6 +76,28 @@ def test_trie_join_finds_every_link(spark, group, monkeypatch):
     assert {k: v for k, v in classes({signed(f): f for f in fps}, 2).items() if k in held} == held
 
 
+@pytest.mark.parametrize("at_once", [4, 1 << 16])
+def test_components_of_any_size_and_few_tables(spark, at_once):
+    rng = random.Random(3)
+    links = [(k, k + 1) for k in range(100, 160)] + [(200, 200 + k) for k in range(1, 40)]
+    links += [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(150)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    odd = [(None, 5), (5, None), (7, 7), *links[:10]]
+    df = spark.createDataFrame([*links, *odd], "a long, b long").repartition(8)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = components(df, "a", "b", at_once)
+    made = set(folder.iterdir()) - before
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+    # a small graph is settled without rounds of written tables
+    assert at_once < len(links) or len(made) == 2
+    assert components(df.limit(0), "a", "b", at_once).count() == 0
+
+
 def test_near_duplicates_on_odd_rows(spark, odd_docs, no_docs):
     near = simhash.near_duplicates(odd_docs)
     assert near.count() == odd_docs.count()
