@@ -54,3 +54,35 @@ def test_numbers_text_and_options(pages):
     assert "no" in noted.own
     lines = {r.tag: r.up for r in shred(page, ancestors=2).where("page_id = 0").collect()}
     assert lines["i"] == [by_tag["p"].pre, by_tag["div"].pre]
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    import random
+    from html.parser import HTMLParser
+
+    from pagequarry.sources import shred as module
+
+    class Slow(module._Tree):
+        goahead = HTMLParser.goahead
+
+    def rows(tree, html):
+        error = module._build(tree, html)
+        return error or [*module._page_rows(tree, 1, None, "all", 0), *module._piece_rows(tree, 1)]
+
+    bits = [
+        "<p>", "</p>", "<B>", "</B >", "<td>", "</td>", "<tr>", "<table>", "</table>", "<br/>", "<li class=\"a  b\" ID=\"i\">",
+        "<a href=\"/x?y=1&amp;z\">", "<a href='q'>", "<a href=\"x>y\">", "<a href=\"\" href=\"2\">", "<a href=\"open", "</div x=\"y\">",
+        "<script>", "</script>", "<STYLE>", "</style>", "<title>", "</title>", "<textarea>", "</textarea>", "<!DOCTYPE html>", "<!--", "-->",
+        "<![CDATA[", "]]>", "<?pi", "<1>", "<é>", "</", "<", ">", "&", "&amp;", "&#65", ";", "text", " two ", "\n", "é", "<html lang=\"en\">", "<body>",
+    ]
+    deal = random.Random(3)
+    for _ in range(4000):
+        html = "".join(deal.choice(bits) for _ in range(deal.randint(1, 20)))
+        for comments in (False, True):
+            assert rows(module._Tree(comments), html) == rows(Slow(comments), html), html
+    # Pages of plain tags need none of the parser's own steps.
+    plain = "<ul class=\"k\"><li>a &amp; b</li><li id=\"x\">c</li></ul> tail <b>d</b>"
+    want = rows(Slow(False), plain)
+    monkeypatch.setattr(HTMLParser, "parse_starttag", None)
+    monkeypatch.setattr(HTMLParser, "parse_endtag", None)
+    assert rows(module._Tree(False), plain) == want and len(want) == 7
