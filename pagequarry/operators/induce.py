@@ -163,6 +163,31 @@ def node_selectors(pages: DataFrame, picked: Column | None = None) -> DataFrame:
     )
 
 
+def _row_nodes(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """The elements of the pages of ``rows(page_id, row_pre)``, these ``_picked``. Other pages are not parsed."""
+    picked = stage(rows.select("page_id", F.col("row_pre").alias("pre")).distinct(), "rows")
+    return _nodes(semi_join(pages, picked, "page_id"), ancestors=0, picked=picked)
+
+
+def _filed(*sides: Column) -> Column:
+    """An element once for each of the ``sides(node, side)`` that is not NULL: under which number, and as what.
+
+    Elements meet where they are filed under one number of a page, by windows over the
+    exchange the nodes have had: nodes are far too many to be sent to every task, though
+    a written table of their numbers takes few bytes and would be taken for a small one.
+    """
+    return F.inline(F.array_compact(F.array(*sides)))
+
+
+def _side(node: str, side: str, when: Column | None = None) -> Column:
+    filed = F.struct(F.col(node).alias("node"), F.lit(side).alias("side"))
+    return filed if when is None else F.when(when, filed)
+
+
+def _at_node():
+    return Window.partitionBy("page_id", "node")
+
+
 def broaden(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """One level up from ``rows(page_id, row_pre)`` where the parent repeats too."""
     rows = stage(rows.select("page_id", "row_pre").distinct(), "rows")
@@ -189,30 +214,27 @@ def narrow(pages: DataFrame, rows: DataFrame) -> DataFrame:
     The element inside the row at hand must have a class; the new rows are the
     elements inside all of them, the first standing for the set.
     """
-    rows = stage(rows.select("page_id", "row_pre").distinct(), "rows")
-    nodes = _nodes(semi_join(pages, rows, "page_id"), ancestors=1)
-    nodes = nodes.withColumn("single", F.min(F.col("n_children") == 1).over(_group())).withColumn(
+    nodes = _row_nodes(pages, rows).withColumn("single", F.min(F.col("n_children") == 1).over(_group())).withColumn(
         "first", F.min("pre").over(_group())
     )
-    nodes = stage(
-        nodes.select("page_id", "pre", "parent", "selector", "class_sig", "n_same", "single", "first"),
-        "nodes",
-    )
-    current = nodes.where("single").select(
-        "page_id", F.col("pre").alias("row_pre"), "first", F.col("n_same").alias("n_rows")
-    )
-    inner = nodes.where("class_sig <> ''").select("page_id", F.col("parent").alias("row_pre"))
-    head = nodes.select(
-        "page_id",
-        F.col("parent").alias("first"),
-        F.col("pre").alias("new_row_pre"),
-        F.col("selector").alias("row_selector"),
+    sides = _filed(
+        _side("parent", "inner"),
+        _side("pre", "first", F.col("single") & (F.col("pre") == F.col("first"))),
+        _side("pre", "row", F.col("single") & F.col("_picked")),
     )
+    met = nodes.select("page_id", "pre", "selector", "class_sig", "n_same", "first", sides)
+    is_inner, is_row = F.col("side") == "inner", F.col("side") == "row"
+    met = met.withColumns({
+        "_classed": F.max(is_inner & (F.col("class_sig") != "")).over(_at_node()),
+        "_heads": F.max(F.col("side") == "first").over(_at_node()),
+    }).where(is_row & F.col("_classed") | is_inner & F.col("_heads"))
+    # Rows that hold a class go on to the first of their set, whose inner element names the new rows.
+    met = met.withColumn("node", F.when(is_row, F.col("first")).otherwise(F.col("node")))
+    inner = F.when(is_inner, F.struct(F.col("pre").cast("int").alias("new_row_pre"), F.col("selector").alias("row_selector")))
     return (
-        rows.join(current, ["page_id", "row_pre"])
-        .join(inner, ["page_id", "row_pre"], "left_semi")
-        .join(head, ["page_id", "first"])
-        .select("page_id", "row_pre", "new_row_pre", "row_selector", "n_rows")
+        met.withColumn("_inner", F.collect_list(inner).over(_at_node()))
+        .where(is_row)
+        .select("page_id", F.col("pre").alias("row_pre"), F.inline("_inner"), F.col("n_same").alias("n_rows"))
     )
 
 

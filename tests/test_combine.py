@@ -323,6 +323,20 @@ def test_rows_and_examples_are_found_once(spark, pages):
         assert seen.value == 4
 
 
+def test_rows_one_level_up_or_down_broadcast_no_nodes(spark, pages):
+    # Nodes written to a table take few bytes a row: a join would take those of all pages for a small table.
+    df = pages(*["<ul>" + "<li class=box><div class=card><b class=n>x</b></div></li>" * 4 + "</ul>"] * 2)
+    df = df.unionByName(df.where("page_id = 1"))
+    for step, selector, other in ((induce.narrow, "li.box", "div.card"),):
+        rows = css.select(df, selector).select("page_id", F.col("pre").cast("bigint").alias("row_pre"))
+        found = step(df, rows)
+        assert {k: t for k, t in found.dtypes if "pre" in k} == {"row_pre": "bigint", "new_row_pre": "int"}
+        got = found.groupBy("page_id", "row_selector", "n_rows").agg(F.count("*"), F.countDistinct("row_pre")).orderBy("page_id").collect()
+        assert [tuple(r) for r in got] == [(0, other, 4, 4, 4), (1, other, 8, 16, 4)]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == plan.count("Join LeftSemi, (page_id#") > 0
+
+
 def test_newest_keeps_no_state_and_forgets(spark, tmp_path):
     land, out, state = (str(tmp_path / n) for n in ("land", "out", "state"))
     for run, keep in enumerate(("1 day", "1 day", "0 seconds")):
