@@ -190,21 +190,14 @@ def _at_node():
 
 def broaden(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """One level up from ``rows(page_id, row_pre)`` where the parent repeats too."""
-    rows = stage(rows.select("page_id", "row_pre").distinct(), "rows")
-    pages = semi_join(pages, rows, "page_id")
-    nodes = stage(_nodes(pages, ancestors=1).select("page_id", "pre", "parent", "selector", "n_same"), "nodes")
-    up = nodes.select("page_id", F.col("pre").alias("row_pre"), F.col("parent").alias("pre"))
+    repeats = (F.col("parent") > 0) & (F.col("n_same") >= 2)
+    sides = _filed(_side("parent", "row", F.col("_picked")), _side("pre", "self", repeats))
+    met = _row_nodes(pages, rows).select("page_id", "pre", "selector", "n_same", sides)
+    wider = F.when(F.col("side") == "self", F.struct(F.col("selector").alias("row_selector"), F.col("n_same").alias("n_rows")))
     return (
-        rows.join(up, ["page_id", "row_pre"])
-        .join(nodes.where("parent > 0"), ["page_id", "pre"])
-        .where("n_same >= 2")
-        .select(
-            "page_id",
-            "row_pre",
-            F.col("pre").alias("new_row_pre"),
-            F.col("selector").alias("row_selector"),
-            F.col("n_same").alias("n_rows"),
-        )
+        met.withColumn("_wider", F.collect_list(wider).over(_at_node()))
+        .where("side = 'row'")
+        .select("page_id", F.col("pre").alias("row_pre"), F.col("node").cast("int").alias("new_row_pre"), F.inline("_wider"))
     )
 
 

@@ -327,7 +327,7 @@ def test_rows_one_level_up_or_down_broadcast_no_nodes(spark, pages):
     # Nodes written to a table take few bytes a row: a join would take those of all pages for a small table.
     df = pages(*["<ul>" + "<li class=box><div class=card><b class=n>x</b></div></li>" * 4 + "</ul>"] * 2)
     df = df.unionByName(df.where("page_id = 1"))
-    for step, selector, other in ((induce.narrow, "li.box", "div.card"),):
+    for step, selector, other in ((induce.broaden, "div.card", "li.box"), (induce.narrow, "li.box", "div.card")):
         rows = css.select(df, selector).select("page_id", F.col("pre").cast("bigint").alias("row_pre"))
         found = step(df, rows)
         assert {k: t for k, t in found.dtypes if "pre" in k} == {"row_pre": "bigint", "new_row_pre": "int"}
